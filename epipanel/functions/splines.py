@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def natural_basis(x: Column, knots: Column, df: int) -> list[Column]:
+def natural_basis(x: Column, knots: list[Column], df: int) -> list[Column]:
     """``df`` columns that span the natural cubic splines with ``df + 1`` knots.
 
     Truncated-power form: linear outside the outer knots, cubic between. The
@@ -32,19 +32,27 @@ def knot_levels(df: int) -> list[float]:
     return [i / df for i in range(df + 1)]
 
 
-def add_natural_basis(data: DataFrame, columns: list[str], df: int = 2,
-                      prefixes: dict[str, str] | None = None) -> DataFrame:
-    """Add ``<prefix>.1 ... <prefix>.df`` for every column, knots at its quantiles.
+def fit_knots(data: DataFrame, columns: dict[str, int]) -> dict[str, list[float]]:
+    """Knots of each column at its quantiles, for the wanted number of basis columns.
 
-    All knots come from one aggregate over the data.
+    Runs one job; the result is a few numbers per column.
     """
     from epipanel.operators.quantiles import column_quantiles
 
-    knots = column_quantiles(data, columns, knot_levels(df))
-    data = data.withColumn("_knots", knots)
+    levels = sorted({q for df in columns.values() for q in knot_levels(df)})
+    found: dict[str, dict[float, float]] = {}
+    for r in column_quantiles(data, list(columns), levels).collect():
+        found.setdefault(r["column"], {})[r["quantile"]] = r["value"]
+    return {c: [found[c][q] for q in knot_levels(df)] for c, df in columns.items() if c in found}
+
+
+def add_natural_basis(data: DataFrame, knots: dict[str, list[float]],
+                      prefixes: dict[str, str] | None = None) -> DataFrame:
+    """Add ``<prefix>_1 ... <prefix>_df`` for every column with knots."""
     new = {}
-    for c in columns:
+    for c, marks in knots.items():
         prefix = (prefixes or {}).get(c, c)
-        for i, col in enumerate(natural_basis(F.col(c), F.col("_knots")[c], df)):
+        at = [F.lit(float(m)) for m in marks]
+        for i, col in enumerate(natural_basis(F.col(c), at, len(marks) - 1)):
             new[f"{prefix}_{i + 1}"] = col
-    return data.withColumns(new).drop("_knots")
+    return data.withColumns(new)

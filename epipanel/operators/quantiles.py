@@ -87,61 +87,46 @@ def _long(df: DataFrame, keys: Sequence[str], levels: Sequence[float], extra: Se
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    levels: Sequence[float] = QUANTILE_LEVELS, carry: dict[str, Column] | None = None,
+                    levels: Sequence[float] = QUANTILE_LEVELS, carry: Sequence[str] = (),
                     hot_rows: int = HOT_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Linear-interpolation quantiles per group, long: keys, ``quantile``, ``value``.
 
-    ``carry`` adds further aggregates per group (name -> aggregate column).
+    The input is read once, into counts of distinct values: equal values meet
+    before the shuffle, and a hot group spreads over all tasks. ``carry``
+    columns come along with their largest value per group.
     """
-    keys, carry = list(keys), dict(carry or {})
+    keys, carry = list(keys), list(carry)
     v = F.col(value).cast("double")
-    rows = df.where(v.isNotNull() & ~F.isnan(v)).withColumn("_v", v)
-    sizes = rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    ).where(F.col("_n") > hot_rows)
-    if not keys:
-        hot = rows.select("_v").withColumn("_s", rows.agg(F.struct(
-            F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))).scalar())
-        parts = hot.select(F.col("_v").alias("v"), F.lit(0).alias("_k"), _bucket(
-            F.col("_v"), F.col("_s.lo"), F.col("_s.hi"), F.col("_s.n"), bucket_rows, MAX_BUCKETS).alias("bucket"))
-        return _from_buckets(parts, ["_k"], levels).drop("_k")
-
-    cold = rows.join(sizes.select(*keys), keys, "left_anti")
-    plain = cold.groupBy(*keys).agg(
-        F.percentile("_v", literal_array(levels)).alias("_values"), *[c.alias(k) for k, c in carry.items()]
-    )
-    small = _long(plain, keys, levels, list(carry))
-
-    hot = rows.join(sizes, keys)
-    parts = hot.select(*keys, F.col("_v").alias("v"), _bucket(
-        F.col("_v"), F.col("_lo"), F.col("_hi"), F.col("_n"), bucket_rows, MAX_BUCKETS).alias("bucket"))
+    most = [F.max(c).alias(c) for c in carry]
+    counts = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("v")).agg(
+        F.count("*").alias("c"), *most)
+    sizes = counts.groupBy(*keys).agg(
+        F.sum("c").alias("_n"), F.min("v").alias("_lo"), F.max("v").alias("_hi"), *most)
+    hot = sizes.where(F.col("_n") > hot_rows)
+
+    plain = counts.join(hot, keys, "left_anti").groupBy(*keys).agg(
+        F.percentile("v", literal_array(levels), F.col("c")).alias("_values"), *most)
+    small = _long(plain, keys, levels, carry)
+
+    parts = counts.drop(*carry).join(hot.drop(*carry), keys).select(*keys, "v", "c", _bucket(
+        F.col("v"), F.col("_lo"), F.col("_hi"), F.col("_n"), bucket_rows, MAX_BUCKETS).alias("bucket"))
     large = _from_buckets(parts, keys, levels)
     if carry:
-        carried = hot.groupBy(*keys).agg(*[c.alias(k) for k, c in carry.items()])
-        large = large.join(carried, keys)
+        large = large.join(hot.select(*keys, *carry), keys)
     return small.unionByName(large.select(*small.columns))
 
 
-def _from_buckets(parts: DataFrame, keys: list[str], levels: Sequence[float]) -> DataFrame:
-    counts = parts.groupBy(*keys, "bucket", "v").agg(F.count("*").alias("c"))
+def _from_buckets(counts: DataFrame, keys: list[str], levels: Sequence[float]) -> DataFrame:
     hist = counts.groupBy(*keys, "bucket").agg(F.sum("c").alias("m"))
     wanted = _targets(hist, keys, levels)
     return _pick(counts.join(wanted, [*keys, "bucket"]), keys).drop("n")
 
 
-def column_quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[float]) -> Column:
-    """Quantiles of whole columns as one scalar: a struct of arrays by column name."""
+def column_quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[float]) -> DataFrame:
+    """Quantiles of whole columns: rows of ``column``, ``quantile``, ``value``."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "_column", "_value")
-    found = exact_quantiles(long, ["_column"], "_value", levels)
-    per = [
-        F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("_column") == c, F.struct(QUANTILE, "value")))),
-            lambda s: s["value"],
-        ).alias(c)
-        for c in columns
-    ]
-    return found.agg(F.struct(*per)).scalar()
+        [], list(columns), "column", "_value")
+    return exact_quantiles(long, ["column"], "_value", levels)
 
 
 def prefix_quantiles(df: DataFrame, keys: Sequence[str], at: str, value: str, cutoffs: DataFrame,

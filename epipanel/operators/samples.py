@@ -33,7 +33,7 @@ def samples_to_quantiles(df: DataFrame, levels: Sequence[float] = QUANTILE_LEVEL
     """
     keys = series_keys(df)
     rows = filter_admin1(df, gid_1)
-    out = exact_quantiles(rows, [*keys, DATE], PREDICTION, levels, {CASES: F.max(CASES)}, hot_rows)
+    out = exact_quantiles(rows, [*keys, DATE], PREDICTION, levels, [CASES], hot_rows)
     out = out.withColumnRenamed("value", PREDICTION)
     if not trim:
         return out
@@ -47,7 +47,7 @@ def samples_to_quantiles(df: DataFrame, levels: Sequence[float] = QUANTILE_LEVEL
 
 def median_of_samples(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Median draw per series and date."""
-    out = exact_quantiles(df, [*series_keys(df), DATE], PREDICTION, [0.5], None, hot_rows)
+    out = exact_quantiles(df, [*series_keys(df), DATE], PREDICTION, [0.5], (), hot_rows)
     return out.drop(QUANTILE).withColumnRenamed("value", PREDICTION)
 
 

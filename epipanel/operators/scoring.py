@@ -181,12 +181,11 @@ def score_distribution(scores: DataFrame, metrics: Sequence[str], keys: Sequence
     long = scores.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
         keys, list(metrics), "metric", "value").where(is_finite(F.col("value")))
     group = [*keys, "metric"]
-    quartiles = exact_quantiles(long, group, "value", [0.25, 0.5, 0.75], {
-        "mean": F.avg("value"), "std": F.stddev_samp("value")})
     at = lambda q: F.max(F.when(F.col(QUANTILE) == q, F.col("value")))
-    return quartiles.groupBy(*group).agg(
-        F.max("mean").alias("mean"), F.max("std").alias("std"),
+    quartiles = exact_quantiles(long, group, "value", [0.25, 0.5, 0.75]).groupBy(*group).agg(
         at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"))
+    moments = long.groupBy(*group).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    return moments.join(quartiles, group)
 
 
 def compare_scores(base: DataFrame, adjusted: DataFrame, metrics: Sequence[str],

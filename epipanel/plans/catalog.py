@@ -35,6 +35,7 @@ def with_ctes(body: str, *names: str, recursive: bool = False) -> str:
     if not ordered:
         return body
     parts = ",\n".join(f"{n} AS MATERIALIZED ({_CTES[n][1].strip()})" for n in ordered)
+    # a recursive body starts with its own further expressions, after a comma
     return f"WITH {'RECURSIVE ' if recursive else ''}{parts}\n{body.strip()}"
 
 

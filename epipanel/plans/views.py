@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from epipanel.operators import panel
 from epipanel.plans.catalog import cte
-from epipanel.schema import CASES, DATE, GID_1, GID_2, with_period
+from epipanel.schema import CASES, DATE, GID_1, GID_2, QUANTILE_LEVELS, with_period
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,14 +139,14 @@ def climate(spark: SparkSession, d: str) -> DataFrame:
         table(spark, d, "lineitem")
         .groupBy(_supplier_gid("l_suppkey").alias(GID_2), F.last_day(F.to_date("l_shipdate")).alias(DATE))
         .agg((F.avg("l_discount") * 100).alias("tmin"), (F.avg("l_tax") * 100).alias("tmax"),
-             (F.avg("l_extendedprice") / 1000).alias("prec")),
+             (F.avg("l_extendedprice") / 1013).alias("prec")),
         "M",
     )
 
 
 cte("climate", f"""
   SELECT {_SUPPLIER_GID} AS GID_2, last_day(CAST(l_shipdate AS DATE)) AS "Date",
-         avg(l_discount) * 100 AS tmin, avg(l_tax) * 100 AS tmax, avg(l_extendedprice) / 1000 AS prec
+         avg(l_discount) * 100 AS tmin, avg(l_tax) * 100 AS tmax, avg(l_extendedprice) / 1013 AS prec
   FROM lineitem GROUP BY 1, 2""")
 
 
@@ -200,3 +200,126 @@ cte("population", f"""
          sum(round(l_extendedprice * 2)) AS pop_estimate_unconstrained,
          sum(round(l_extendedprice * 3)) AS pop_estimate_constrained
   FROM lineitem GROUP BY 1, 2""")
+
+
+def climate_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Climate in long form: one row per region, date and metric."""
+    wide = climate(spark, d)
+    return wide.unpivot([GID_2, DATE], ["tmin", "tmax", "prec"], "metric", "mean")
+
+
+cte("climate_stats", """
+  SELECT GID_2, "Date", 'tmin' AS metric, tmin AS mean FROM climate
+  UNION ALL SELECT GID_2, "Date", 'tmax', tmax FROM climate
+  UNION ALL SELECT GID_2, "Date", 'prec', prec FROM climate""", "climate")
+
+
+def population_stats(spark: SparkSession, d: str) -> DataFrame:
+    wide = population(spark, d)
+    return wide.unpivot([GID_2, "year"], [c for c in wide.columns if c not in (GID_2, "year")], "metric", "sum")
+
+
+def covariate_panel(spark: SparkSession, d: str) -> DataFrame:
+    """Supplier panel with climate, drought, ocean index, population and incidence."""
+    from epipanel.operators.covariates import covariate_panel as join_all
+    from epipanel.operators.covariates import standard_sources
+
+    registry = standard_sources(climate_stats(spark, d), drought(spark, d), ocean_index(spark, d),
+                                population_stats(spark, d))
+    return join_all(supplier_panel(spark, d), registry)
+
+
+cte("covariate_panel", """
+  SELECT p.*, c.tmin, c.tmax, c.prec, d.mean AS SPI6, o.TotalONI, o.AnomONI, n.pop_count,
+         100000.0 * p.Cases / nullif(n.pop_count, 0) AS DIR
+  FROM supplier_panel p
+  LEFT JOIN climate c ON c.GID_2 = p.GID_2 AND c."Date" = p."Date"
+  LEFT JOIN drought d ON d.GID_2 = p.GID_2 AND d."Date" = p."Date"
+  LEFT JOIN ocean_index o ON o."Date" = p."Date"
+  LEFT JOIN population n ON n.GID_2 = p.GID_2 AND n.year = year(p."Date")""",
+    "supplier_panel", "climate", "drought", "ocean_index", "population")
+
+
+def baseline_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """Baseline quantile forecasts of the supplier panel, one and two months ahead."""
+    from epipanel.operators.baseline import baseline
+
+    return baseline(supplier_panel(spark, d), horizon=2)
+
+
+_LEVELS = "CAST([0.01, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99] AS DOUBLE[])"
+# Of 1000 evenly spaced draws the levels lie between these (position / 999) pairs.
+_PLACES = [(q, int(q * 999 + 1e-9), q * 999 - int(q * 999 + 1e-9)) for q in QUANTILE_LEVELS]
+_DRAWN = sorted({j for _, low, _ in _PLACES for j in (low, low + 1)})
+
+
+def sql_baseline(source: str, horizons: str, pooled: str, shift: str) -> str:
+    """SQL of baseline forecasts without future rows."""
+    at = {j: f"s[{i + 1}]" for i, j in enumerate(_DRAWN)}
+    median = f"(({at[499]} + {at[500]}) / 2)"
+
+    def draw(j: int) -> str:
+        return f"greatest(lvl + {at[j]} + {shift.format(median=median)}, 0)"
+
+    values = ", ".join(f"{draw(low)} + ({draw(low + 1)} - {draw(low)}) * {part!r}" for _, low, part in _PLACES)
+    marks = ", ".join(repr(j / 999) for j in _DRAWN)
+    return f"""
+  SELECT GID_2, "Date", horizon, unnest({_LEVELS}) AS quantile, unnest([{values}]) AS prediction,
+         c AS Cases, false AS future
+  FROM (SELECT t.GID_2, t."Date", t.k, t.c, h.h AS horizon, any_value(l.c) AS lvl,
+               quantile_cont({pooled}, [{marks}]) AS s
+        FROM {source} t CROSS JOIN (SELECT unnest({horizons}) AS h) h CROSS JOIN (VALUES (1), (-1)) g(sgn)
+        JOIN {source} d ON d.GID_2 = t.GID_2 AND d.k >= 1 AND d.k <= t.k - h.h - 1
+        JOIN {source} l ON l.GID_2 = t.GID_2 AND l.k = t.k - h.h
+        WHERE t.k >= 2 + h.h GROUP BY ALL) z
+  UNION ALL
+  SELECT GID_2, "Date", h, CAST(0.5 AS DOUBLE), NULL, c, false
+  FROM {source}, (SELECT unnest({horizons}) AS h) WHERE k < 3"""
+
+
+cte("supplier_rows", """
+  SELECT GID_2, "Date", c, k, c - lag(c) OVER (PARTITION BY GID_2 ORDER BY k) AS d
+  FROM (SELECT GID_2, "Date", CAST(Cases AS DOUBLE) AS c,
+               CAST(row_number() OVER (PARTITION BY GID_2 ORDER BY "Date") - 1 AS INTEGER) AS k
+        FROM supplier_panel)""", "supplier_panel")
+cte("baseline_forecast", sql_baseline("supplier_rows", "[1, 2]", "g.sgn * d.d", "(-{median})"), "supplier_rows")
+
+
+def model_forecasts(spark: SparkSession, d: str) -> DataFrame:
+    """Three models: the baseline and two fixed scalings of it."""
+    from epipanel.operators.ensemble import stack_models
+
+    return stack_models(forecasts_by_model(spark, d))
+
+
+def forecasts_by_model(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    base = baseline_forecast(spark, d)
+    p = F.col("prediction")
+    return {
+        "base": base,
+        "high": base.withColumn("prediction", p * 1.25 + 1),
+        "low": base.withColumn("prediction", p * 0.7),
+    }
+
+
+cte("model_forecasts", """
+  SELECT *, 'base' AS model FROM baseline_forecast
+  UNION ALL SELECT * REPLACE (prediction * 1.25 + 1 AS prediction), 'high' FROM baseline_forecast
+  UNION ALL SELECT * REPLACE (prediction * 0.7 AS prediction), 'low' FROM baseline_forecast""",
+    "baseline_forecast")
+
+
+def forecast_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as draws: their prices per supplier and month."""
+    return table(spark, d, "lineitem").select(
+        _supplier_gid("l_suppkey").alias(GID_2), F.last_day(F.to_date("l_shipdate")).alias(DATE),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sample"),
+        (F.col("l_extendedprice") / 1000).alias("prediction"),
+        (F.month("l_shipdate") * 10.0 + F.col("l_suppkey") % 7).alias(CASES))
+
+
+cte("forecast_samples", f"""
+  SELECT {_SUPPLIER_GID} AS GID_2, last_day(CAST(l_shipdate AS DATE)) AS "Date",
+         l_orderkey * 10 + l_linenumber AS sample, l_extendedprice / 1000 AS prediction,
+         CAST(month(l_shipdate) * 10.0 + l_suppkey % 7 AS DOUBLE) AS Cases
+  FROM lineitem""")

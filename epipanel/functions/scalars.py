@@ -96,7 +96,7 @@ def admin1_of(gid_2: Column) -> Column:
 
 def expm1_clipped(x: Column) -> Column:
     """Back from the log1p scale, never below zero."""
-    return F.greatest(F.expm1(x), F.lit(0.0))
+    return F.when(x.isNotNull(), F.greatest(F.expm1(x), F.lit(0.0)))
 
 
 def clip(x: Column, lower: float | None = None, upper: float | None = None) -> Column:

@@ -14,6 +14,7 @@ from epipanel.operators.quantiles import prefix_quantiles, recent_quantiles
 from epipanel.operators.samples import series_keys
 from epipanel.operators.scoring import forecast_keys
 from epipanel.schema import CASES, DATE, GID_2, HORIZON, PREDICTION, QUANTILE, QUANTILE_LEVELS, literal_array
+from epipanel.sources.stage import stage
 
 
 def residual_quantiles(df: DataFrame, levels: Sequence[float] = QUANTILE_LEVELS, window: int | None = None,
@@ -24,7 +25,8 @@ def residual_quantiles(df: DataFrame, levels: Sequence[float] = QUANTILE_LEVELS,
     strictly before a date (all, or the last ``window``) give the quantiles.
     With fewer than ``min_history`` of them the errors of all regions before
     that date do, when these are enough; else every level equals the point
-    forecast. Expects one row per series and date.
+    forecast. Expects one row per series and date. With ``pool`` the errors
+    are staged as a table first.
     """
     if HORIZON not in df.columns:
         df = df.withColumn(HORIZON, F.lit(1))
@@ -49,6 +51,9 @@ def residual_quantiles(df: DataFrame, levels: Sequence[float] = QUANTILE_LEVELS,
         rows = rows.withColumn("_have", F.least(F.col("_have"), F.lit(window)))
     own = F.when((F.col("_have") >= min_history) & (F.col("_have") > 0), F.col("_own"))
     rows = rows.withColumn("_own", own)
+    if pool:
+        # the pool reads these rows several times
+        rows = stage(rows)
     cells = F.when(F.col("_own").isNotNull(), F.arrays_zip(marks.alias("q"), F.col("_own").alias("e"))).otherwise(
         F.transform(marks, lambda q: F.struct(q.alias("q"), F.lit(None).cast("double").alias("e"))))
     long = rows.withColumn("_cell", F.explode(cells)).select(
@@ -65,7 +70,7 @@ def residual_quantiles(df: DataFrame, levels: Sequence[float] = QUANTILE_LEVELS,
         long = long.withColumn("_e", F.coalesce("_e", "_pooled"))
     value = F.col("_base") + F.coalesce(F.col("_e"), F.lit(0.0))
     return long.select(
-        *keys, DATE, QUANTILE, F.when(value.isNotNull(), expm1_clipped(value)).alias(PREDICTION), CASES)
+        *keys, DATE, QUANTILE, expm1_clipped(value).alias(PREDICTION), CASES)
 
 
 def calibrate_forecast(df: DataFrame, **options) -> DataFrame:

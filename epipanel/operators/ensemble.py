@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from epipanel.functions.scalars import pinball
 from epipanel.operators.calibrate import lift_tiny_violations
 from epipanel.schema import CASES, DATE, GID_2, HORIZON, MODEL, PREDICTION, QUANTILE
+from epipanel.sources.stage import stage
 
 
 def stack_models(forecasts: dict[str, DataFrame] | Sequence[DataFrame]) -> DataFrame:
@@ -169,10 +170,14 @@ def combine_fixed(df: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 def create_ensemble(forecasts: dict[str, DataFrame], step: float = 0.05, lag: int = 1,
                     quantile_fix: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Ensemble and its weights from forecasts by model name; all horizons in one job."""
+    """Ensemble and its weights from forecasts by model name; all horizons together.
+
+    The stacked forecasts and the weights are staged as tables: both are read
+    several times.
+    """
     models = list(forecasts)
-    shared = common_part(stack_models(forecasts), len(models))
-    weights = train_weights(shared, models, step)
+    shared = common_part(stage(stack_models(forecasts)), len(models))
+    weights = stage(train_weights(shared, models, step))
     out = apply_weights(shared, weights, models, lag)
     return (lift_tiny_violations(out) if quantile_fix else out), weights
 

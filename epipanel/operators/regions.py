@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from epipanel.functions.scalars import homogenise, sort_tokens, token_sort_ratio
 from epipanel.schema import DATE, GID_1, GID_2, require_columns
+from epipanel.sources.stage import stage
 
 
 def lookup_gid1(regions: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
@@ -61,16 +62,16 @@ def fuzzy_match(names: DataFrame, candidates: DataFrame, name: str, candidate: s
     threshold is missed, so nobody compares every name with every candidate.
     """
     asked = (
-        names.select(name).distinct().where(F.col(name).isNotNull())
+        names.select(name).distinct().where(F.char_length(sort_tokens(F.col(name))) > 0)
         .withColumn("_pieces", _pieces(sort_tokens(F.col(name)), threshold))
     )
     lengths = asked.select(F.explode("_pieces").alias("_piece")).agg(
         F.array_sort(F.collect_set(F.char_length("_piece")))
     ).scalar()
     known = candidates.groupBy(candidate).agg(F.min(order).alias("_order"))
-    known = known.withColumn(
-        "_piece", F.explode(_substrings(sort_tokens(F.col(candidate)), lengths))
-    )
+    known = known.withColumn("_lengths", lengths).withColumn(
+        "_piece", F.explode(_substrings(sort_tokens(F.col(candidate)), F.col("_lengths")))
+    ).drop("_lengths")
     pairs = (
         asked.withColumn("_piece", F.explode(F.array_distinct("_pieces")))
         .join(known, "_piece")
@@ -110,10 +111,11 @@ def resolve_names(names: DataFrame, regions: DataFrame, admin1_col: str | None,
     """Distinct input names with the reference names they stand for.
 
     Exact match first; a state or municipality name left over is matched by
-    itself, the municipality among those of the whole country.
+    itself, the municipality among those of the whole country. The distinct
+    names are staged as a table.
     """
     given = [c for c in (admin1_col, admin2_col) if c]
-    exact = match_exact(names.select(*given).distinct(), regions, admin1_col, admin2_col)
+    exact = stage(match_exact(names.select(*given).distinct(), regions, admin1_col, admin2_col))
     open_ = exact.where(F.col("NAME_2").isNull())
     two = fuzzy_match(open_, regions, admin2_col, "NAME_2", GID_2, threshold)
     out = exact.join(two.select(admin2_col, F.col("NAME_2").alias("_f2")), admin2_col, "left")

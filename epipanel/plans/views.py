@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from epipanel.operators import panel
 from epipanel.plans.catalog import cte
 from epipanel.schema import CASES, DATE, GID_1, GID_2, QUANTILE_LEVELS, with_period
+from epipanel.sources.stage import stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -293,7 +294,7 @@ def model_forecasts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def forecasts_by_model(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    base = baseline_forecast(spark, d)
+    base = stage(baseline_forecast(spark, d))
     p = F.col("prediction")
     return {
         "base": base,
@@ -314,12 +315,12 @@ def forecast_samples(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(
         _supplier_gid("l_suppkey").alias(GID_2), F.last_day(F.to_date("l_shipdate")).alias(DATE),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sample"),
-        (F.col("l_extendedprice") / 1000).alias("prediction"),
+        (F.col("l_extendedprice") / 1013).alias("prediction"),
         (F.month("l_shipdate") * 10.0 + F.col("l_suppkey") % 7).alias(CASES))
 
 
 cte("forecast_samples", f"""
   SELECT {_SUPPLIER_GID} AS GID_2, last_day(CAST(l_shipdate AS DATE)) AS "Date",
-         l_orderkey * 10 + l_linenumber AS sample, l_extendedprice / 1000 AS prediction,
+         l_orderkey * 10 + l_linenumber AS sample, l_extendedprice / 1013 AS prediction,
          CAST(month(l_shipdate) * 10.0 + l_suppkey % 7 AS DOUBLE) AS Cases
   FROM lineitem""")

@@ -64,8 +64,10 @@ _TYPE = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "s
 
 def compare(spark, con, fn, sql, sf_dir):
     """None when equal, else a text that says where they differ."""
+    t0 = time.time()
     df = fn(spark, sf_dir)
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
+    compare.spark = time.time() - t0
     rel = con.sql(sql)
     want = _rows(rel.columns, rel.fetchall())
     if sorted(df.columns) != sorted(rel.columns):
@@ -97,6 +99,7 @@ if __name__ == "__main__":
         try:
             if name in ORACLE:
                 message = compare(spark, con, QUERIES[name], ORACLE[name], sf_dir)
+                print(f"   spark {compare.spark:.1f}s", end=" ")
                 kind = "ok"
             else:
                 message, kind = None, f"rows only: {QUERIES[name](spark, sf_dir).count()}"

@@ -1,3 +1,10 @@
 """Region-by-period count panels on Spark: build, enrich, forecast and score."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run inside tasks travel with the job: executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

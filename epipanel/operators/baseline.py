@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from epipanel.functions.periods import add_periods, align_scalar, period_end
 from epipanel.operators.access import between_dates, filter_admin1
 from epipanel.operators.panel import densify, merge_statuses
+from epipanel.operators.quantiles import quantiles_of_sorted
 from epipanel.schema import (
     CASES, DATE, FUTURE, GID_2, HORIZON, PREDICTION, QUANTILE, QUANTILE_LEVELS, SAMPLE,
     literal_array, period_freq, require_columns, with_period,
@@ -71,46 +72,39 @@ def baseline(panel: DataFrame, horizon: int = 1, symmetrize: bool = True, num_sa
     df = df.withColumns({f"_base{h}": base[h] for h in steps})
 
     draw_levels, spots = _draw_positions([*levels, 0.5], num_samples)
-    pool = F.col("_diff")
-    if symmetrize:
-        df = df.withColumn("_sign", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
-        pool = F.col("_diff") * F.col("_sign")
-    by_row = Window.partitionBy(GID_2).orderBy("_k")
+    # mirrored differences are known by their absolute values
+    pool = F.abs("_diff") if symmetrize else F.col("_diff")
     df = df.withColumns({
-        f"_draws{h}": F.percentile(pool, literal_array(draw_levels)).over(
-            by_row.rangeBetween(Window.unboundedPreceding, -(h + 1)))
+        f"_pool{h}": F.sort_array(F.collect_list(pool).over(
+            w.rowsBetween(Window.unboundedPreceding, -(h + 1))))
         for h in steps
     })
-    if symmetrize:
-        df = df.where(F.col("_sign") > 0).drop("_sign")
+    whole = F.array(*[F.struct(
+        F.lit(h).alias("h"), F.col(f"_base{h}").alias("base"), F.col(f"_pool{h}").alias("pool")) for h in steps])
+    long = df.select(GID_2, DATE, CASES, FUTURE, "_k", F.explode(whole).alias("_s")).select(
+        GID_2, DATE, CASES, FUTURE, "_k", F.col("_s.h").alias(HORIZON), F.col("_s.base").alias("_base"),
+        quantiles_of_sorted(F.col("_s.pool"), draw_levels, symmetrize).alias("_draws"))
 
+    # the two draws around each level, relative to the last level; the median's come last
     lo_mid, hi_mid, part_mid = spots[-1]
+    draws = F.col("_draws")
+    middle = draws[lo_mid] + (draws[hi_mid] - draws[lo_mid]) * part_mid
+    drift = -middle if symmetrize else (F.col(HORIZON) - 1) * middle
+    ready = draws.isNotNull() & (F.col("_k") >= 2 + F.col(HORIZON))
 
-    def shifts(h: int) -> Column:
-        """(low, high, part) of every level around the last level, the median's at the end."""
-        draws = F.col(f"_draws{h}")
-        middle = draws[lo_mid] + (draws[hi_mid] - draws[lo_mid]) * part_mid
-        drift = -middle if symmetrize else F.lit(float(h - 1)) * middle
-        return F.array(*[
-            F.struct((draws[a] + drift).alias("low"), (draws[b] + drift).alias("high"), F.lit(f).alias("part"))
-            for a, b, f in spots
-        ])
-
-    whole = [F.struct(
-        F.lit(h).alias("h"), F.col(f"_base{h}").alias("base"),
-        F.when(F.col("_k") >= 2 + h, shifts(h)).alias("shifts"),
-    ) for h in steps]
-    long = df.select(GID_2, DATE, CASES, FUTURE, "_k", F.explode(F.array(*whole)).alias("_s")).select(
-        GID_2, DATE, CASES, FUTURE, "_k", F.col("_s.h").alias(HORIZON), F.col("_s.base").alias("_base"),
-        F.col("_s.shifts").alias("_shifts"))
+    def shifted(side: int) -> Column:
+        places = F.array(*[F.lit(s[side]) for s in spots])
+        return F.when(ready, F.transform(places, lambda i: F.get(draws, i) + F.col("_drift")))
+
+    long = long.withColumn("_drift", drift).select(
+        GID_2, DATE, CASES, FUTURE, "_k", HORIZON, "_base", shifted(0).alias("_low"), shifted(1).alias("_high"))
 
     # rows h apart form a chain; a row without a known level takes the median before it
     chain = Window.partitionBy(GID_2, HORIZON, F.col("_k") % F.col(HORIZON)).orderBy("_k")
     needs = F.col("_base").isNull() & (F.col("_k") >= F.col(HORIZON))
     member = needs | F.coalesce(F.lead(needs).over(chain), F.lit(False))
-    middle = F.element_at("_shifts", -1)
     links = F.collect_list(F.when(F.col("_member"), F.struct(
-        F.col("_base").alias("base"), middle["low"].alias("low"), middle["high"].alias("high"))))
+        F.col("_base").alias("base"), F.element_at("_low", -1).alias("low"), F.element_at("_high", -1).alias("high"))))
 
     def median_after(level: Column, link: Column) -> Column:
         known = F.coalesce(link["base"], level)
@@ -124,17 +118,18 @@ def baseline(panel: DataFrame, horizon: int = 1, symmetrize: bool = True, num_sa
         F.col("_needs"), F.aggregate("_links", F.lit(None).cast("double"), median_after))
     long = long.withColumn("_level", F.coalesce("_base", carried))
 
-    cells = F.zip_with(
-        literal_array(levels), F.slice("_shifts", 1, len(levels)),
-        lambda q, s: F.struct(
-            q.alias("q"),
-            F.when(F.col("_level").isNotNull(), _between(F.col("_level"), s["low"], s["high"], s["part"])).alias("p")),
-    )
-    filler = F.array(F.struct(F.lit(0.5).alias("q"), F.lit(None).cast("double").alias("p")))
-    rows = F.when(F.col("_k") < 3, filler).otherwise(cells)
-    # a region's third date or earlier never has a forecast, so the two never meet
-    out = long.withColumn("_cell", F.explode(rows)).select(
-        GID_2, DATE, HORIZON, F.col("_cell.q").alias(QUANTILE), F.col("_cell.p").alias(PREDICTION), CASES, FUTURE)
+    # a region's first three dates never have a forecast, so filler and forecast do not meet
+    filler = F.col("_k") < 3
+    nothing = F.lit(None).cast("double")
+    forecast = F.arrays_zip(
+        literal_array(levels).alias("q"), F.slice("_low", 1, len(levels)).alias("low"),
+        F.slice("_high", 1, len(levels)).alias("high"), literal_array([f for _, _, f in spots[:-1]]).alias("part"))
+    blank = F.array(F.struct(F.lit(0.5).alias("q"), nothing.alias("low"), nothing.alias("high"), nothing.alias("part")))
+    long = long.withColumn("_cell", F.explode(F.when(filler, blank).when(F.col("_low").isNotNull(), forecast)))
+    value = _between(F.col("_level"), F.col("_cell.low"), F.col("_cell.high"), F.col("_cell.part"))
+    out = long.select(
+        GID_2, DATE, HORIZON, F.col("_cell.q").alias(QUANTILE),
+        F.when(~filler & F.col("_level").isNotNull(), value).alias(PREDICTION), CASES, FUTURE)
     freq = period_freq(panel)
     return with_period(out, freq) if freq else out
 

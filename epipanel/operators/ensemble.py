@@ -100,18 +100,19 @@ def train_weights(df: DataFrame, models: Sequence[str], step: float = 0.05) -> D
         missing = missing | F.col(f"_p{i}").isNull()
     known = wide.withColumns({f"_e{i}": f for i, f in enumerate(firsts)}).dropna(subset=[f"_e{i}" for i in range(n)])
     known = known.withColumn("_at", F.greatest(F.col(DATE), *[F.col(f"_e{i}") for i in range(n)]))
+    grid = _grid_column(n, step)
     mix = sum((F.col("_g.w")[i] * F.col(f"_p{i}") for i in range(n)), F.lit(0.0))
     daily = (
         known.withColumn("_gap", missing)
-        .withColumn("_g", F.explode(_grid_column(n, step)))
+        .withColumn("_g", F.explode(grid))
         .groupBy(*by, F.col("_at").alias(DATE), F.col("_g.i").alias("_i"))
-        .agg(F.sum(pinball(F.col("_y"), mix, F.col(QUANTILE))).alias("_loss"),
-             F.max(F.col("_g.w")).alias("_w"), F.bool_or("_gap").alias("_gap"))
+        .agg(F.sum(pinball(F.col("_y"), mix, F.col(QUANTILE))).alias("_loss"), F.bool_or("_gap").alias("_gap"))
     )
     history = Window.partitionBy(*by, "_i").orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
     total = daily.withColumns({"_loss": F.sum("_loss").over(history), "_gap": F.max("_gap").over(history)})
     best = total.groupBy(*by, DATE).agg(
-        F.min_by("_w", F.struct(F.round("_loss", 9), "_i")).alias("_w"), F.bool_or("_gap").alias("_gap"))
+        F.min(F.struct(F.round("_loss", 9), F.col("_i").alias("i"))).alias("_best"), F.bool_or("_gap").alias("_gap"))
+    best = best.withColumn("_w", F.get(F.transform(grid, lambda g: g["w"]), F.col("_best.i"))).drop("_best")
     # dates without new rows keep the weights of the date before
     dates = df.select(*by, DATE).distinct().join(best, [*by, DATE], "left")
     over_time = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(DATE).rowsBetween(

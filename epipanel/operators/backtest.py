@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from epipanel.functions.periods import align_scalar, period_index
 from epipanel.functions.scalars import expm1_clipped
 from epipanel.operators.checks import active_regions
-from epipanel.schema import CASES, DATE, FUTURE, GID_1, GID_2, HORIZON, PREDICTION, period_freq, require_columns
+from epipanel.schema import CASES, DATE, FUTURE, GID_1, GID_2, HORIZON, PREDICTION, period_freq, require_columns, spread
 
 LOG_CASES = "Log_Cases"
 _GROUPS: dict[int, Callable[[], Column]] = {
@@ -170,7 +170,7 @@ def backtest_series(panel: DataFrame, fit: Callable[[np.ndarray], Any], predict:
             PREDICTION: np.maximum(np.expm1([v for _, _, v in out]), 0.0) if out else np.array([], float),
             CASES: pdf[CASES].to_numpy()[at]})
 
-    return df.groupBy(GID_2).applyInPandas(
+    return spread(df, GID_2).groupBy(GID_2).applyInPandas(
         one_region, f"{GID_2} string, {DATE} date, {HORIZON} int, {PREDICTION} double, {CASES} double")
 
 

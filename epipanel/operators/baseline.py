@@ -13,7 +13,7 @@ from epipanel.operators.panel import densify, merge_statuses
 from epipanel.operators.quantiles import quantiles_of_sorted
 from epipanel.schema import (
     CASES, DATE, FUTURE, GID_2, HORIZON, PREDICTION, QUANTILE, QUANTILE_LEVELS, SAMPLE,
-    literal_array, period_freq, require_columns, with_period,
+    literal_array, period_freq, require_columns, spread, with_period,
 )
 
 
@@ -60,6 +60,7 @@ def baseline(panel: DataFrame, horizon: int = 1, symmetrize: bool = True, num_sa
     if start_date is not None or end_date is not None:
         df = between_dates(df, start_date, end_date)
     df = df.select(GID_2, DATE, F.col(CASES).cast("double").alias(CASES), FUTURE)
+    df = spread(df, GID_2)
     w = Window.partitionBy(GID_2).orderBy(DATE)
     df = df.withColumn("_k", F.row_number().over(w) - 1)
     df = df.withColumn(

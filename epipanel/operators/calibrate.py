@@ -13,7 +13,7 @@ from epipanel.operators.access import pick
 from epipanel.operators.quantiles import prefix_quantiles, quantiles_of_sorted, recent_quantiles
 from epipanel.operators.samples import series_keys
 from epipanel.operators.scoring import forecast_keys
-from epipanel.schema import CASES, DATE, GID_2, HORIZON, PREDICTION, QUANTILE, QUANTILE_LEVELS, literal_array
+from epipanel.schema import CASES, DATE, GID_2, HORIZON, PREDICTION, QUANTILE, QUANTILE_LEVELS, literal_array, spread
 from epipanel.sources.stage import stage
 
 
@@ -39,6 +39,7 @@ def residual_quantiles(df: DataFrame, levels: Sequence[float] = QUANTILE_LEVELS,
         (F.log1p(F.col(CASES).cast("double")) - point).alias("_e"),
         period_index(F.col(DATE), "D").alias("_t"),
     )
+    rows = spread(rows, *keys)
     series = Window.partitionBy(*keys).orderBy("_t")
     past = series.rangeBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_have", F.count("_e").over(past))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from epipanel.functions.scalars import pinball
 from epipanel.operators.calibrate import lift_tiny_violations
-from epipanel.schema import CASES, DATE, GID_2, HORIZON, MODEL, PREDICTION, QUANTILE
+from epipanel.schema import CASES, DATE, GID_2, HORIZON, MODEL, PREDICTION, QUANTILE, spread
 from epipanel.sources.stage import stage
 
 
@@ -90,7 +90,7 @@ def train_weights(df: DataFrame, models: Sequence[str], step: float = 0.05) -> D
     by, n = _by(df), len(models)
     rows = df.where(F.col(MODEL).isin(*models)).dropna(subset=[PREDICTION, CASES])
     # one shuffle by region serves the pivot and the entry dates
-    wide = rows.repartition(*by, GID_2).groupBy(*by, GID_2, DATE, QUANTILE).agg(
+    wide = spread(rows, *by, GID_2).groupBy(*by, GID_2, DATE, QUANTILE).agg(
         *[F.max(F.when(F.col(MODEL) == m, F.col(PREDICTION))).alias(f"_p{i}") for i, m in enumerate(models)],
         F.max_by(F.col(CASES).cast("double"), -F.array_position(F.array(*map(F.lit, models)), F.col(MODEL))).alias("_y"))
     region = Window.partitionBy(*by, GID_2)

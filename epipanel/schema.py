@@ -71,6 +71,16 @@ def period_freq(df: DataFrame, column: str = DATE) -> str | None:
     return df.schema[column].metadata.get(PERIOD_FREQ)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash ``df`` by ``keys`` for steps that compute much on few bytes.
+
+    Adaptive execution merges shuffle partitions by size, which would leave
+    such a step to a task or two; an explicit number of parts keeps them apart.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)
+
+
 def one_row(df: DataFrame) -> Column:
     """First column of a one-row aggregate as a scalar subquery.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epipanel.llm import bpe, packing, secret_scan, token_files, topk
+from epipanel.llm import bpe, fingerprints, packing, quality, secret_scan, token_files, topk, warc
 from epipanel.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,24 @@ WHERE rank <= 10
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secret_scan.find(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learned from three quarters of the labels."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    ranking = quality.learn(docs, labels.filter(~quality.held_out()))
+    scored = quality.score(docs, ranking)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return fingerprints.with_next(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived and read back."""
+    return warc.write_and_read(read_table(spark, sf_dir, "pages"))

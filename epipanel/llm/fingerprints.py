@@ -25,39 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from epipanel.llm.common import Memo, stage, table_parts, texts, words
+from epipanel.llm.common import stage, table_parts, texts, words
+from epipanel.llm.hashing import shingle_hashes
 
 BINS, BITS, WIDTH = 512, 4, 5
 
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
-                 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
-_hash_word = Memo(xxhash.xxh3_64_intdigest, 300_000)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_hashes(tokens: list[bytes], width: int = WIDTH) -> np.ndarray:
-    """A 64-bit hash for each run of ``width`` words; of all words if there are fewer."""
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    own = np.fromiter(map(_hash_word.__getitem__, tokens), np.uint64, len(tokens))
-    width = min(width, len(own))
-    n = len(own) - width + 1
-    total = np.full(n, np.uint64(width))
-    for i in range(width):
-        total = _mix(total + own[i:i + n] * _ODD[i % len(_ODD)])
-    return total
-
-
 # For each bin its series of bins, in steps of 64; steps beyond the first are made when they are needed.
 _series: list[np.ndarray] = []
 
@@ -89,7 +65,7 @@ def densified(filled: np.ndarray) -> np.ndarray:
 
 def fingerprint(tokens: list[bytes]) -> np.ndarray:
     """The low bits of each bin; empty without words."""
-    hashes = np.sort(shingle_hashes(tokens))
+    hashes = np.sort(shingle_hashes(tokens, WIDTH))
     if not len(hashes):
         return np.zeros(0, np.uint8)
     bins = (hashes >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epipanel.llm import bpe, fingerprints, packing, quality, secret_scan, token_files, topk, warc
+from epipanel.llm import bpe, fingerprints, lm_scoring, near_dedup, packing, quality, secret_scan, token_files, topk, warc
 from epipanel.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,15 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived and read back."""
     return warc.write_and_read(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies among all documents, on two-word shingles."""
+    return near_dedup.near_copies(read_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log-probability under a model of six sevenths of them."""
+    return lm_scoring.score(read_table(spark, sf_dir, "documents"))

@@ -35,7 +35,8 @@ def knot_levels(df: int) -> list[float]:
 def fit_knots(data: DataFrame, columns: dict[str, int]) -> dict[str, list[float]]:
     """Knots of each column at its quantiles, for the wanted number of basis columns.
 
-    Runs one job; the result is a few numbers per column.
+    Runs one job; the result is a few numbers per column, null where a column
+    has no values.
     """
     from epipanel.operators.quantiles import column_quantiles
 
@@ -43,7 +44,7 @@ def fit_knots(data: DataFrame, columns: dict[str, int]) -> dict[str, list[float]
     found: dict[str, dict[float, float]] = {}
     for r in column_quantiles(data, list(columns), levels).collect():
         found.setdefault(r["column"], {})[r["quantile"]] = r["value"]
-    return {c: [found[c][q] for q in knot_levels(df)] for c, df in columns.items() if c in found}
+    return {c: [found.get(c, {}).get(q) for q in knot_levels(df)] for c, df in columns.items()}
 
 
 def add_natural_basis(data: DataFrame, knots: dict[str, list[float]],
@@ -52,7 +53,7 @@ def add_natural_basis(data: DataFrame, knots: dict[str, list[float]],
     new = {}
     for c, marks in knots.items():
         prefix = (prefixes or {}).get(c, c)
-        at = [F.lit(float(m)) for m in marks]
+        at = [F.lit(m).cast("double") for m in marks]
         for i, col in enumerate(natural_basis(F.col(c), at, len(marks) - 1)):
             new[f"{prefix}_{i + 1}"] = col
     return data.withColumns(new)

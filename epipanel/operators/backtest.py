@@ -120,10 +120,10 @@ def _predict(rows: DataFrame, fits: DataFrame, h: int, retrain: int, start_date:
         fit = period_index(align_scalar(train_end, panel), freq) if train_end else F.col("_w.hi") - h
     due = timed.withColumn("_f", fit.cast("int"))
     # a fit time without rows of its own takes the latest fit before it
-    ends = fits.withColumn("_until", F.coalesce(
-        F.lead("_f").over(Window.partitionBy("_g").orderBy("_f")) - 1, F.col("_f") + 100_000))
+    ends = fits.withColumn("_until", F.lead("_f").over(Window.partitionBy("_g").orderBy("_f")))
     steps = due.select("_g", "_f").distinct().join(ends.withColumnRenamed("_f", "_from"), "_g").where(
-        F.col("_f").between(F.col("_from"), F.col("_until"))).select("_g", "_f", "_beta")
+        (F.col("_f") >= F.col("_from")) & (F.col("_until").isNull() | (F.col("_f") < F.col("_until")))).select(
+        "_g", "_f", "_beta")
     value = F.aggregate(F.zip_with("_beta", "_x", lambda b, x: b * x), F.lit(0.0), lambda s, v: s + v)
     return due.join(steps, ["_g", "_f"]).select(
         GID_2, DATE, F.lit(h).alias(HORIZON), expm1_clipped(value).alias(PREDICTION), CASES)

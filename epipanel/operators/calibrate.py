@@ -34,6 +34,7 @@ def residual_quantiles(df: DataFrame, levels: Sequence[float] = QUANTILE_LEVELS,
     shared = [k for k in keys if k != GID_2]
     marks = literal_array(levels)
     point = F.log1p(F.col(PREDICTION).cast("double"))
+    df = stage(df)  # read twice: for the check and for the rows
     rows = df.where(F.col(DATE).isNotNull() & (df.agg(F.count(PREDICTION)).scalar() > 0)).select(
         *keys, DATE, F.col(CASES).cast("double").alias(CASES), point.alias("_base"),
         (F.log1p(F.col(CASES).cast("double")) - point).alias("_e"),

@@ -57,7 +57,7 @@ def best_source(sources: dict[str, DataFrame], keys: Sequence[str] = (GID_2, DAT
 
 def observed_until(df: DataFrame, last_year: int) -> DataFrame:
     """The part of an observed source it can serve: up to a year."""
-    return df.where(F.year(DATE) <= last_year)
+    return df.where(F.col(DATE) <= F.make_date(F.lit(last_year), F.lit(12), F.lit(31)))
 
 
 def join_population(panel: DataFrame, yearly: DataFrame, metrics: Sequence[str] | None = None) -> DataFrame:
@@ -82,9 +82,9 @@ def join_population(panel: DataFrame, yearly: DataFrame, metrics: Sequence[str]
 
 
 def join_drought(panel: DataFrame, stats: DataFrame) -> DataFrame:
-    """Drought index means by region and date as ``SPI6``."""
+    """Drought index means by region and date as ``SPI6``; of several, the largest."""
     known = stats.where(F.col("mean").isNotNull()).select(GID_2, DATE, F.col("mean").alias("SPI6"))
-    return panel.join(align_dates(known, panel).dropDuplicates([GID_2, DATE]), [GID_2, DATE], "left")
+    return panel.join(align_dates(known, panel).groupBy(GID_2, DATE).agg(F.max("SPI6").alias("SPI6")), [GID_2, DATE], "left")
 
 
 def add_incidence(df: DataFrame, target: str = "DIR", cases: str = CASES, population: str = "pop_count",
@@ -159,5 +159,3 @@ def covariate_panel(panel: DataFrame, registry: SourceRegistry,
     """Panel with all covariates and the incidence rate."""
     return add_incidence(registry.merge(panel, requests))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["merge_new_columns"]

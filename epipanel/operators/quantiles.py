@@ -1,8 +1,10 @@
 """Exact quantiles of groups of any size.
 
-Spark's ``percentile`` keeps a whole group in one task. Here a group above
-``hot_rows`` rows is cut into value buckets; counts tell which bucket holds
-the wanted ranks, and only that bucket is sorted. The result is exact.
+Spark's ``percentile`` keeps a whole group in one task. Here the distinct
+values are range-partitioned by group and value, whatever the groups' sizes:
+a large group spreads over many parts, many small ones share one. Counts per
+part tell which part holds the wanted ranks, and only those parts are read
+again. The result is exact, and no part depends on how values are spread.
 """
 
 from __future__ import annotations
@@ -13,17 +15,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epipanel.schema import QUANTILE, QUANTILE_LEVELS, literal_array
+from epipanel.sources.stage import stage
 
-HOT_ROWS = 1_000_000
-BUCKET_ROWS = 50_000
-MAX_BUCKETS = 100_000
+# distinct values in a block of pooled values; shapes the work only
+BLOCK_ROWS = 1_000
 
 
-def _bucket(v: Column, lo: Column, hi: Column, n: Column, bucket_rows: int, most: int) -> Column:
-    """Number of the equal-width bucket of ``v``, about ``bucket_rows`` rows in each."""
-    count = F.least(F.ceil(n / bucket_rows), F.lit(most))
-    place = F.floor((v - lo) / F.nullif(hi - lo, F.lit(0.0)) * count)
-    return F.coalesce(F.least(F.greatest(place, F.lit(0)), count - 1), F.lit(0)).cast("long")
+def _ranged(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``counts`` by ranges of (keys, v), written once, with the range's number as ``bucket``."""
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage(counts.repartitionByRange(parts, *keys, "v").withColumn("bucket", F.spark_partition_id().cast("long")))
 
 
 def _wanted_ranks(levels: Sequence[float], n: Column) -> Column:
@@ -111,39 +112,33 @@ def quantiles_of_sorted(values: Column, levels: Sequence[float], mirrored: bool
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    levels: Sequence[float] = QUANTILE_LEVELS, carry: Sequence[str] = (),
-                    hot_rows: int = HOT_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+                    levels: Sequence[float] = QUANTILE_LEVELS, carry: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolation quantiles per group, long: keys, ``quantile``, ``value``.
 
-    The input is read once, into counts of distinct values: equal values meet
-    before the shuffle, and a hot group spreads over all tasks. ``carry``
+    Equal values meet before the shuffle. Null and NaN values do not count; a
+    group of nothing else keeps its rows, with null quantiles. ``carry``
     columns come along with their largest value per group.
     """
     keys, carry = list(keys), list(carry)
     v = F.col(value).cast("double")
-    most = [F.max(c).alias(c) for c in carry]
-    counts = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("v")).agg(
-        F.count("*").alias("c"), *most)
-    sizes = counts.groupBy(*keys).agg(
-        F.sum("c").alias("_n"), F.min("v").alias("_lo"), F.max("v").alias("_hi"), *most)
-    hot = sizes.where(F.col("_n") > hot_rows)
-
-    plain = counts.join(hot, keys, "left_anti").groupBy(*keys).agg(
-        F.percentile("v", literal_array(levels), F.col("c")).alias("_values"), *most)
-    small = _long(plain, keys, levels, carry)
-
-    parts = counts.drop(*carry).join(hot.drop(*carry), keys).select(*keys, "v", "c", _bucket(
-        F.col("v"), F.col("_lo"), F.col("_hi"), F.col("_n"), bucket_rows, MAX_BUCKETS).alias("bucket"))
-    large = _from_buckets(parts, keys, levels)
-    if carry:
-        large = large.join(hot.select(*keys, *carry), keys)
-    return small.unionByName(large.select(*small.columns))
-
-
-def _from_buckets(counts: DataFrame, keys: list[str], levels: Sequence[float]) -> DataFrame:
-    hist = counts.groupBy(*keys, "bucket").agg(F.sum("c").alias("m"))
+    counts = df.groupBy(*keys, F.when(~F.isnan(v), v).alias("v")).agg(
+        F.count("*").alias("c"), *[F.max(c).alias(c) for c in carry])
+    ranged = _ranged(counts, keys)
+    groups = ranged.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carry], F.count("v").alias("_some"))
+    known = ranged.where(F.col("v").isNotNull())
+    hist = known.groupBy(*keys, "bucket").agg(F.sum("c").alias("m"))
     wanted = _targets(hist, keys, levels)
-    return _pick(counts.join(wanted, [*keys, "bucket"]), keys).drop("n")
+    same = [F.col(f"g.{k}").eqNullSafe(F.col(f"w.{k}")) for k in keys]
+    near = known.select(*keys, "bucket", "v", "c").alias("g").join(
+        wanted.alias("w"), [*same, F.col("g.bucket") == F.col("w.bucket")]).select(
+        *[F.col(f"g.{k}").alias(k) for k in keys], "g.bucket", "v", "c", "want", "n")
+    found = _pick(near, keys).drop("n")
+    if carry:
+        found = found.alias("g").join(groups.alias("w"), same).select(
+            *[F.col(f"g.{k}").alias(k) for k in keys], QUANTILE, "value", *carry)
+    empty = groups.where("_some = 0").select(
+        *keys, F.explode(literal_array(levels)).alias(QUANTILE), F.lit(None).cast("double").alias("value"), *carry)
+    return found.select(*keys, QUANTILE, "value", *carry).unionByName(empty)
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[float]) -> DataFrame:
@@ -154,24 +149,30 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[flo
 
 
 def prefix_quantiles(df: DataFrame, keys: Sequence[str], at: str, value: str, cutoffs: DataFrame,
-                     levels: Sequence[float] = QUANTILE_LEVELS, bucket_rows: int = BUCKET_ROWS,
-                     max_buckets: int = 2_000) -> DataFrame:
+                     levels: Sequence[float] = QUANTILE_LEVELS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Quantiles of all values before each cutoff.
 
     ``at`` is an integer time; ``cutoffs`` has the keys and the wanted ``at``
     values. Returns keys, ``at``, ``quantile``, ``value`` and the number ``n``
-    of values before the cutoff. Work grows with the rows plus
-    (times x buckets), never with rows x cutoffs.
+    of values before the cutoff. Times are first numbered by cutoffs. Values
+    lie in blocks of at most ``block_rows``; running counts by block name the
+    blocks that hold a cutoff's ranks, and a cutoff meets the values of those
+    only.
     """
     keys = list(keys)
+    asked = cutoffs.select(*keys, F.col(at).cast("int").alias("_at")).distinct()
     rows = df.where(F.col(value).isNotNull()).select(
-        *keys, F.col(at).cast("int").alias("_t"), F.col(value).cast("double").alias("v"))
-    span = rows.agg(F.struct(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
-    parts = rows.withColumn("_s", span).select(*keys, "_t", "v", _bucket(
-        F.col("v"), F.col("_s.lo"), F.col("_s.hi"), F.col("_s.n"), bucket_rows, max_buckets).alias("bucket"))
-    counts = parts.groupBy(*keys, "bucket", "_t", "v").agg(F.count("*").alias("c"))
-
-    asked = cutoffs.select(*keys, F.col(at).cast("int").alias("_cut")).distinct()
+        *keys, F.col(at).cast("int").alias("_at"), F.col(value).cast("double").alias("v"))
+    # the calendar: how many cutoffs lie at or before each time
+    calendar = rows.select("_at", F.lit(0).alias("_is")).unionByName(asked.select("_at", F.lit(1).alias("_is"))).groupBy(
+        "_at").agg(F.max("_is").alias("_is"))
+    numbered = calendar.select("_at", F.sum("_is").over(Window.orderBy("_at")).cast("int").alias("_t"))
+    counts = rows.join(numbered, "_at").groupBy(*keys, "v", "_t").agg(F.count("*").alias("c"))
+    placed = F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy("v", "_t")) - 1
+    counts = stage(_ranged(counts, keys).withColumn("_block", F.floor(placed / block_rows)).withColumn(
+        "bucket", F.shiftleft("bucket", 32) + F.col("_block")).drop("_block"))
+
+    asked = asked.join(numbered, "_at").select(*keys, "_at", F.col("_t").alias("_cut"))
     last = asked.agg(F.max("_cut")).scalar()
     series = Window.partitionBy(*keys, "bucket").orderBy("_t")
     steps = (
@@ -182,18 +183,19 @@ def prefix_quantiles(df: DataFrame, keys: Sequence[str], at: str, value: str, cu
         })
         .where(F.col("_until") > F.col("_t"))
     )
+    # a time numbered t lies before cutoff t + 1 and all later ones
     hist = (
         steps.withColumn("_cut", F.explode(F.sequence(F.col("_t") + 1, F.col("_until"))))
-        .join(asked, [*keys, "_cut"], "left_semi")
-        .select(*keys, "_cut", "bucket", "m")
+        .join(asked, [*keys, "_cut"])
+        .select(*keys, "_at", "_cut", "bucket", "m")
     )
-    wanted = _targets(hist, [*keys, "_cut"], levels)
+    wanted = _targets(hist, [*keys, "_at", "_cut"], levels)
     near = (
         counts.join(wanted, [*keys, "bucket"]).where(F.col("_t") < F.col("_cut"))
-        .groupBy(*keys, "_cut", "bucket", "v")
+        .groupBy(*keys, "_at", "_cut", "bucket", "v")
         .agg(F.sum("c").alias("c"), F.first("want").alias("want"), F.first("n").alias("n"))
     )
-    return _pick(near, [*keys, "_cut"]).withColumnRenamed("_cut", at)
+    return _pick(near, [*keys, "_at", "_cut"]).drop("_cut").withColumnRenamed("_at", at)
 
 
 def recent_quantiles(df: DataFrame, keys: Sequence[str], at: str, order: str, value: str,

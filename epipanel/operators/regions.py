@@ -173,10 +173,17 @@ def unmatched_codes(df: DataFrame, codes: DataFrame, code: str = "code") -> Data
 def region_codes(df: DataFrame, key: str = GID_2) -> DataFrame:
     """Region ids with their 0-based alphabetical number.
 
-    The unpartitioned window runs over distinct region ids only.
+    Ids are range-partitioned and numbered inside their range; each range adds
+    the number of ids before it.
     """
-    ids = df.select(key).distinct()
-    return ids.withColumn(f"{key}_codes", (F.dense_rank().over(Window.orderBy(key)) - 1).cast("int"))
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = stage(df.select(key).distinct().repartitionByRange(parts, key).withColumn("_p", F.spark_partition_id()))
+    sizes = ids.groupBy("_p").agg(F.count("*").alias("_m"))
+    before = sizes.select("_p", (F.sum("_m").over(Window.orderBy("_p")) - F.col("_m")).alias("_below"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
+    return ids.withColumn("_own", own).join(before, "_p").select(
+        key, (F.col("_below") + F.col("_own")).cast("int").alias(f"{key}_codes"))
 
 
 def first_regions(df: DataFrame, n: int = 10) -> DataFrame:
@@ -186,6 +193,7 @@ def first_regions(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def time_index(df: DataFrame, date: str = DATE) -> DataFrame:
-    """Dates numbered 1..T in a ``TIME`` column."""
-    dates = df.agg(F.array_sort(F.collect_set(date))).scalar()
-    return df.withColumn("TIME", F.array_position(dates, F.col(date)).cast("int"))
+    """Dates numbered 1..T in a ``TIME`` column; null dates have no number."""
+    dates = df.select(date).where(F.col(date).isNotNull()).distinct()
+    numbered = dates.withColumn("TIME", F.row_number().over(Window.orderBy(date)))
+    return df.join(numbered, date, "left").select(*df.columns, "TIME")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epipanel.operators.access import filter_admin1
-from epipanel.operators.quantiles import HOT_ROWS, exact_quantiles
+from epipanel.operators.quantiles import exact_quantiles
 from epipanel.schema import (
     CASES, DATE, GID_2, HORIZON, MODEL, PREDICTION, QUANTILE, QUANTILE_LEVELS, literal_array,
 )
@@ -25,15 +25,15 @@ def quantiles_of(x: Column, levels: Sequence[float] = QUANTILE_LEVELS) -> Column
 
 
 def samples_to_quantiles(df: DataFrame, levels: Sequence[float] = QUANTILE_LEVELS,
-                         gid_1: Sequence[str] | None = None, trim: bool = True,
-                         hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Quantiles of the draws per series and date.
+                         gid_1: Sequence[str] | None = None, trim: bool = True) -> DataFrame:
+    """Quantiles of the draws per series and date; null and NaN draws do not count.
 
-    With ``trim`` the first two dates and the last date of each series go.
+    A date with no other draws has null quantiles. With ``trim`` the first two
+    dates and the last date of each series go.
     """
     keys = series_keys(df)
     rows = filter_admin1(df, gid_1)
-    out = exact_quantiles(rows, [*keys, DATE], PREDICTION, levels, [CASES], hot_rows)
+    out = exact_quantiles(rows, [*keys, DATE], PREDICTION, levels, [CASES])
     out = out.withColumnRenamed("value", PREDICTION)
     if not trim:
         return out
@@ -45,9 +45,9 @@ def samples_to_quantiles(df: DataFrame, levels: Sequence[float] = QUANTILE_LEVEL
     return inner.where("_up > 2 and _down > 1").drop("_up", "_down")
 
 
-def median_of_samples(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def median_of_samples(df: DataFrame) -> DataFrame:
     """Median draw per series and date."""
-    out = exact_quantiles(df, [*series_keys(df), DATE], PREDICTION, [0.5], (), hot_rows)
+    out = exact_quantiles(df, [*series_keys(df), DATE], PREDICTION, [0.5])
     return out.drop(QUANTILE).withColumnRenamed("value", PREDICTION)
 
 

@@ -259,10 +259,14 @@ def _(spark, d):
     return rounded(features.seasonal_fill(views.covariate_panel(spark, d), ["tmin", "SPI6"]), "tmin", "SPI6")
 
 
+cte("filled_norms", """
+  SELECT avg(abs(tmin)) AS tmin_norm, avg(abs(SPI6)) AS spi6_norm FROM filled_along WHERE "Date" < DATE '1999-01-01'""",
+    "filled_along")
+
+
 @query("sanitised_covariates", """
-  SELECT GID_2, "Date", round(tmin / (SELECT avg(abs(tmin)) FROM filled_along WHERE "Date" < DATE '1999-01-01'), 6) AS tmin,
-    round(SPI6 / (SELECT avg(abs(SPI6)) FROM filled_along WHERE "Date" < DATE '1999-01-01'), 6) AS SPI6
-  FROM filled_along""", "filled_along")
+  SELECT GID_2, "Date", round(tmin / tmin_norm, 6) AS tmin, round(SPI6 / spi6_norm, 6) AS SPI6
+  FROM filled_along CROSS JOIN filled_norms""", "filled_along", "filled_norms")
 def _(spark, d):
     out = features.sanitise_covariates(views.covariate_panel(spark, d), ["tmin", "SPI6"], "1999-01-01")
     return rounded(out, "tmin", "SPI6")

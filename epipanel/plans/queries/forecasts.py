@@ -105,8 +105,7 @@ def _(spark, d):
 def _(spark, d):
     from epipanel.operators.quantiles import exact_quantiles
 
-    out = exact_quantiles(views.table(spark, d, "events"), ["event_type"], "value", [0.05, 0.5, 0.95],
-                          hot_rows=1000, bucket_rows=100)
+    out = exact_quantiles(views.table(spark, d, "events"), ["event_type"], "value", [0.05, 0.5, 0.95])
     return out.withColumn("value", F.round("value", 6))
 
 

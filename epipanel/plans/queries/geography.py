@@ -1,5 +1,7 @@
 """Region names, gridded values, adjacency and hexagons over the sample tables."""
 
+import calendar
+
 from pyspark.sql import functions as F
 
 from epipanel.functions import scalars
@@ -311,19 +313,21 @@ def _(spark, d):
     return summaries.symmetric_limit(views.ocean_index(spark, d).withColumn("AnomONI", F.round("AnomONI", 4)), "AnomONI")
 
 
-@query("case_matrix", """
-  SELECT * FROM (PIVOT (SELECT GID_2, CAST("Date" AS VARCHAR) AS k, Cases FROM nation_panel) ON k USING max(Cases) GROUP BY GID_2)""",
-       "nation_panel")
+# every month that the tables cover
+MONTHS = [f"{y}-{m:02d}-{calendar.monthrange(y, m)[1]}" for y in range(1992, 1999) for m in range(1, 13)]
+
+
+@query("case_matrix", "SELECT GID_2, " + ", ".join(
+    f"""max(CASE WHEN "Date" = DATE '{m}' THEN Cases END) AS "{m}\"""" for m in MONTHS) + " FROM nation_panel GROUP BY 1", "nation_panel")
 def _(spark, d):
-    return summaries.pivot_dates(views.nation_panel(spark, d), CASES)
+    return summaries.pivot_dates(views.nation_panel(spark, d), CASES, MONTHS)
 
 
-@query("no_cases_matrix", """
-  SELECT GID_2, CAST(max(CASE WHEN "Date" = DATE '1995-01-31' THEN Cases = 0 END) AS INTEGER) AS "1995-01-31",
-         CAST(max(CASE WHEN "Date" = DATE '1995-02-28' THEN Cases = 0 END) AS INTEGER) AS "1995-02-28"
-  FROM supplier_panel GROUP BY 1""", "supplier_panel")
+@query("no_cases_matrix", "SELECT GID_2, " + ", ".join(
+    f"""CAST(max(CASE WHEN "Date" = DATE '{m}' THEN Cases = 0 END) AS INTEGER) AS "{m}\"""" for m in MONTHS)
+    + " FROM supplier_panel GROUP BY 1", "supplier_panel")
 def _(spark, d):
-    return summaries.no_cases_matrix(views.supplier_panel(spark, d), ["1995-01-31", "1995-02-28"])
+    return summaries.no_cases_matrix(views.supplier_panel(spark, d), MONTHS)
 
 
 @query("embedding_blocks", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,10 +36,26 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
-    """Replace the table at ``path`` (Parquet; period marks travel with the schema)."""
+    """Replace the table at ``path`` (Parquet; period marks travel with the schema).
+
+    The new table is written beside the old one and takes its place when it is
+    whole, so a table may be replaced by something read from it, and a job that
+    fails leaves it as it was.
+    """
     if not path.endswith(".parquet"):
         path += ".parquet"
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    spark = df.sparkSession
+    beside, before = (f"{path.removesuffix('.parquet')}-{uuid.uuid4().hex}-{x}" for x in ("new", "old"))
+    df.write.partitionBy(*partition_by).parquet(beside)
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    store = paths(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    had = store.exists(paths(path))
+    if had and not store.rename(paths(path), paths(before)):
+        raise OSError(f"cannot replace {path}")
+    if not store.rename(paths(beside), paths(path)):
+        raise OSError(f"cannot put the new table at {path}; the old one is at {before}")
+    if had:
+        store.delete(paths(before), True)
     return path
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epipanel.functions import periods, scalars
-from epipanel.operators import access, calibrate, ensemble, features, panel, quantiles, regions, scoring
+from epipanel.operators import access, calibrate, ensemble, features, panel, quantiles, regions, samples, scoring
 from epipanel.operators.residual_regression import RidgeBias, residual_regression
 from epipanel.schema import QUANTILE_LEVELS, period_freq, with_period
 from epipanel.sources import readers, tables
@@ -158,12 +158,41 @@ def test_exact_quantiles_hot_group(spark):
     pdf = pd.concat([pdf, pd.DataFrame({"g": "cold", "v": rng.normal(size=50)})])
     df = spark.createDataFrame(pdf)
     got = {(r["g"], r["quantile"]): r["value"] for r in quantiles.exact_quantiles(
-        df, ["g"], "v", QUANTILE_LEVELS, hot_rows=1000, bucket_rows=100).collect()}
+        df, ["g"], "v", QUANTILE_LEVELS).collect()}
     for g, part in pdf.groupby("g"):
         for q in QUANTILE_LEVELS:
             assert got[(g, q)] == pytest.approx(np.quantile(part["v"], q), abs=1e-9)
 
 
+def test_quantile_parts_do_not_follow_the_values(spark):
+    values = [float(i) for i in range(20_000)] + [1e12]
+    df = spark.createDataFrame([(v,) for v in values], "v double").withColumn("g", F.lit("a"))
+    parts = quantiles._ranged(df.groupBy("g", "v").agg(F.count("*").alias("c")), ["g"]).groupBy("bucket").count().collect()
+    assert max(r["count"] for r in parts) < 3 * len(values) / len(parts)
+    got = {r["quantile"]: r["value"] for r in quantiles.exact_quantiles(df, ["g"], "v", [0.0, 0.5, 1.0]).collect()}
+    assert got == {0.0: 0.0, 0.5: 10_000.0, 1.0: 1e12}
+
+
+def test_dates_without_draws_count_for_the_trim(spark):
+    months = [day(f"2020-{m:02d}-28") for m in range(1, 7)]
+    rows = [("A", d, i, None if d == months[0] else float(i)) for d in months for i in range(5)]
+    df = spark.createDataFrame(rows, "GID_2 string, Date date, sample int, prediction double").withColumn("Cases", F.lit(1))
+    out = samples.samples_to_quantiles(df, [0.5])
+    assert sorted(r["Date"] for r in out.collect()) == months[2:5]
+    kept = {r["Date"]: r["prediction"] for r in samples.samples_to_quantiles(df, [0.5], trim=False).collect()}
+    assert kept[months[0]] is None and kept[months[3]] == 2.0
+
+
+def test_table_replaced_by_what_is_read_from_it(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.write_table(spark.range(5), path)
+    tables.write_table(tables.read_table(spark, path).withColumn("x", F.col("id") * 2), path)
+    assert sorted(r["x"] for r in tables.read_table(spark, path).collect()) == [0, 2, 4, 6, 8]
+    with pytest.raises(Exception):
+        tables.write_table(tables.read_table(spark, path).withColumn("y", F.raise_error(F.lit("no"))), path)
+    assert tables.read_table(spark, path).count() == 5
+
+
 @pytest.mark.parametrize("last", [None, 7])
 def test_prefix_quantiles(spark, last):
     rng = np.random.default_rng(5)
@@ -171,7 +200,7 @@ def test_prefix_quantiles(spark, last):
     df = spark.createDataFrame(rows, "h int, t int, o int, v double")
     cuts = spark.createDataFrame([(1, t) for t in range(0, 14)], "h int, t int")
     if last is None:
-        out = quantiles.prefix_quantiles(df, ["h"], "t", "v", cuts, bucket_rows=4)
+        out = quantiles.prefix_quantiles(df, ["h"], "t", "v", cuts, block_rows=4)
     else:
         out = quantiles.recent_quantiles(df, ["h"], "t", "o", "v", cuts, last)
     got = {(r["t"], r["quantile"]): (r["value"], r["n"]) for r in out.collect()}

@@ -19,14 +19,13 @@ itself. Empty tables give no rows.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epipanel.llm.common import stage, table_parts, texts, words
@@ -76,9 +75,14 @@ def fingerprint(tokens: list[bytes]) -> np.ndarray:
     return values[densified(filled)]
 
 
-def packed(values: np.ndarray) -> str:
+def packed(values: np.ndarray) -> bytes:
     bits = np.unpackbits(values[:, None], axis=1, bitorder="little")[:, :BITS]
-    return base64.b64encode(np.packbits(bits, bitorder="little").tobytes()).decode()
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _text(name: str) -> Column:
+    """A packed fingerprint as text (base64 without line ends)."""
+    return F.regexp_replace(F.base64(name), "[\\r\\n]", "").alias(name)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -94,9 +98,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in table_parts(batches):
             own = [packed(fingerprint(words(t))) for t in batch["text"].to_pylist()]
-            yield pa.record_batch([batch["doc_id"], pa.array(own, pa.string())], ["doc_id", "fingerprint"])
+            yield pa.record_batch([batch["doc_id"], pa.array(own, pa.binary())], ["doc_id", "fingerprint"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fingerprint string")
+    return texts(docs).mapInArrow(run, "doc_id long, fingerprint binary").select("doc_id", _text("fingerprint"))
 
 
 def edited(text: str, following: str) -> str:
@@ -105,15 +109,16 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - k] + following[:k]
 
 
-_ROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-                  ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-_NAMES = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'double' if f.type == pa.float64() else 'string'}" for f in _ROW)
+_ROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()),
+                  ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_KINDS = {pa.int64(): "long", pa.float64(): "double", pa.binary(): "binary"}
+_NAMES = ", ".join(f"{f.name} {_KINDS[f.type]}" for f in _ROW)
 
 
 def _row(doc_id, text: str, own: np.ndarray, following: str, after: np.ndarray) -> tuple:
     new = edited(text, following)
     other = fingerprint(words(new))
-    return (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), packed(own), packed(other),
+    return (doc_id, len(text), hashlib.sha256(new.encode()).digest(), packed(own), packed(other),
             likeness(own, other), likeness(own, after))
 
 
@@ -162,4 +167,6 @@ def with_next(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROW)], schema=_ROW)
 
-    return staged.filter("edge is null").select(_ROW.names).unionByName(ends.mapInArrow(meet, _NAMES))
+    found = staged.filter("edge is null").select(_ROW.names).unionByName(ends.mapInArrow(meet, _NAMES))
+    return found.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), _text("fingerprint"),
+                        _text("edited_fingerprint"), "near_edited", "near_next")

@@ -75,16 +75,15 @@ def baseline(panel: DataFrame, horizon: int = 1, symmetrize: bool = True, num_sa
     draw_levels, spots = _draw_positions([*levels, 0.5], num_samples)
     # mirrored differences are known by their absolute values
     pool = F.abs("_diff") if symmetrize else F.col("_diff")
-    df = df.withColumns({
-        f"_pool{h}": F.sort_array(F.collect_list(pool).over(
-            w.rowsBetween(Window.unboundedPreceding, -(h + 1))))
-        for h in steps
-    })
+    # draws from the differences up to a row; a horizon takes those of h + 1 rows before
+    seen = F.sort_array(F.collect_list(pool).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("_seen", seen).withColumn("_all", quantiles_of_sorted(F.col("_seen"), draw_levels, symmetrize))
+    df = df.withColumns({f"_draws{h}": F.lag("_all", h + 1).over(w) for h in steps})
     whole = F.array(*[F.struct(
-        F.lit(h).alias("h"), F.col(f"_base{h}").alias("base"), F.col(f"_pool{h}").alias("pool")) for h in steps])
+        F.lit(h).alias("h"), F.col(f"_base{h}").alias("base"), F.col(f"_draws{h}").alias("draws")) for h in steps])
     long = df.select(GID_2, DATE, CASES, FUTURE, "_k", F.explode(whole).alias("_s")).select(
         GID_2, DATE, CASES, FUTURE, "_k", F.col("_s.h").alias(HORIZON), F.col("_s.base").alias("_base"),
-        quantiles_of_sorted(F.col("_s.pool"), draw_levels, symmetrize).alias("_draws"))
+        F.col("_s.draws").alias("_draws"))
 
     # the two draws around each level, relative to the last level; the median's come last
     lo_mid, hi_mid, part_mid = spots[-1]

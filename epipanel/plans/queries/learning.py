@@ -59,10 +59,25 @@ def _(spark, d):
     return out.withColumn(PREDICTION, F.round(PREDICTION, 4))
 
 
-@query("seasonal_autoregression_by_region")
+cte("ar_fits_by_region", f"""
+  SELECT *, my - b1 * m1 - b2 * m2 - b3 * m3 AS b0 FROM (
+    SELECT *, {", ".join(f"{_det(_COLS[k])} / det AS b{k + 1}" for k in range(3))} FROM (
+      SELECT *, {_det(_S)} AS det FROM (
+        SELECT c.GID_2, c.t AS f, count(*) AS n, avg(p.y) AS my, avg(p.x1) AS m1, avg(p.x2) AS m2, avg(p.x3) AS m3,
+          {", ".join(f"{_c(f'p.x{i}', f'p.x{j}')} AS s{i}{j}" for i in (1, 2, 3) for j in range(i, 4))},
+          {", ".join(f"{_c(f'p.x{i}', 'p.y')} AS r{i}" for i in (1, 2, 3))}
+        FROM ar_rows c JOIN ar_rows p ON p.GID_2 = c.GID_2 AND p.t <= c.t WHERE p.x3 IS NOT NULL GROUP BY 1, 2)))""",
+    "ar_rows")
+
+
+@query("seasonal_autoregression_by_region", """
+  SELECT GID_2, "Date", CAST(1 AS INTEGER) AS horizon, Cases,
+         round(greatest(exp(b0 + b1 * x1 + b2 * x2 + b3 * x3) - 1, 0), 3) AS prediction
+  FROM ar_rows r JOIN ar_fits_by_region f USING (GID_2) WHERE f.f = r.t - 1 AND x3 IS NOT NULL AND n > 4 AND det > 1e-12""",
+       "ar_rows", "ar_fits_by_region")
 def _(spark, d):
-    return backtest.seasonal_autoregression(
-        views.nation_panel(spark, d), horizons=(1, 6), level=2, retrain=12, start_date="1998-01-31")
+    out = backtest.seasonal_autoregression(views.nation_panel(spark, d), level=2)
+    return out.withColumn(PREDICTION, F.round(PREDICTION, 3))
 
 
 cte("walk_rows", """

@@ -34,6 +34,11 @@ HEADLINE = [
     "wis_at_standard_levels",
     "residual_quantiles",
     "ensemble_weights",
+    "exponential_average",
+    "rsi_features",
+    "seasonal_autoregression_pooled",
+    "seasonal_autoregression_by_region",
+    "ridge_bias",
 ]
 
 

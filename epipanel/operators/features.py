@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from epipanel.functions.periods import month_cycle
 from epipanel.functions.scalars import clip, fill_null
 from epipanel.schema import CASES, DATE, GID_2, require_columns
+from epipanel.sources.stage import stage
 
 # Rolling functions by their usual name.
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
@@ -233,7 +234,7 @@ def scale_factors(df: DataFrame, columns: Sequence[str], before: str | None) ->
 
 
 def sanitise_covariates(df: DataFrame, columns: Sequence[str], start_date: str | None = None,
-                        across_regions: bool = False, check: bool = False) -> DataFrame:
+                        across_regions: bool = False, check: bool = True) -> DataFrame:
     """Fill the holes of covariates and bring them to a mean absolute value of 1.
 
     A column whose mean absolute value is at most 0.001 keeps its scale.
@@ -248,6 +249,7 @@ def sanitise_covariates(df: DataFrame, columns: Sequence[str], start_date: str |
     if check:
         from epipanel.operators.checks import assert_no_nulls
 
+        out = stage(out)
         assert_no_nulls(out, columns)
     return out
 
@@ -261,7 +263,8 @@ def pca_transform(df: DataFrame, columns: Sequence[str], keep: int = 5, cases: s
     from pyspark.ml.functions import vector_to_array
 
     k = min(keep, len(columns))
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(df)
+    # two fits and the projection read it
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(stage(df))
     scaler = StandardScaler(withMean=True, withStd=False, inputCol="_x", outputCol="_c").fit(vectors)
     centred = scaler.transform(vectors)
     out = PCA(k=k, inputCol="_c", outputCol="_pc").fit(centred).transform(centred)

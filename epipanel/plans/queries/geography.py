@@ -292,7 +292,7 @@ def _(spark, d):
   FROM (SELECT GID_1, sum(Cases) AS Cases FROM nation_panel GROUP BY 1) t
   LEFT JOIN (SELECT DISTINCT GID_1, NAME_1 FROM region_dim) r ON r.GID_1 = t.GID_1""", "nation_panel", "region_dim")
 def _(spark, d):
-    totals = summaries.aggregate_by_admin(views.nation_panel(spark, d), 1)
+    totals = summaries.aggregate_by_admin(views.nation_panel(spark, d), 1, check=False)
     layer = views.region_dim(spark, d).select(GID_1, "NAME_1")
     return summaries.on_region_layer(totals, layer, GID_1).select(GID_1, "NAME_1", CASES)
 

@@ -123,10 +123,21 @@ def _(spark, d):
     return model.fit(known).apply(known)
 
 
-@query("noise_control_features")
+def _uniform(salt):
+    text = f"concat_ws(':', GID_2, rep, feature, 42, {salt})"
+    return f"((CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
+
+
+@query("noise_control_features", f"""
+  SELECT GID_2, CAST(rep AS INTEGER) AS rep, CAST(feature AS INTEGER) AS feature,
+         round(sqrt(-2 * ln({_uniform(1)})) * cos(2 * pi() * {_uniform(2)}), 8) AS value
+  FROM (SELECT GID_2, rep, unnest(range(n)) AS feature FROM (
+    SELECT GID_2, n, unnest(range(100)) AS rep FROM (
+      SELECT format('TST.{{}}.{{}}_1', s_suppkey % 25, s_suppkey) AS GID_2, len(embedding) AS n
+      FROM supplier JOIN embeddings ON s_suppkey = vec_id)))""")
 def _(spark, d):
-    noise = residual_regression.noise_embeddings(region_embeddings(spark, d), reps=5)
-    return noise.select(GID_2, "rep", F.posexplode("embedding").alias("feature", "value"))
+    noise = residual_regression.noise_embeddings(region_embeddings(spark, d))
+    return noise.select(GID_2, "rep", F.posexplode("embedding").alias("feature", "value")).withColumn("value", F.round("value", 8))
 
 
 @query("principal_components")

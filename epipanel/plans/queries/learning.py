@@ -105,7 +105,7 @@ def _(spark, d):
 def _(spark, d):
     forecast = access.pick(views.baseline_forecast(spark, d), horizon=1)
     return residual_regression.residual_regression(
-        _known(spark, d, forecast), region_embeddings(spark, d), window=24, rounds=8)
+        _known(spark, d, forecast), region_embeddings(spark, d), window=24)
 
 
 @query("residual_regression_ridge")
@@ -115,6 +115,70 @@ def _(spark, d):
         _known(spark, d, forecast), region_embeddings(spark, d), method="ridge", window=24, horizons=(1, 2))
 
 
+# the regression's errors, with the first two features of each region
+cte("median_errors", """
+  SELECT f.GID_2, f."Date", f.horizon, CAST(year(f."Date") * 12 + month(f."Date") AS INTEGER) AS t, f.prediction, f.Cases,
+    ln(1 + f.prediction) AS base, ln(1 + f.Cases) - ln(1 + f.prediction) AS e,
+    CAST(v.embedding[1] AS DOUBLE) AS x1, CAST(v.embedding[2] AS DOUBLE) AS x2
+  FROM baseline_forecast f JOIN embeddings v ON v.vec_id = split_part(split_part(f.GID_2, '.', 3), '_', 1)::BIGINT
+  WHERE f.quantile = 0.5""", "baseline_forecast")
+_RIDGE = [[f"m{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+_RIDGE_COLS = [[[f"c{r}" if c == k else _RIDGE[r][c] for c in range(3)] for r in range(3)] for k in range(3)]
+
+
+def sql_ridge(rows: str, keys: str) -> str:
+    """SQL of ridge fits with two features, per key and target month, on the 24 months up to the forecast's origin."""
+    sums = {"m00": "count(e)", "m01": "sum(x1)", "m02": "sum(x2)", "m11": "sum(x1 * x1)", "m12": "sum(x1 * x2)", "m22": "sum(x2 * x2)",
+            "c0": "sum(e)", "c1": "sum(x1 * e)", "c2": "sum(x2 * e)"}
+    more = {"m00": " + 1e-9", "m11": " + 1", "m22": " + 1"}
+    return f"""
+  SELECT {keys}, t, {", ".join(f"{_det(_RIDGE_COLS[k])} / {_det(_RIDGE)} AS b{k}" for k in range(3))} FROM (
+    SELECT {keys}, d.t, {", ".join(f"sum({c}){more.get(c, '')} AS {c}" for c in sums)}
+    FROM (SELECT DISTINCT t FROM {rows}) d JOIN (
+      SELECT {keys}, t AS u, {", ".join(f"{v} AS {c}" for c, v in sums.items())} FROM {rows} WHERE e IS NOT NULL GROUP BY ALL) s
+    ON u BETWEEN d.t - horizon - 23 AND d.t - horizon GROUP BY ALL)"""
+
+
+def _two_features(spark, d):
+    return region_embeddings(spark, d).withColumn("embedding", F.slice("embedding", 1, 2))
+
+
+cte("ridge_fits", sql_ridge("median_errors", "horizon"), "median_errors")
+
+
+@query("residual_regression_two_features", """
+  SELECT GID_2, "Date", horizon, CAST(0.5 AS DOUBLE) AS quantile, Cases,
+         CASE WHEN base IS NOT NULL THEN round(greatest(exp(base + coalesce(b0 + b1 * x1 + b2 * x2, 0)) - 1, 0), 3) END AS prediction
+  FROM median_errors LEFT JOIN ridge_fits USING (horizon, t)""", "median_errors", "ridge_fits")
+def _(spark, d):
+    forecast = access.pick(views.baseline_forecast(spark, d), quantile=0.5)
+    out = residual_regression.residual_regression(
+        _known(spark, d, forecast), _two_features(spark, d), method="ridge", window=24, horizons=(1, 2))
+    return out.withColumns({PREDICTION: F.round(PREDICTION, 3), CASES: F.col(CASES).cast("double")})
+
+
+@query("ridge_bias_two_features", """
+  SELECT GID_2, round(my + b1 * (x1 - m1) + b2 * (x2 - m2), 6) AS bias
+  FROM (SELECT DISTINCT GID_2, x1, x2 FROM median_errors WHERE horizon = 1 AND prediction IS NOT NULL), (
+    SELECT *, (r1 * s22 - r2 * s12) / (s11 * s22 - s12 * s12) AS b1, (r2 * s11 - r1 * s12) / (s11 * s22 - s12 * s12) AS b2 FROM (
+      SELECT avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, count(*) * var_pop(x1) + 2 AS s11, count(*) * var_pop(x2) + 2 AS s22,
+             count(*) * covar_pop(x1, x2) AS s12, count(*) * covar_pop(x1, y) AS r1, count(*) * covar_pop(x2, y) AS r2
+      FROM (SELECT x1, x2, Cases - prediction AS y FROM median_errors WHERE horizon = 1 AND prediction IS NOT NULL)))""", "median_errors")
+def _(spark, d):
+    forecast = access.pick(views.baseline_forecast(spark, d), quantile=0.5, horizon=1).dropna(subset=[PREDICTION])
+    model = residual_regression.RidgeBias(_two_features(spark, d), alpha=2.0).fit(_known(spark, d, forecast))
+    return model.biases().select(GID_2, F.round("bias", 6).alias("bias"))
+
+
+@query("principal_component_lengths", """
+  SELECT GID_2, "Date", round((tmin - avg(tmin) OVER ()) ** 2 + (tmax - avg(tmax) OVER ()) ** 2 + (prec - avg(prec) OVER ()) ** 2, 4) AS length
+  FROM climate""", "climate")
+def _(spark, d):
+    # all components together keep each row's distance from the mean, whatever their signs
+    out = features.pca_transform(views.climate(spark, d), ["tmin", "tmax", "prec"], keep=3)
+    return out.select(GID_2, DATE, F.round(sum(F.col(f"PC{i}") ** 2 for i in (1, 2, 3)), 4).alias("length"))
+
+
 @query("ridge_bias")
 def _(spark, d):
     forecast = access.pick(views.baseline_forecast(spark, d), quantile=0.5, horizon=1).dropna(subset=[PREDICTION])

@@ -331,6 +331,45 @@ def test_ridge_closed_form(spark):
         RidgeBias(emb.where("GID_2 != 'g1'")).fit(df)
 
 
+@pytest.mark.parametrize("method", ["ridge", "pinball"])
+def test_residual_regression_by_loops(spark, monkeypatch, method):
+    """Blocks of two regions, added two at a time, give what one fit per date over all rows gives."""
+    from epipanel.operators import residual_regression as module
+
+    monkeypatch.setattr(module, "FAN_IN", 2)
+    df = _forecast(spark, 9, 10, seed=3).where("not (GID_2 = 'g3' and month(Date) < 6)")
+    x = np.random.default_rng(5).normal(size=(9, 2)).astype("f4")
+    emb = spark.createDataFrame([(f"g{i}", [float(v) for v in row]) for i, row in enumerate(x)], "GID_2 string, embedding array<float>")
+    got = {(r["GID_2"], r["Date"], r["quantile"]): r["prediction"]
+           for r in residual_regression(df, emb, method=method, window=4, rounds=3, regions_per_task=2).collect()}
+    rows = df.where("horizon = 1").toPandas() if "horizon" in df.columns else df.toPandas()
+    assert len(got) == len(rows)
+    rows["t"] = [d.year * 12 + d.month for d in rows["Date"]]
+    wide = np.column_stack([np.ones(9), x.astype(float)])
+    rows["e"] = np.log1p(rows["Cases"].astype(float)) - np.log1p(rows["prediction"])
+    for (t, q), some in rows.groupby(["t", "quantile"]):
+        seen = rows[(rows["quantile"] == q) & (rows["t"] <= t - 1) & (rows["t"] > t - 5) & rows["e"].notna()]
+        own = wide[[int(g[1:]) for g in seen["GID_2"]]]
+        w, beta = np.ones(len(seen)), np.zeros(3)
+        for _ in range((1 if method == "ridge" else 3) if len(seen) else 0):
+            beta = np.linalg.solve((own.T * w) @ own + np.diag([1e-9, 1.0, 1.0]), own.T @ (w * seen["e"]))
+            left = seen["e"].to_numpy() - own @ beta
+            w = np.where(left >= 0, q, 1 - q) / np.maximum(np.abs(left), 1e-4)
+        for r in some.itertuples():
+            want = max(np.expm1(np.log1p(r.prediction) + wide[int(r.GID_2[1:])] @ beta), 0)
+            assert got[r.GID_2, r.Date, q] == pytest.approx(want, rel=1e-6, abs=1e-6)
+
+
+def test_residual_regression_per_repetition(spark):
+    df = _forecast(spark, 4, 8).where("quantile = 0.5")
+    emb = spark.createDataFrame([(f"g{i}", r, [float(i * (r + 1) % 3)]) for i in range(4) for r in range(3)],
+                                "GID_2 string, rep int, embedding array<float>")
+    whole = residual_regression(df, emb, method="ridge")
+    for r in range(3):
+        one = residual_regression(df, emb.where(f"rep = {r}").drop("rep"), method="ridge")
+        assert _rows(whole.where(f"rep = {r}").drop("rep")) == _rows(one)
+
+
 def test_residual_regression_causal_and_unchanged_start(spark):
     df = _forecast(spark, 6, 14)
     emb = spark.createDataFrame([(f"g{i}", [float(i), float(i * i % 5)]) for i in range(6)], "GID_2 string, embedding array<double>")

@@ -27,6 +27,7 @@ import hashlib
 import heapq
 import json
 import sys
+import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -46,6 +47,8 @@ class Transducer:
     """Encoder and decoder for one vocabulary file."""
 
     def __init__(self, path: str, memo: int = 400_000, window: int = 1024):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         signs = byte_signs()
@@ -66,6 +69,7 @@ class Transducer:
         self.lookahead = self._lookahead()
         self.window = max(window, self.lookahead + max(map(len, self.bytes_of.values())))
         self.units = regex.compile(UNITS.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        self.splitter = Tokenizer.from_file(path).pre_tokenizer
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.packed = Memo(self._pack, memo)
         self.packed_unit = Memo(self._unit, memo // 2)
@@ -139,9 +143,16 @@ class Transducer:
             start += done
         yield self.merge(data[start:])
 
+    def cut_units(self, piece: str) -> list[str]:
+        """Units of a stretch. The two libraries may know different versions of Unicode; where a sign is too new for the
+        older of them, the tokenizers library says which class it has."""
+        if not piece.isascii() and any(unicodedata.category(c) == "Cn" for c in piece):
+            return [piece[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(piece)]
+        return self.units.findall(piece)
+
     def _pack(self, piece: str) -> bytes:
         """Little-endian ids of a stretch of text that holds whole units."""
-        units = self.units.findall(piece)
+        units = self.cut_units(piece)
         if len(units) == 1 and len(piece) <= 64:
             return self._unit(piece)
         return b"".join(map(self.packed_unit.__getitem__, units))

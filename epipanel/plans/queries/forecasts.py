@@ -211,17 +211,31 @@ def _(spark, d):
     return out.withColumns({CASES: F.round(CASES, 6), PREDICTION: F.round(PREDICTION, 5)})
 
 
-@query("score_distribution", """
-  SELECT model, horizon, 'RMSE' AS metric, round(avg(RMSE), 5) AS mean, round(stddev_samp(RMSE), 5) AS std,
-    round(quantile_cont(RMSE, 0.25), 5) AS q25, round(quantile_cont(RMSE, 0.5), 5) AS q50, round(quantile_cont(RMSE, 0.75), 5) AS q75
-  FROM region_scores GROUP BY 1, 2
-  UNION ALL
-  SELECT model, horizon, 'R2', round(avg(R2), 5), round(stddev_samp(R2), 5),
-    round(quantile_cont(R2, 0.25), 5), round(quantile_cont(R2, 0.5), 5), round(quantile_cont(R2, 0.75), 5)
-  FROM region_scores GROUP BY 1, 2""", "region_scores")
-def _(spark, d):
-    scores = scoring.point_scores(views.model_forecasts(spark, d), keys=[MODEL, HORIZON, GID_2])
-    out = scoring.score_distribution(scores.withColumns({"R2": F.round("R2", 6), "RMSE": F.round("RMSE", 6)}), ["R2", "RMSE"])
+cte("region_wis", "SELECT model, horizon, GID_2, round(avg(WIS), 6) AS WIS FROM log_wis GROUP BY 1, 2, 3", "log_wis")
+
+
+def _region_scores(spark, d):
+    """R2, RMSE and mean WIS of every region."""
+    keys = [MODEL, HORIZON, GID_2]
+    forecasts = views.model_forecasts(spark, d)
+    wis = scoring.model_wis(forecasts, QUANTILE_LEVELS).groupBy(*keys).agg(F.round(F.avg("WIS"), 6).alias("WIS"))
+    points = scoring.point_scores(forecasts, keys=keys).withColumns({c: F.round(c, 6) for c in ("R2", "RMSE")})
+    return points.join(wis, keys, "full")
+
+
+def _sql_distribution(metric: str, source: str) -> str:
+    return f"""
+  SELECT model, horizon, '{metric}' AS metric, round(avg({metric}), 5) AS mean, round(stddev_samp({metric}), 5) AS std,
+    round(quantile_cont({metric}, 0.25), 5) AS q25, round(quantile_cont({metric}, 0.5), 5) AS q50,
+    round(quantile_cont({metric}, 0.75), 5) AS q75
+  FROM {source} GROUP BY 1, 2"""
+
+
+@query("score_distribution", " UNION ALL ".join([
+    _sql_distribution("RMSE", "region_scores"), _sql_distribution("R2", "region_scores"), _sql_distribution("WIS", "region_wis")]),
+       "region_scores", "region_wis")
+def _(spark, d):
+    out = scoring.score_distribution(_region_scores(spark, d), ["R2", "RMSE", "WIS"])
     return out.withColumns({c: F.round(c, 5) for c in ("mean", "std", "q25", "q50", "q75")})
 
 
@@ -253,16 +267,20 @@ def _(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("WIS_base", "WIS_adjusted")})
 
 
+cte("horizon_scores", """
+  SELECT * FROM (SELECT model, horizon, avg(R2) AS R2, avg(RMSE) AS RMSE FROM region_scores GROUP BY 1, 2)
+    JOIN (SELECT model, horizon, avg(WIS) AS WIS FROM region_wis GROUP BY 1, 2) USING (model, horizon)""", "region_scores", "region_wis")
+
+
 @query("score_change_by_horizon", """
-  SELECT b.horizon, round(a.RMSE - b.RMSE, 5) AS delta_RMSE FROM
-    (SELECT horizon, avg(RMSE) AS RMSE FROM region_scores WHERE model = 'base' GROUP BY 1) b
-    JOIN (SELECT horizon, avg(RMSE) AS RMSE FROM region_scores WHERE model = 'high' GROUP BY 1) a USING (horizon)""",
-       "region_scores")
+  SELECT b.horizon, round(a.R2 - b.R2, 5) AS delta_R2, round(a.RMSE - b.RMSE, 5) AS delta_RMSE, round(a.WIS - b.WIS, 5) AS delta_WIS
+  FROM (SELECT * FROM horizon_scores WHERE model = 'base') b JOIN (SELECT * FROM horizon_scores WHERE model = 'high') a USING (horizon)""",
+       "horizon_scores")
 def _(spark, d):
-    scores = scoring.point_scores(views.model_forecasts(spark, d), keys=[MODEL, HORIZON, GID_2])
-    mean = scores.groupBy(MODEL, HORIZON).agg(F.avg(F.round("RMSE", 6)).alias("RMSE"))
-    out = summaries.delta_by_horizon(mean.where("model = 'base'"), mean.where("model = 'high'"), ["RMSE"])
-    return out.withColumn("delta_RMSE", F.round("delta_RMSE", 5))
+    metrics = ["R2", "RMSE", "WIS"]
+    mean = _region_scores(spark, d).groupBy(MODEL, HORIZON).agg(*[F.avg(m).alias(m) for m in metrics])
+    out = summaries.delta_by_horizon(mean.where("model = 'base'"), mean.where("model = 'high'"), metrics)
+    return out.withColumns({f"delta_{m}": F.round(f"delta_{m}", 5) for m in metrics})
 
 
 @query("pinball_by_model", """
@@ -368,17 +386,13 @@ def _(spark, d):
 
 
 @query("tiny_violations_lifted", """
-  SELECT GID_2, "Date", horizon, quantile, round(CASE WHEN quantile = 0.4 AND
-    prediction < lag(prediction) OVER w AND lag(prediction) OVER w - prediction <= 2.5 THEN lag(prediction) OVER w
-    WHEN quantile = 0.5 AND prediction < x AND x - prediction <= 2.5 THEN x ELSE prediction END, 5) AS prediction
-  FROM (SELECT *, CASE WHEN lag(prediction) OVER w < lag(prediction, 2) OVER w
-          AND lag(prediction, 2) OVER w - lag(prediction) OVER w <= 2.5
-          THEN lag(prediction, 2) OVER w ELSE lag(prediction) OVER w END AS x FROM
-          (SELECT * FROM unsorted WHERE quantile <= 0.5) WINDOW w AS (PARTITION BY horizon, GID_2, "Date" ORDER BY quantile))
-  WINDOW w AS (PARTITION BY horizon, GID_2, "Date" ORDER BY quantile)""", "unsorted")
-def _(spark, d):
-    lower = _unsorted(spark, d).where(F.col(QUANTILE) <= 0.5)
-    return _tidy(calibrate.lift_tiny_violations(lower, tolerance=2.5))
+  SELECT GID_2, "Date", horizon, unnest(levels) AS quantile, round(unnest(lifted), 5) AS prediction FROM (
+    SELECT GID_2, "Date", horizon, list(quantile ORDER BY quantile) AS levels,
+      list_reduce(list([prediction] ORDER BY quantile), lambda done, p: list_append(done,
+        CASE WHEN p[1] < done[-1] AND done[-1] - p[1] <= 2.5 THEN done[-1] ELSE p[1] END)) AS lifted
+    FROM unsorted GROUP BY 1, 2, 3)""", "unsorted")
+def _(spark, d):
+    return _tidy(calibrate.lift_tiny_violations(_unsorted(spark, d), 2.5))
 
 
 _MODELS = ["base", "high", "low"]

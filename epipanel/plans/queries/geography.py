@@ -331,11 +331,13 @@ def _(spark, d):
 
 
 @query("embedding_blocks", """
-  SELECT vec_id, CAST(list_sum(embedding[17:32]) AS DOUBLE) > 0 AS positive, len(embedding[17:32]) AS size FROM embeddings""")
+  SELECT vec_id, CAST(i // 16 AS INTEGER) AS block, CAST(i % 16 AS INTEGER) AS place, embedding[i + 1] AS value
+  FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings)""")
 def _(spark, d):
-    vectors = views.table(spark, d, "embeddings").withColumn(GID_2, F.col("vec_id"))
-    firsts = readers.first_embedding(vectors, "vec_id")
-    block = readers.embedding_block(firsts, 16, 16)
-    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return block.select(F.col(GID_2).alias("vec_id"), (total > 0).alias("positive"),
-                        F.size("embedding").cast("long").alias("size"))
+    firsts = readers.first_embedding(views.table(spark, d, "embeddings").withColumn(GID_2, F.col("vec_id")), "vec_id")
+    out = None
+    for i in range(4):
+        block = readers.embedding_block(firsts, 16 * i, 16).select(
+            F.col(GID_2).alias("vec_id"), F.lit(i).alias("block"), F.posexplode("embedding").alias("place", "value"))
+        out = block if out is None else out.unionByName(block)
+    return out

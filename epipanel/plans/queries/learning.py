@@ -223,7 +223,8 @@ def _(spark, d):
 
 
 @query("embeddings_on_forecasts", """
-  SELECT f.GID_2, f."Date", f.horizon, f.quantile, len(e.embedding) AS size, CAST(e.embedding[1] AS FLOAT) AS first
+  SELECT f.GID_2, f."Date", f.horizon, f.quantile, len(e.embedding) AS size, CAST(e.embedding[1] AS FLOAT) AS first,
+    round(list_sum(CAST(e.embedding AS DOUBLE[])), 4) AS total
   FROM baseline_forecast f JOIN embeddings e ON e.vec_id = split_part(split_part(f.GID_2, '.', 3), '_', 1)::BIGINT""",
        "baseline_forecast")
 def _(spark, d):
@@ -232,4 +233,5 @@ def _(spark, d):
     known = _known(spark, d, views.baseline_forecast(spark, d))
     out = attach_embeddings(known, region_embeddings(spark, d), check=False)
     return out.select(GID_2, DATE, HORIZON, QUANTILE, F.size("embedding").cast("long").alias("size"),
-                      F.col("embedding")[0].alias("first"))
+                      F.col("embedding")[0].alias("first"),
+                      F.round(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double")), 4).alias("total"))

@@ -1,0 +1,48 @@
+"""Random strings that the secret scan must find, wherever they stand in a run."""
+
+import random
+import string
+
+import public_tokenizers
+import pytest
+
+from epipanel.llm import secret_scan
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BASE62 = string.ascii_letters + string.digits
+
+
+@pytest.fixture(scope="module")
+def count():
+    return secret_scan._counter(RANKS)
+
+
+def keys(alphabet, length, n=300):
+    rng = random.Random(length)
+    return ["".join(rng.choice(alphabet) for _ in range(length)) for _ in range(n)]
+
+
+def covered(key, before, after, count):
+    """Whether spans of any kind hold the whole key."""
+    text = f"see {before}{key}{after} there"
+    base = secret_scan.base_spans(text)
+    clean = secret_scan.masked(text, base + secret_scan.random_spans(text, base, count), "\0" * 3)
+    return not any(key[i:i + 4] in clean for i in range(len(key) - 3))
+
+
+def recall(alphabet, length, count, before="", after=""):
+    found = [covered(k, before, after, count) for k in keys(alphabet, length)]
+    return sum(found) / len(found)
+
+
+@pytest.mark.parametrize("alphabet", [string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase, BASE62])
+@pytest.mark.parametrize("length", [20, 32])
+def test_keys_need_no_digit(alphabet, length, count):
+    assert recall(alphabet, length, count) > 0.97
+
+
+def test_words_and_identifiers_stay(count):
+    for text in ("an extraordinarily-long-hyphenated-compound-word", "account/settings/confirm/", "internationalization",
+                 "2024-01-01T00-00-00-0000", "12345678901234567890", "=-=-=-=-=-=-=-=-=-=-=-=-", "-" * 40,
+                 "123e4567-e89b-12d3-a456-426614174000", "0123456789ABCDEF0123456789ABCDEF"):
+        assert secret_scan.random_spans(text, [], count) == [], text

@@ -2,11 +2,12 @@
 
 Kinds, in this order: ``assign`` (a keyword given a value of 8 or more characters), ``access`` (access key ids),
 ``hex`` (32 or more lower-case hexadecimal digits), ``random``. The first three are patterns. ``random`` takes every
-run of at least 20 of the characters that keys are written in that lies in no span of another kind, and counts its
-tokens under a byte-level vocabulary: words need few tokens, random strings about one for two characters. Runs with
-fewer characters per token than ``ratio`` are secrets, unless they are written as known digests (hexadecimal, of a
-digest's length) or identifiers (UUIDs, dates, versions, numbers joined by dashes, drawn lines). Nothing else is asked
-of a run, so names in capitals that the vocabulary splits finely are taken too; the README gives figures.
+run of at least 20 of the characters that keys are written in, cuts out the spans of the other kinds, and counts the
+tokens of each rest of at least 20 characters under a byte-level vocabulary: words need few tokens, random strings about
+one for two characters. Rests with fewer characters per token than ``ratio`` are secrets, unless they are written as
+known digests (hexadecimal, of a digest's length) or identifiers (UUIDs, dates, versions, numbers joined by dashes, drawn
+lines). Nothing else is asked of a run, so names in capitals that the vocabulary splits finely are taken too; the README
+gives figures.
 
 Positions count code points; ends are exclusive. Null and empty texts have no spans. Repeated rows and null ids stay.
 """
@@ -33,7 +34,7 @@ MASK = "[removed]"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-ASSIGN_LEAST, ACCESS_LEAST = 8, 16
+ASSIGN_LEAST, ACCESS_LEAST, LEAST = 8, 16, 20
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -42,8 +43,7 @@ _HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _IDENTIFIER = re.compile(
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"  # UUID
     r"|[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-]?[0-9Z-]*"  # date and time
-    r"|v?[0-9]+([-_/][0-9]+)*"  # version, number
-    r"|[+/_=-]+")  # drawn line
+    r"|v?[0-9]+([-_/][0-9]+)*")  # version, number
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -71,19 +71,38 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+def _rests(start: int, end: int, taken: list[Span]) -> Iterator[tuple[int, int]]:
+    """What ``taken`` (sorted) leaves of a run, where it is long enough."""
+    for s, _, e in taken:
+        if s < end and start < e:
+            if s - start >= LEAST:
+                yield start, s
+            start = max(start, e)
+    if end - start >= LEAST:
+        yield start, end
+
+
+def _known(run: str) -> bool:
+    """Whether it is an identifier or a digest, perhaps between separators."""
+    inner = run.strip("+/_=-")
+    return bool(not inner or _IDENTIFIER.fullmatch(inner) or len(inner) in DIGEST_LENGTHS and _HEXADECIMAL.fullmatch(inner))
+
+
 def random_spans(text: str, taken: list[Span], count, ratio: float = RATIO) -> list[Span]:
-    """Spans of the fourth kind that overlap none of ``taken``."""
-    out = []
+    """Spans of the fourth kind in what ``taken`` (sorted) leaves of the text."""
+    out, i = [], 0
     for m in _RUN.finditer(text):
-        run = m[0]
-        if _IDENTIFIER.fullmatch(run):
-            continue
-        if len(run) in DIGEST_LENGTHS and _HEXADECIMAL.fullmatch(run):
-            continue
-        if any(s < m.end() and m.start() < e for s, _, e in taken):
-            continue
-        if len(run) < ratio * count(run):
-            out.append((m.start(), 3, m.end()))
+        while i < len(taken) and taken[i][2] <= m.start():
+            i += 1
+        j = i
+        while j < len(taken) and taken[j][0] < m.end():
+            j += 1
+        for start, end in _rests(m.start(), m.end(), taken[i:j]):
+            run = text[start:end]
+            if _known(run):
+                continue
+            if len(run) < ratio * count(run):
+                out.append((start, 3, end))
     return out
 
 

@@ -9,6 +9,11 @@ known digests (hexadecimal, of a digest's length) or identifiers (UUIDs, dates,
 lines). Nothing else is asked of a run, so names in capitals that the vocabulary splits finely are taken too; the README
 gives figures.
 
+Readable words in the same run raise its ratio. So where the whole rest is not low, every stretch of whole tokens of at
+least 20 characters is held against ``ratio`` as well (``_windows``), outside of the UUIDs and digests in it; a find is
+widened to the separators around it. There a separator's own token does not lower the ratio, else short words joined by
+``_`` would be secrets.
+
 Positions count code points; ends are exclusive. Null and empty texts have no spans. Repeated rows and null ids stay.
 """
 
@@ -45,6 +50,10 @@ _IDENTIFIER = re.compile(
     r"|[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-]?[0-9Z-]*"  # date and time
     r"|v?[0-9]+([-_/][0-9]+)*")  # version, number
 
+# A UUID or hexadecimal digits, between separators or ends.
+_INNER = re.compile(r"(?<![A-Za-z0-9])(?:([0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})|[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])")
+_SEPARATORS = "+/_=-"
+
 Span = tuple[int, int, int]  # start, kind, end
 
 
@@ -57,7 +66,8 @@ def _counter(vocabulary: str):
     import public_tokenizers
 
     encoding = tiktoken.Encoding("runs", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: len(encoding.encode_ordinary(text))
+
+    return lambda text: encoding.decode_tokens_bytes(encoding.encode_ordinary(text))
 
 
 def base_spans(text: str) -> list[Span]:
@@ -84,11 +94,72 @@ def _rests(start: int, end: int, taken: list[Span]) -> Iterator[tuple[int, int]]
 
 def _known(run: str) -> bool:
     """Whether it is an identifier or a digest, perhaps between separators."""
-    inner = run.strip("+/_=-")
+    inner = run.strip(_SEPARATORS)
     return bool(not inner or _IDENTIFIER.fullmatch(inner) or len(inner) in DIGEST_LENGTHS and _HEXADECIMAL.fullmatch(inner))
 
 
-def random_spans(text: str, taken: list[Span], count, ratio: float = RATIO) -> list[Span]:
+def _windows(tokens: list[bytes], ratio: float) -> Iterator[tuple[int, int]]:
+    """Stretches of whole tokens, at least ``LEAST`` characters, whose ratio is low, in order and apart: from left to
+    right the one that falls short of ``ratio`` by most until nothing falls short any more, then on behind it."""
+    ends, short = [0], [0.0]  # characters up to each token, and by how many they fall short of the ratio
+    for token in tokens:
+        ends.append(ends[-1] + len(token))
+        gap = ratio - len(token)
+        short.append(short[-1] + (gap if token.strip(_SEPARATORS.encode()) else min(gap, 0)))
+    start = 0
+    while start < len(tokens):
+        low = best = None
+        most, i = 1e-9, start
+        for j in range(start + 1, len(ends)):
+            while i < j and ends[j] - ends[i] >= LEAST:
+                if low is None or short[i] < short[low]:
+                    low = i
+                i += 1
+            if low is not None:
+                gain = short[j] - short[low]
+                if gain > most:
+                    most, best = gain, (low, j)
+                elif best and gain <= 0:
+                    break
+        if best is None:
+            return
+        yield ends[best[0]], ends[best[1]]
+        start = best[1]
+
+
+def _low_parts(run: str, tokens_of, ratio: float) -> Iterator[tuple[int, int]]:
+    """The whole run where its ratio is low, else the parts between separators that hold a stretch whose ratio is."""
+    tokens = tokens_of(run)
+    if len(run) < ratio * len(tokens):
+        yield 0, len(run)
+        return
+    start = end = 0
+    for a, b in _windows(tokens, ratio):
+        while a > end and run[a] not in _SEPARATORS and run[a - 1] not in _SEPARATORS:
+            a -= 1
+        while b < len(run) and run[b - 1] not in _SEPARATORS and run[b] not in _SEPARATORS:
+            b += 1
+        if a <= end and end:
+            end = max(end, b)
+            continue
+        if end:
+            yield start, end
+        start, end = a, b
+    if end:
+        yield start, end
+
+
+def _pieces(run: str) -> Iterator[tuple[int, int]]:
+    """Where the run lies between UUIDs and digests."""
+    at = 0
+    for m in _INNER.finditer(run):
+        if m[1] or len(m[0]) in DIGEST_LENGTHS:
+            yield at, m.start()
+            at = m.end()
+    yield at, len(run)
+
+
+def random_spans(text: str, taken: list[Span], tokens_of, ratio: float = RATIO) -> list[Span]:
     """Spans of the fourth kind in what ``taken`` (sorted) leaves of the text."""
     out, i = [], 0
     for m in _RUN.finditer(text):
@@ -101,8 +172,14 @@ def random_spans(text: str, taken: list[Span], count, ratio: float = RATIO) -> l
             run = text[start:end]
             if _known(run):
                 continue
-            if len(run) < ratio * count(run):
+            whole = list(_low_parts(run, tokens_of, ratio))
+            if whole == [(0, len(run))]:
                 out.append((start, 3, end))
+                continue
+            for a, b in _pieces(run) if whole else ():
+                if b - a >= LEAST:
+                    out += [(start + a + s, 3, start + a + e) for s, e in _low_parts(run[a:b], tokens_of, ratio)
+                            if not _known(run[a + s:a + e])]
     return out
 
 
@@ -115,12 +192,12 @@ def find(docs: DataFrame, vocabulary: str, ratio: float = RATIO) -> DataFrame:
     kinds, ``kind:start:end`` joined by commas) and ``spans`` (all of them, joined likewise)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(vocabulary)
+        tokens_of = _counter(vocabulary)
         for batch in table_parts(batches):
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 base = base_spans(text)
-                more = random_spans(text, base, count, ratio)
+                more = random_spans(text, base, tokens_of, ratio)
                 kinds = [k for _, k, _ in base]
                 rows.append((doc_id, kinds.count(0), kinds.count(1), kinds.count(2), len(more),
                              hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(sorted(base + more))))
@@ -149,13 +226,13 @@ def redact(docs: DataFrame, vocabulary: str, ratio: float = RATIO, mask: str = M
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(vocabulary)
+        tokens_of = _counter(vocabulary)
         for batch in table_parts(batches):
             out = []
             for text in batch.column(at).to_pylist():
                 if text:
                     base = base_spans(text)
-                    spans = base + random_spans(text, base, count, ratio)
+                    spans = base + random_spans(text, base, tokens_of, ratio)
                     text = masked(text, spans, mask) if spans else text
                 out.append(text)
             columns = list(batch.columns)

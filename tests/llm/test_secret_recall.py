@@ -66,3 +66,40 @@ def test_rests_of_a_run(count):
     assert secret_scan.random_spans(text[:61], secret_scan.base_spans(text[:61]), count) == []
     short = f"{ACCESS}/q7Zp0Xv9"
     assert secret_scan.random_spans(short, secret_scan.base_spans(short), count) == []
+
+
+WORDS = ["account/settings/confirm/", "reset-password-confirmation/", "production-database-access=", "a/" * 3 + "readable/words/" * 6]
+
+
+@pytest.mark.parametrize("before", WORDS)
+@pytest.mark.parametrize("alphabet, length", [(BASE62, 20), (BASE62, 32), (string.ascii_letters, 24), (BASE62 + "+/", 40)])
+def test_words_do_not_hide_keys(before, alphabet, length, count):
+    assert recall(alphabet, length, count, before) > 0.95
+    assert recall(alphabet, length, count, before, "/index/of/all-known-documents") > 0.95
+
+
+def test_words_stay_beside_keys(count):
+    a, b = keys(BASE62, 32)[:2]
+    path = "production-configuration/database-administration/"
+    text = f"{path}{a}/{path}{b}/{path}{path}index"
+    spans = secret_scan.random_spans(text, [], count)
+    assert len(spans) == 2
+    assert [text[s:e].strip("/") for s, _, e in spans] == [a, b]
+    assert secret_scan.random_spans("test_what_we_do_if_it_is_not_in_the_configuration_file_of_the_application", [], count) == []
+    uuid = "123e4567-e89b-12d3-a456-426614174000"
+    assert secret_scan.random_spans(f"production/database/access/settings/confirm/{uuid}/index/of/all/documents", [], count) == []
+
+
+def test_windows_are_the_low_stretches():
+    rng = random.Random(9)
+    for _ in range(400):
+        lengths = [rng.choice([1, 1, 2, 2, 3, 6]) for _ in range(rng.randrange(60))]
+        ends = [sum(lengths[:i]) for i in range(len(lengths) + 1)]
+        found = list(secret_scan._windows([b"x" * n for n in lengths], 2.1))
+        for a, b in found:
+            i, j = ends.index(a), ends.index(b)
+            assert b - a >= 20 and b - a < 2.1 * (j - i)
+        for i in range(len(ends)):  # every low stretch meets a find
+            for j in range(i, len(ends)):
+                if ends[j] - ends[i] >= 20 and ends[j] - ends[i] < 2.1 * (j - i) - 1e-6:
+                    assert any(a < ends[j] and ends[i] < b for a, b in found)

@@ -3,7 +3,8 @@
 A text's shingles (five words; fewer words make one shingle of them all) are hashed once. The upper bits of a hash name
 its bin, and each bin keeps its smallest hash. A bin that stays empty takes the value of another: its own fixed series of
 bins is walked until one is found that is not empty (optimal densification), the same series for every text, so equal
-choices stay equal. The low ``BITS`` bits of each bin's value are packed into the fingerprint.
+choices stay equal. A series is 4096 draws, then a permutation of all bins, so it always ends at a filled one. The low
+``BITS`` bits of each bin's value are packed into the fingerprint.
 
 Two fingerprints agree in a share of bins that is the shingle sets' Jaccard similarity plus chance agreements of low
 bits, one in 2**BITS; ``likeness`` takes those out and clips to 0..1.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from epipanel.llm.common import stage, table_parts, texts, words
 from epipanel.llm.hashing import shingle_hashes
 
-BINS, BITS, WIDTH = 512, 4, 5
+BINS, BITS, WIDTH, STEPS = 512, 4, 5, 64
 
 # For each bin its series of bins, in steps of 64; steps beyond the first are made when they are needed.
 _series: list[np.ndarray] = []
@@ -43,8 +45,14 @@ def _steps(i: int) -> np.ndarray:
     return _series[i]
 
 
+@lru_cache(1)
+def _orders() -> np.ndarray:
+    """For each bin (column) a permutation of all bins, for what the draws do not lead to a filled one."""
+    return np.random.default_rng([BINS, STEPS]).permuted(np.tile(np.arange(BINS)[:, None], BINS), axis=0)
+
+
 def densified(filled: np.ndarray) -> np.ndarray:
-    """For each bin the bin whose value it takes: itself where filled."""
+    """For each bin the bin whose value it takes: itself where filled. One bin at least is."""
     source = np.arange(BINS)
     empty = np.flatnonzero(~filled)
     if filled.sum() == 1:
@@ -52,7 +60,7 @@ def densified(filled: np.ndarray) -> np.ndarray:
         return source
     i = 0
     while len(empty):
-        series = _steps(i % 64)[:, empty]
+        series = (_steps(i) if i < STEPS else _orders())[:, empty]
         hits = filled[series]
         at = hits.argmax(0)
         found = hits[at, np.arange(len(empty))]

@@ -4,7 +4,9 @@ A vocabulary file of the tokenizers library is read into tiktoken's merging code
 file itself shows: every merge makes a token of its own, and the tokens' ids rise with the merges' ranks. Where it does
 not, and for text that the fast way does not cover, the tokenizers library encodes.
 
-- Byte-level files: the same splitting rule, special tokens found in the text.
+- Byte-level files: the same splitting rule, special tokens found in the text. The rule looks ahead behind white space,
+  for which tiktoken's matcher keeps a state per code point and panics at about a million; texts with white space longer
+  than ``LONGEST_SPACE`` are the library's.
 - Files with word ends: text is cut at spaces, which no token spans, and each distinct piece is encoded once while it is
   remembered. A word's end is written as a space behind the word, so that ``x</w>`` is the pair (x, space), and these
   pairs come first of all merges.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 import unicodedata
 from array import array
@@ -26,6 +29,10 @@ import regex
 # Fixed value: the splitting rule of byte-level vocabularies of this kind.
 UNITS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# White space that is still the fast way's: 700,000 code points were fine, a million not.
+LONGEST_SPACE = 100_000
+_SPACE = re.compile(r"\s+")
+
 # At single spaces only: of a run of spaces, all but the last are one unit.
 _RUNS = regex.compile(r"(?<=[^ ])(?= [^ ])|(?<= )(?= [^ \p{White_Space}])", regex.V1)
 # Letters whose case and composed forms are the same in every version of Unicode.
@@ -127,6 +134,8 @@ class Encoder:
         return [self._units(t) for t in texts]
 
     def _units(self, text: str) -> bytes:
+        if len(text) > LONGEST_SPACE and any(m.end() - m.start() > LONGEST_SPACE for m in _SPACE.finditer(text)):
+            return self._library(text)
         if any(s in text for s in self.special):
             return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
         ids = array("I", self.fast.encode_ordinary(text))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epipanel.llm import bpe, fingerprints, lm_scoring, near_dedup, packing, quality, secret_scan, token_files, topk, warc
+from epipanel.llm import bpe, fingerprints, lexical, lm_scoring, near_dedup, packing, quality, secret_scan, token_files, topk, warc
 from epipanel.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,37 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log-probability under a model of six sevenths of them."""
     return lm_scoring.score(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    found = lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+ORACLE["op13_lexical_search"] = """
+WITH numbered AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+tokens AS (
+    SELECT r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM numbered),
+counts AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM tokens GROUP BY r, term),
+lengths AS MATERIALIZED (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY r),
+whole AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM lengths),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM counts, whole GROUP BY term),
+asked AS (
+    SELECT item_id, term, count(*) AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM benchmark)
+    GROUP BY item_id, term),
+scored AS (
+    SELECT item_id, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll)))) AS BIGINT) AS score
+    FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN lengths USING (r), whole
+    GROUP BY item_id, r),
+ranked AS (
+    SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+    FROM scored JOIN numbered USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epipanel.llm import bpe, fingerprints, lexical, lm_scoring, near_dedup, packing, quality, secret_scan, token_files, topk, warc
+from epipanel.llm import (bpe, chat, fingerprints, lexical, lm_scoring, near_dedup, packing, quality, secret_scan, token_files,
+                          topk, warc, whitening)
 from epipanel.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +131,34 @@ ranked AS (
     FROM scored JOIN numbered USING (r) WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first sixteen components, whitened."""
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted and read back, and one whose texts hold the template's control strings."""
+    own = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    odd = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(own.unionByName(odd)), in_order=True)
+
+
+ORACLE["op11_chat_format"] = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, role IS NOT DISTINCT FROM 'assistant' AS learned, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', false, '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', true, '</s>[INST] ok [/INST]'),
+escaped AS (
+    SELECT *, replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]') AS e
+    FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(CASE WHEN learned THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN learned THEN text END, '' ORDER BY turn), '')) AS loss_sha256,
+       CAST(sum(length(e) + CASE WHEN learned THEN length('</s>') ELSE length('<s>[INST][/INST]') + 1 + length(role) END) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""

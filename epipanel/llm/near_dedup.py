@@ -15,8 +15,9 @@ signature and then by full sets inside a task. So a bucket full of copies costs
 different components goes untested, and what is not linked never becomes a row.
 
 Cases. Null and empty texts, and texts of white space, have no shingles and no links; with fewer words than a shingle
-takes, the whole sequence is the one shingle. Rows without ``doc_id`` are returned without a component, as kept. Rows that
-repeat an id each get a row; the copies of one id are one document. Empty tables give no rows.
+takes, the whole sequence is the one shingle. Rows without ``doc_id`` are returned without a component, as kept. Each row is
+judged by its own text: rows that repeat an id each get a row, and different texts under one id are different documents. A
+component is named by its smallest id. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epipanel.llm.common import stage, table_parts, texts, words
@@ -60,24 +61,30 @@ def buckets(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _mark(text: str) -> Column:
+    """Tells texts of one id apart."""
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``digest`` of the set, ``signature`` (low 16 bits of the minima) and ``buckets``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary()),
-                        ("buckets", pa.list_(pa.int64()))])
+    """``doc_id``, ``mark`` of the text, ``n_shingles``, ``digest`` of the set, ``signature`` (low 16 bits of the minima) and ``buckets``."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("n_shingles", pa.int64()), ("digest", pa.binary()),
+                        ("signature", pa.binary()), ("buckets", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in table_parts(batches):
             rows = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            for doc_id, mark, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "mark", "text"))):
                 found = np.unique(shingle_hashes(words(text), width))
                 if not len(found):
-                    rows.append((doc_id, 0, None, None, None))
+                    rows.append((doc_id, mark, 0, None, None, None))
                     continue
                 own = minima(found)
-                rows.append((doc_id, len(found), xxhash.xxh3_128_digest(found.tobytes()), own.astype("<u2").tobytes(), buckets(own)))
+                rows.append((doc_id, mark, len(found), xxhash.xxh3_128_digest(found.tobytes()), own.astype("<u2").tobytes(), buckets(own)))
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary, buckets array<long>")
+    return texts(docs).withColumn("mark", _mark("text")).mapInArrow(
+        run, "doc_id long, mark binary, n_shingles long, digest binary, signature binary, buckets array<long>")
 
 
 def shingles(text: str, width: int) -> set:
@@ -99,25 +106,29 @@ def _linked(one: set, two: set, percent: int) -> bool:
 
 
 def _linked_pairs(pairs: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs ``a``, ``b`` that are links. ``own``: ``doc_id``, ``text``, ``signature``."""
-    a = own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"), F.col("signature").alias("sa"))
-    b = own.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"), F.col("signature").alias("sb"))
+    """Those of the pairs ``a``, ``b`` that are links. ``own``: ``doc_id``, ``text``, ``signature``. Texts follow signatures that agree."""
+    def both(pairs: DataFrame, column: str) -> DataFrame:
+        a = own.select(F.col("doc_id").alias("a"), F.col(column).alias("one"))
+        b = own.select(F.col("doc_id").alias("b"), F.col(column).alias("two"))
+        return pairs.join(b, "b").join(a, "a").select("a", "b", "one", "two")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in table_parts(batches, 4 << 20):
+            keep = [_alike(x, y) >= LEAST_AGREEMENT for x, y in zip(batch["one"].to_pylist(), batch["two"].to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, one = None, set()
         for batch in table_parts(batches, 4 << 20):
             keep = []
             for row in batch.to_pylist():
-                if _alike(row["sa"], row["sb"]) < LEAST_AGREEMENT:
-                    keep.append(False)
-                    continue
                 if row["a"] != last:
-                    last, one = row["a"], shingles(row["ta"], width)
-                keep.append(_linked(one, shingles(row["tb"], width), percent))
+                    last, one = row["a"], shingles(row["one"], width)
+                keep.append(_linked(one, shingles(row["two"], width), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb", "sa", "sb")
-    return found.mapInArrow(run, "a long, b long").distinct()
+    alike = both(pairs, "signature").mapInArrow(agree, "a long, b long")
+    return both(alike, "text").mapInArrow(confirm, "a long, b long")
 
 
 def _links_apart(apart: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
@@ -169,13 +180,29 @@ def _links_apart(apart: DataFrame, own: DataFrame, width: int, percent: int) ->
     return (one.groupBy(*one.columns[:3]).cogroup(two.groupBy(*two.columns[:3])).applyInArrow(compare, "u long, v long"))
 
 
-def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per document ``n_shingles``, ``component_id`` (smallest id reachable over links) and ``kept`` (it is that one)."""
-    own = texts(docs)
+def _classes(usable: DataFrame) -> DataFrame:
+    """``digest``, its smallest row ``rep`` (id and mark), its ``n`` rows and ``node``, a number in the order of ``rep``.
+
+    Numbers keep different texts of one id apart; ranges of rows are numbered in their own tasks.
+    """
+    parts = int(usable.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.count("*").alias("n"))
+    order = [F.col("rep.doc_id"), F.col("rep.mark"), F.col("digest")]
+    return stage(found.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()))
+
+
+def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``doc_id``, ``mark`` and ``n_shingles`` of each row, and ``root``, the id and mark of its component's smallest row.
+
+    Nodes stand in for ``doc_id`` between here and the end.
+    """
+    own = texts(docs).withColumn("mark", _mark("text"))
     signed = stage(signatures(docs, width))
     usable = signed.filter("doc_id is not null and n_shingles > 0")
-    classes = stage(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    reps = usable.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    classes = _classes(usable)
+    named = classes.select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.mark").alias("mark"), "node")
+    found = usable.join(named, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    reps = found.select(F.col("node").alias("doc_id"), "signature", "buckets")
 
     # buckets of several classes, each row with the bucket's smallest id
     rows = reps.select(F.explode("buckets").alias("bucket"), "doc_id")
@@ -183,8 +210,9 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     members = stage(rows.join(several, "bucket"))
 
     # texts of the documents that share a bucket with others
-    involved = members.select("doc_id").distinct()
-    own = stage(own.join(usable.select("doc_id", "signature").join(involved, "doc_id", "left_semi"), "doc_id"))
+    involved = named.join(members.select(F.col("doc_id").alias("node")).distinct(), "node", "left_semi")
+    sought = found.select("doc_id", "mark", "signature").join(involved, ["doc_id", "mark"])
+    own = stage(own.join(sought, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select(F.col("node").alias("doc_id"), "text", "signature"))
 
     first = members.filter("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = _linked_pairs(first, own, width, percent)
@@ -201,19 +229,32 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     joined = components(bridges)
 
     final = (found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
-             .select(F.col("node").alias("rep"), F.coalesce("root", "component").alias("component"))
-             .unionByName(joined.join(found.select("node"), "node", "left_anti").select(F.col("node").alias("rep"), "component")))
-    moved = (classes.join(final, "rep", "left").filter("n > 1 or component is not null")
-             .select("digest", F.coalesce("component", "rep").alias("component")))
-    return (signed.select("doc_id", "n_shingles", "digest").join(moved, "digest", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+             .select("node", F.coalesce("root", "component").alias("component"))
+             .unionByName(joined.join(found.select("node"), "node", "left_anti").select("node", "component")))
+    roots = classes.select(F.col("node").alias("component"), F.col("rep").alias("root"))
+    moved = (classes.join(final.join(roots, "component").select("node", "root"), "node", "left").filter("n > 1 or root is not null")
+             .select("digest", F.coalesce("root", "rep").alias("root")))
+    return (signed.select("doc_id", "mark", "n_shingles", "digest").join(moved, "digest", "left")
+            .select("doc_id", "mark", "n_shingles", F.coalesce("root", F.struct("doc_id", "mark")).alias("root")))
+
+
+def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Per row ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable over links) and ``kept`` (it is that one)."""
+    return (_labelled(docs, width, percent)
+            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("root.doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, all columns kept, one of each component; of rows that repeat an id, one. Rows without id stay."""
-    kept = near_copies(docs, width, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy("text")
-    found = (docs.join(kept.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "doc_id", "left_semi")
-             .withColumn("_place", F.row_number().over(one)).filter("_place = 1").select(docs.columns))
-    return found.unionByName(docs.filter("doc_id is null"))
+    """The documents, all columns kept, one of each component: the smallest id's.
+
+    Of rows with equal id and text one stays; different texts under one id stay or go each by itself; rows without id stay.
+    """
+    kept = (_labelled(docs, width, percent).filter("doc_id is not null and doc_id = root.doc_id and mark = root.mark")
+            .select(F.col("doc_id").alias("key"), "mark").distinct())
+    # the row is a struct, so that no name of its columns can clash with the ones added here
+    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("key"), _mark("text").alias("mark")).filter("key is not null")
+    sortable = [F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    one = Window.partitionBy("key", "mark").orderBy(F.xxhash64(*sortable))
+    found = (rows.withColumn("place", F.row_number().over(one)).filter("place = 1").join(kept, ["key", "mark"], "left_semi").select("row.*"))
+    return found.unionByName(docs.filter(docs["doc_id"].isNull()))

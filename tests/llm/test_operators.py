@@ -265,6 +265,27 @@ def test_near_copies_odd_rows(odd, none):
     assert near_dedup.near_copies(none).collect() == [] and near_dedup.drop_near_copies(none).collect() == []
 
 
+def test_one_id_with_different_texts(spark):
+    rng = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(500)]
+    base = [rng.choices(vocabulary, k=60) for _ in range(6)]
+    near = lambda t: " ".join(t[:-1] + ["changed"])
+    rows = [(5, None), (5, "a real text with words enough to have shingles"), (6, "another text here"), (6, "zebra crossing unlike it")]
+    rows += [(1, " ".join(base[0])), (1, " ".join(base[1])), (2, near(base[1])), (2, " ".join(base[2])), (2, " ".join(base[2])), (3, near(base[2]))]
+    rows += [(9, " ".join(base[3])), (8, near(base[3])), (None, " ".join(base[3])), (None, None), (4, ""), (4, " ")]
+    schema = "doc_id long, text string, _place string, key int, mark string, row string, place int"
+    table_ = spark.createDataFrame([(i, t, f"keep-{n}", n, "m", "r", None) for n, (i, t) in enumerate(rows)], schema)
+    kept = near_dedup.drop_near_copies(table_).collect()
+    assert all(r["_place"] == f"keep-{r['key']}" and (r["mark"], r["row"], r["place"]) == ("m", "r", None) for r in kept)
+    got = Counter((r["doc_id"], r["text"]) for r in kept)
+    gone = {(2, near(base[1])), (3, near(base[2])), (9, " ".join(base[3]))}
+    assert got == Counter(x for x in set(rows) if x not in gone)
+    labels = near_dedup.near_copies(table_).collect()
+    assert len(labels) == len(rows)
+    assert Counter(r["component_id"] for r in labels if r["doc_id"] == 2) == Counter({1: 1, 2: 2})
+    assert {r["component_id"] for r in labels if r["doc_id"] == 5} == {5} and {r["component_id"] for r in labels if r["doc_id"] == 9} == {8}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (3, 2), (200, 201)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -328,7 +349,7 @@ def test_search(spark):
     rows += [(300, None), (301, [1.0, None] + [0.0] * 6), (302, [math.nan] * 8), (303, [math.inf] * 8), (None, [9.0] * 8), (304, []), (400, [1.0] * 8),
              (5, rows[5][1])]
     data = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int")
-    got = sorted(tuple(r) for r in topk.search(data, data.filter("vec_id % 100 = 0"), 10).collect())
+    got = sorted(tuple(r) for r in topk.search(data, data.filter("vec_id % 100 = 0"), 10).drop("variant").collect())
     ok = [(i, np.floor(1024 * np.array(v, float))) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
     for q, x in ok:
@@ -339,6 +360,51 @@ def test_search(spark):
     assert topk.search(data.limit(0), data.limit(0)).collect() == []
 
 
+def _brute_search(rows, k):
+    ok = [(i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    asked = sorted({(i, v) for i, v in ok if i % 100 == 0})
+    out = []
+    for q, v in asked:
+        variant = [x for x in asked if x[0] == q].index((q, v))
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q)[:k]
+        out += [(q, n, i, -s, variant) for n, (s, i) in enumerate(best, 1)]
+    return sorted(out)
+
+
+def test_search_keeps_queries_beside_bad_rows_of_their_id(spark):
+    rows = [(100, [math.nan, math.nan]), (100, [1.0, 2.0]), (100, [3.0, -2.0]), (100, [1.0, 2.0]), (100, None), (1, [1.0, 1.0]), (2, [2.0, 1.0]), (3, [-1.0, 4.0])]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.search(data, data.filter("vec_id % 100 = 0"), 10).collect())
+    assert got == _brute_search(rows, 10) and len(got) == 6
+
+
+def test_search_is_exact_for_large_components_or_raises(spark):
+    rows = [(100, [1e6, 3.0, -7.0]), (200, [2e15, -1.0, 1e-3])] + [(i, [1e8 + i, float(i % 7), -1e9]) for i in range(1, 90)] + [(95, [2e15, 0.0, 0.0])]
+    fits = [r for r in rows if r[0] != 200]
+    data = spark.createDataFrame(fits, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.search(data, data.filter("vec_id % 100 = 0"), 5).collect()) if max(abs(s[3]) for s in _brute_search(fits, 5)) < 2 ** 63 else None
+    if got is not None:
+        assert got == _brute_search(fits, 5)
+    for bad in ([(100, [1.0, 2.0]), (1, [1e16, 1.0])], [(100, [2e15, 0.0]), (1, [2e15, 0.0])]):
+        data = spark.createDataFrame(bad, "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="OverflowError|too large|too big"):
+            topk.search(data, data.filter("vec_id % 100 = 0"), 5).collect()
+    exact = [(100, [4e9, 1.0]), (1, [1e3, 5.0]), (2, [1e3, 4.0]), (3, [1e3, 6.0])]
+    data = spark.createDataFrame(exact, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.search(data, data.filter("vec_id % 100 = 0"), 5).collect()) == _brute_search(exact, 5)
+
+
+def test_search_over_several_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(12).tolist()) for i in range(0, 3000, 10)] + [(i, rng.standard_normal(12).tolist()) for i in range(5000, 5400)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    want = _brute_search(rows, 3)
+    for name, value in (("BLOCK", 7), ("GROUP", 1)):
+        monkeypatch.setattr(topk, name, value)
+    assert sorted(tuple(r) for r in topk.search(data, data.filter("vec_id % 100 = 0"), 3).collect()) == want
+
+
+
 # 9 secrets
 
 def test_secrets(spark, none):

@@ -172,37 +172,3 @@ def backtest_series(panel: DataFrame, fit: Callable[[np.ndarray], Any], predict:
 
     return spread(df, GID_2).groupBy(GID_2).applyInPandas(
         one_region, f"{GID_2} string, {DATE} date, {HORIZON} int, {PREDICTION} double, {CASES} double")
-
-
-def lag_features(df: DataFrame, columns: Sequence[str], lags: int, horizon: int) -> DataFrame:
-    """One array per row: the last ``lags`` values of each column known ``horizon`` ahead."""
-    w = Window.partitionBy(GID_2).orderBy(DATE).rowsBetween(-(horizon + lags - 1), -horizon)
-    parts = [F.collect_list(F.col(c).cast("double")).over(w) for c in columns]
-    full = df.withColumn("_lags", F.concat(*parts))
-    return full.where(F.size("_lags") == lags * len(columns))
-
-
-def boosted_lags(panel: DataFrame, covariates: Sequence[str] = (), horizon: int = 1, lags: int = 48,
-                 train_end: str | None = None, start_date: str | None = None, rounds: int = 100, depth: int = 6,
-                 rate: float = 0.05, subsample: float = 0.9, seed: int = 42) -> DataFrame:
-    """Point forecasts of boosted trees on lags of log cases and covariates, pooled over regions.
-
-    Trained once, on history up to ``train_end``. Spark ML grows the trees
-    over all partitions. :func:`epipanel.operators.calibrate.residual_quantiles`
-    turns the result into a distribution.
-    """
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import GBTRegressor
-
-    freq = period_freq(panel) or "M"
-    df = _timed(training_regions(panel, None, train_end), freq)
-    rows = lag_features(df, [LOG_CASES, *covariates], lags, horizon).withColumn("features", array_to_vector("_lags"))
-    train = rows.where(F.col(LOG_CASES).isNotNull() & ~F.col(FUTURE))
-    if train_end is not None:
-        train = train.where(F.col(DATE) <= align_scalar(train_end, panel))
-    model = GBTRegressor(featuresCol="features", labelCol=LOG_CASES, predictionCol="_p", maxIter=rounds,
-                         maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed).fit(
-        train.select("features", LOG_CASES))
-    due = rows if start_date is None else rows.where(F.col(DATE) >= align_scalar(start_date, panel))
-    return model.transform(due).select(
-        GID_2, DATE, F.lit(horizon).alias(HORIZON), expm1_clipped(F.col("_p")).alias(PREDICTION), CASES)

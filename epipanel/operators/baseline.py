@@ -42,10 +42,10 @@ def _between(level: Column, low: Column, high: Column, part: float | Column) ->
     return a + (b - a) * part
 
 
-def baseline(panel: DataFrame, horizon: int = 1, symmetrize: bool = True, num_samples: int = 1000,
+def baseline(panel: DataFrame, horizon: int | Sequence[int] = 1, symmetrize: bool = True, num_samples: int = 1000,
              levels: Sequence[float] = QUANTILE_LEVELS, start_date: str | None = None,
              end_date: str | None = None) -> DataFrame:
-    """Forecast from the differences seen so far, at horizons 1 to ``horizon``.
+    """Forecast from the differences seen so far, at horizons 1 to ``horizon``, or at those listed.
 
     For row k and h steps the differences up to row k - h - 1 (mirrored around
     zero when ``symmetrize``) give evenly spaced draws around the last known
@@ -66,7 +66,7 @@ def baseline(panel: DataFrame, horizon: int = 1, symmetrize: bool = True, num_sa
     df = df.withColumn(
         "_diff", F.when(F.col("_k") >= 1, F.coalesce(F.col(CASES) - F.lag(CASES).over(w), F.lit(0.0))))
 
-    steps = range(1, horizon + 1)
+    steps = range(1, horizon + 1) if isinstance(horizon, int) else list(horizon)
     base = {
         h: F.when(~F.lag(FUTURE, h).over(w), F.lag(CASES, h).over(w)) for h in steps
     }

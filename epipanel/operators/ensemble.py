@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,34 +57,58 @@ def common_regions(df: DataFrame, n_models: int) -> DataFrame:
     return df.join(in_all_models(df, GID_2, n_models), [*_by(df), GID_2], "left_semi")
 
 
-def simplex_grid(n: int, step: float = 0.05) -> list[tuple[float, ...]]:
-    """All weight vectors of length ``n`` in steps of ``step`` that add up to 1."""
-    parts = round(1 / step)
-    if abs(parts * step - 1) > 1e-9:
-        raise ValueError("step must divide 1")
-    return [
-        tuple(x / parts for x in (*head, parts - sum(head)))
-        for head in product(range(parts + 1), repeat=n - 1) if sum(head) <= parts
-    ]
+def _losses(known: DataFrame, by: list[str], points: DataFrame, n: int) -> DataFrame:
+    """Loss, slope per model and row count of each point at each date of its history: sums over all dates up to it.
 
-
-def _grid_column(n: int, step: float) -> Column:
-    """Grid as a literal array, nearest to equal weights first."""
-    grid = sorted(simplex_grid(n, step), key=lambda w: (round(sum((x - 1 / n) ** 2 for x in w), 12), w))
-    return F.array(*[
-        F.struct(F.lit(i).alias("i"), F.array(*[F.lit(x) for x in w]).alias("w")) for i, w in enumerate(grid)])
-
-
-def train_weights(df: DataFrame, models: Sequence[str], step: float = 0.05) -> DataFrame:
-    """Weights per date that would have been best over all dates up to it.
-
-    The loss is the pinball loss of the weighted forecast, added over levels.
-    It is a sum over dates, so one pass gives the loss of every weight vector
-    of a grid per date, and a running sum gives it for every history: no date
-    is fitted anew. A region counts from the date on which every model has it,
-    with all its history. Where a model lacks rows the others have, weights
-    are equal. Among equal losses the vector nearest to equal weights wins.
-    Returns long rows ``Date, model, weight`` (and horizon).
+    ``points``: ``_w`` with the last date ``_last`` it is asked for, numbered by ``_i``. One aggregate over the rows, then a running
+    sum over dates.
+    """
+    mix = sum((F.col("_w")[i] * F.col(f"_p{i}") for i in range(n)), F.lit(0.0))
+    slope = F.when(F.col("_y") >= F.col("_mix"), -F.col(QUANTILE)).otherwise(1 - F.col(QUANTILE))
+    if by:
+        met = known.join(points, by)
+    else:
+        listed = points.agg(F.collect_list(F.struct("_i", "_w", "_last"))).scalar()
+        met = known.withColumn("_z", F.explode(listed)).select(*known.columns, "_z.*")
+    daily = (
+        met.where(F.col("_at") <= F.col("_last")).withColumn("_mix", mix)
+        .groupBy(*by, "_i", "_at")
+        .agg(F.sum(pinball(F.col("_y"), F.col("_mix"), F.col(QUANTILE))).alias("_l"), F.count("*").alias("_n"),
+             *[F.sum(slope * F.col(f"_p{i}")).alias(f"_g{i}") for i in range(n)]))
+    history = Window.partitionBy(*by, "_i").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    total = {c: F.sum(c).over(history) for c in ("_l", "_n", *[f"_g{i}" for i in range(n)])}
+    # means over rows, rounded, so that the order of summing does not show in comparisons
+    return daily.withColumns(total).select(
+        *by, "_i", F.col("_at").alias(DATE), F.round(F.col("_l") / F.col("_n"), 9).alias("_loss"),
+        F.array(*[F.round(F.col(f"_g{i}") / F.col("_n"), 9) for i in range(n)]).alias("_slope"))
+
+
+def _transfer(n: int) -> Column:
+    """The next point to try: up to ``_h`` of weight moved from the model whose slope is steepest up to the one steepest down.
+
+    Null when no transfer can lower the loss.
+    """
+    held = F.zip_with("_w", "_slope", lambda w, g: F.when(w > 0, g))
+    source, target = F.array_position(held, F.array_max(held)) - 1, F.array_position("_slope", F.array_min("_slope")) - 1
+    amount = F.least(F.col("_h"), F.get("_w", source.cast("int")))
+    moved = F.transform("_w", lambda w, i: F.round(F.when(i == target, w + amount).when(i == source, w - amount).otherwise(w), 12))
+    return F.when(F.array_max(held) > F.array_min("_slope"), moved)
+
+
+def train_weights(df: DataFrame, models: Sequence[str], step: float = 0.05, max_passes: int = 64) -> DataFrame:
+    """Weights per date that are best over all dates up to it.
+
+    The loss is the mean pinball loss of the weighted forecast. It is convex in the weights and a sum over dates, so one
+    aggregate and a running sum give loss and slopes of a point for every history. The search starts at the best of equal
+    weights and single models. Then weight is moved from the model with the highest slope to the one with the lowest, by
+    up to 1/2 at first; where that does not lower the loss, the move is halved, until one of at most ``step`` fails. All dates
+    search at once: a pass evaluates the distinct points that they want next, so its cost does not depend on the number of
+    weight vectors there are, and the plan does not grow with it. ``max_passes`` only guards against endless runs: when it is
+    reached an error is raised.
+
+    A region counts from the date on which every model has it, with all its history. Where a model lacks rows the others
+    have, weights are equal. Returns long rows ``Date, model, weight, loss, gap`` (and horizon). ``gap`` bounds by how much the mean loss is
+    above the least possible one: the slopes say no point of the simplex is better by more.
     """
     by, n = _by(df), len(models)
     rows = df.where(F.col(MODEL).isin(*models)).dropna(subset=[PREDICTION, CASES])
@@ -100,31 +123,61 @@ def train_weights(df: DataFrame, models: Sequence[str], step: float = 0.05) -> D
         missing = missing | F.col(f"_p{i}").isNull()
     known = wide.withColumns({f"_e{i}": f for i, f in enumerate(firsts)}).dropna(subset=[f"_e{i}" for i in range(n)])
     known = known.withColumn("_at", F.greatest(F.col(DATE), *[F.col(f"_e{i}") for i in range(n)]))
-    grid = _grid_column(n, step)
-    mix = sum((F.col("_g.w")[i] * F.col(f"_p{i}") for i in range(n)), F.lit(0.0))
-    daily = (
-        known.withColumn("_gap", missing)
-        .withColumn("_g", F.explode(grid))
-        .groupBy(*by, F.col("_at").alias(DATE), F.col("_g.i").alias("_i"))
-        .agg(F.sum(pinball(F.col("_y"), mix, F.col(QUANTILE))).alias("_loss"), F.bool_or("_gap").alias("_gap"))
-    )
-    history = Window.partitionBy(*by, "_i").orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
-    total = daily.withColumns({"_loss": F.sum("_loss").over(history), "_gap": F.max("_gap").over(history)})
-    best = total.groupBy(*by, DATE).agg(
-        F.min(F.struct(F.round("_loss", 9), F.col("_i").alias("i"))).alias("_best"), F.bool_or("_gap").alias("_gap"))
-    best = best.withColumn("_w", F.get(F.transform(grid, lambda g: g["w"]), F.col("_best.i"))).drop("_best")
-    # dates without new rows keep the weights of the date before
-    dates = df.select(*by, DATE).distinct().join(best, [*by, DATE], "left")
+    known = stage(known.select(*by, "_at", QUANTILE, "_y", *[f"_p{i}" for i in range(n)], missing.alias("_gap")))
+
     over_time = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(DATE).rowsBetween(
         Window.unboundedPreceding, 0)
-    equal = F.array(*[F.lit(1.0 / n)] * n)
-    filled = dates.withColumns({
-        "_w": F.last("_w", ignorenulls=True).over(over_time),
+    dates = known.groupBy(*by, F.col("_at").alias(DATE)).agg(F.bool_or("_gap").alias("_gap")).withColumn("_gap", F.max("_gap").over(over_time))
+    cutoffs = stage(dates)
+    state = _search(known, cutoffs.where(~F.col("_gap")).drop("_gap"), by, n, step, max_passes)
+
+    # dates without new rows keep the weights of the date before
+    best = cutoffs.join(state, [*by, DATE], "left")
+    listed = df.select(*by, DATE).distinct().join(best.select(*by, DATE, "_gap", F.struct("_w", "_loss", "_slope").alias("_best")), [*by, DATE], "left")
+    filled = listed.withColumns({
+        "_best": F.last(F.when(F.col("_best._w").isNotNull(), F.col("_best")), ignorenulls=True).over(over_time),
         "_gap": F.coalesce(F.last("_gap", ignorenulls=True).over(over_time), F.lit(True))})
-    chosen = F.when(F.col("_gap"), equal).otherwise(F.col("_w"))
     names = F.array(*map(F.lit, models))
+    chosen = F.when(F.col("_gap"), F.array(*[F.lit(1.0 / n)] * n)).otherwise(F.col("_best._w"))
+    reach = F.aggregate(F.zip_with("_best._w", "_best._slope", lambda w, g: w * g), F.lit(0.0), lambda s, v: s + v) - F.array_min("_best._slope")
     return filled.withColumn("_m", F.explode(F.arrays_zip(names.alias("m"), chosen.alias("w")))).select(
-        *by, DATE, F.col("_m.m").alias(MODEL), F.col("_m.w").alias("weight"))
+        *by, DATE, F.col("_m.m").alias(MODEL), F.col("_m.w").alias("weight"),
+        F.when(~F.col("_gap"), F.col("_best._loss")).alias("loss"), F.when(~F.col("_gap"), reach).alias("gap"))
+
+
+def _search(known: DataFrame, cutoffs: DataFrame, by: list[str], n: int, step: float, max_passes: int) -> DataFrame:
+    """``_w``, ``_loss`` and ``_slope`` per cutoff."""
+    order = Window.partitionBy(*by).orderBy("_w") if by else Window.partitionBy(F.lit(0)).orderBy("_w")
+
+    def numbered(wanted: DataFrame) -> DataFrame:
+        points = wanted.groupBy(*by, "_w").agg(F.max(DATE).alias("_last"))
+        return stage(points.withColumn("_i", F.row_number().over(order)))
+
+    starts = [[1.0 / n] * n, *[[float(i == j) for j in range(n)] for i in range(n)]]
+    first = F.explode(F.array(*[F.array(*map(F.lit, w)) for w in starts]))
+    points = numbered(cutoffs.withColumn("_w", first))
+    scored = _losses(known, by, points, n).join(points.select(*by, "_i", "_w"), [*by, "_i"])
+    # of equal losses equal weights come first, then the earlier model
+    rank = F.when(F.col("_w")[0] == 1.0 / n, 0).otherwise(F.array_position("_w", F.lit(1.0))) if n > 1 else F.lit(0)
+    state = scored.groupBy(*by, DATE).agg(F.min_by(F.struct("_w", "_loss", "_slope"), F.struct(F.col("_loss"), rank.alias("r"))).alias("_s"))
+    state = state.select(*by, DATE, "_s.*", F.lit(0.5).alias("_h"), F.lit(False).alias("_done"))
+    for _ in range(max_passes):
+        state = stage(state.withColumn("_next", F.when(~F.col("_done"), _transfer(n))))
+        wanted = state.where(F.col("_next").isNotNull()).select(*by, DATE, F.col("_next").alias("_w"))
+        if wanted.isEmpty():
+            return state.select(*by, DATE, "_w", "_loss", "_slope")
+        points = numbered(wanted)
+        there = _losses(known, by, points, n).join(points.select(*by, "_i", "_w"), [*by, "_i"]).select(
+            *by, DATE, F.col("_w").alias("_next"), F.col("_loss").alias("_l2"), F.col("_slope").alias("_s2"))
+        better = F.coalesce(F.col("_l2") < F.col("_loss"), F.lit(False))
+        halved = ~better & ~F.col("_done")
+        state = state.join(there, [*by, DATE, "_next"], "left").select(
+            *by, DATE, F.when(better, F.col("_next")).otherwise(F.col("_w")).alias("_w"),
+            F.when(better, F.col("_l2")).otherwise(F.col("_loss")).alias("_loss"),
+            F.when(better, F.col("_s2")).otherwise(F.col("_slope")).alias("_slope"),
+            F.when(halved, F.col("_h") / 2).otherwise(F.col("_h")).alias("_h"),
+            (F.col("_done") | F.col("_next").isNull() | (halved & (F.col("_h") <= step))).alias("_done"))
+    raise RuntimeError(f"weights still move after {max_passes} passes")
 
 
 def apply_weights(df: DataFrame, weights: DataFrame, models: Sequence[str], lag: int = 1,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epipanel.functions.scalars import expm1_clipped
-from epipanel.operators import backtest, baseline, samples
+from epipanel.operators import backtest, baseline, boosting, samples
 from epipanel.schema import CASES, PREDICTION, QUANTILE, SAMPLE
 from epipanel.sources.tables import write_table
 
@@ -18,7 +18,7 @@ MODELS: dict[str, Model] = {
     "baseline": baseline.baseline,
     "movavg": baseline.seasonal_average,
     "sarima": backtest.seasonal_autoregression,
-    "xgboost": backtest.boosted_lags,
+    "xgboost": boosting.boosted_lags,
 }
 
 

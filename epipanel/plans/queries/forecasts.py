@@ -395,42 +395,68 @@ def _(spark, d):
     return _tidy(calibrate.lift_tiny_violations(_unsorted(spark, d), 2.5))
 
 
-_MODELS = ["base", "high", "low"]
-cte("valid_wide", """
-  SELECT horizon, GID_2, "Date", quantile AS q, max(Cases) AS y, max(prediction) FILTER (WHERE model = 'base') AS p0,
-    max(prediction) FILTER (WHERE model = 'high') AS p1, max(prediction) FILTER (WHERE model = 'low') AS p2
-  FROM model_forecasts WHERE prediction IS NOT NULL GROUP BY 1, 2, 3, 4""", "model_forecasts")
-cte("weight_grid", """
-  SELECT a / 10.0::DOUBLE AS w0, b / 10.0::DOUBLE AS w1, (10 - a - b) / 10.0::DOUBLE AS w2 FROM range(11) x(a), range(11) y(b) WHERE a + b <= 10""")
-cte("daily_losses", """
-  SELECT horizon, "Date", w0, w1, w2, sum(CASE WHEN y >= p THEN q * (y - p) ELSE (q - 1) * (y - p) END) AS l
-  FROM (SELECT *, w0 * p0 + w1 * p1 + w2 * p2 AS p FROM valid_wide, weight_grid) GROUP BY ALL""", "valid_wide", "weight_grid")
-cte("best_weights", """
-  SELECT horizon, d."Date", COALESCE(w0, 1 / 3::DOUBLE) AS base, COALESCE(w1, 1 / 3::DOUBLE) AS high, COALESCE(w2, 1 / 3::DOUBLE) AS low
-  FROM (SELECT DISTINCT horizon, "Date" FROM baseline_forecast) d LEFT JOIN (
-    SELECT horizon, "Date", w0, w1, w2 FROM (
-      SELECT *, row_number() OVER (PARTITION BY horizon, "Date" ORDER BY round(total, 9),
-        round((w0 - 1 / 3::DOUBLE) ** 2 + (w1 - 1 / 3::DOUBLE) ** 2 + (w2 - 1 / 3::DOUBLE) ** 2, 12), w0, w1, w2) AS r
-      FROM (SELECT *, sum(l) OVER (PARTITION BY horizon, w0, w1, w2 ORDER BY "Date") AS total FROM daily_losses)) WHERE r = 1) b
-  USING (horizon, "Date")""", "daily_losses", "baseline_forecast")
-
-
-@query("ensemble_weights", """
-  SELECT horizon, "Date", round(base, 6) AS base, round(high, 6) AS high, round(low, 6) AS low FROM best_weights""", "best_weights")
-def _(spark, d):
-    weights = ensemble.train_weights(views.model_forecasts(spark, d), _MODELS, step=0.1)
-    wide = ensemble.weights_wide(weights, _MODELS)
-    return wide.select(HORIZON, DATE, *[F.round(m, 6).alias(m) for m in _MODELS])
-
-
-@query("ensemble_forecast", """
-  SELECT GID_2, f."Date", f.horizon, quantile, 'ensemble' AS model, w.base IS NOT NULL AS ensemble_ready,
-    round(CASE WHEN w.base IS NULL THEN prediction ELSE
-      COALESCE(w.base * prediction + w.high * (prediction * 1.25 + 1) + w.low * (prediction * 0.7), 0) END, 5) AS prediction, Cases
-  FROM baseline_forecast f LEFT JOIN (SELECT horizon, lead("Date") OVER (PARTITION BY horizon ORDER BY "Date") AS "Date", base, high, low
-    FROM best_weights) w ON w.horizon = f.horizon AND w."Date" = f."Date" """, "best_weights", "baseline_forecast")
-def _(spark, d):
-    out, _weights = ensemble.create_ensemble(views.forecasts_by_model(spark, d), step=0.1)
+def _sql_weights(n: int, step: float, passes: int) -> str:
+    """The weight search in SQL: its passes one after another; those after the last move change nothing. Registers the expressions."""
+    mix = " + ".join(f"w[{i + 1}] * p{i}" for i in range(n))
+    over = "(PARTITION BY horizon, i ORDER BY \"Date\")"
+    slopes = ", ".join(f"round(sum(g{i}) OVER {over} / sum(n) OVER {over}, 9)" for i in range(n))
+
+    def score(name: str, wanted: str, *needs: str) -> None:
+        cte(f"{name}_points", f"""SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY w) AS i
+          FROM (SELECT horizon, w, max("Date") AS last FROM ({wanted}) GROUP BY horizon, w)""", *needs)
+        cte(f"{name}_daily", f"""SELECT horizon, i, "Date", sum(CASE WHEN y >= mix THEN q * (y - mix) ELSE (q - 1) * (y - mix) END) AS l, count(*) AS n,
+            {', '.join(f'sum(CASE WHEN y >= mix THEN -q ELSE 1 - q END * p{i}) AS g{i}' for i in range(n))}
+          FROM (SELECT v.*, i, {mix} AS mix FROM six_wide v JOIN {name}_points USING (horizon) WHERE "Date" <= last) GROUP BY ALL""",
+            f"{name}_points", "six_wide")
+        cte(f"{name}_scored", f"""SELECT horizon, "Date", w, loss, slope FROM (
+            SELECT horizon, i, "Date", round(sum(l) OVER {over} / sum(n) OVER {over}, 9) AS loss, [{slopes}] AS slope FROM {name}_daily)
+          JOIN {name}_points USING (horizon, i)""", f"{name}_daily")
+
+    starts = [[1.0 / n] * n, *[[float(i == j) for j in range(n)] for i in range(n)]]
+    score("start", f"""SELECT horizon, "Date", unnest(CAST({starts} AS DOUBLE[][])) AS w FROM (SELECT DISTINCT horizon, "Date" FROM six_wide)""", "six_wide")
+    rank = f"CASE WHEN w[1] = {1.0 / n!r} THEN 0 ELSE list_position(w, 1.0) END"
+    moved = "list_transform(w, lambda x, i: round(CASE WHEN i = target THEN x + least(h, w[source]) WHEN i = source THEN x - least(h, w[source]) ELSE x END, 12))"
+    before = f"""SELECT horizon, "Date", w, loss, slope, 0.5::DOUBLE AS h, false AS done FROM (
+        SELECT *, row_number() OVER (PARTITION BY horizon, "Date" ORDER BY loss, {rank}) AS r FROM start_scored) WHERE r = 1"""
+    needs = "start_scored"
+    for k in range(passes):
+        cte(f"state{k}", f"""SELECT * EXCLUDE (held, source, target), CASE WHEN NOT done AND list_max(held) > list_min(slope) THEN {moved} END AS nxt FROM (
+            SELECT *, list_position(held, list_max(held)) AS source, list_position(slope, list_min(slope)) AS target FROM (
+              SELECT *, list_transform(w, lambda x, i: CASE WHEN x > 0 THEN slope[i] END) AS held FROM ({before})))""", needs)
+        score(f"pass{k}", f"""SELECT horizon, "Date", nxt AS w FROM state{k} WHERE nxt IS NOT NULL""", f"state{k}")
+        better = "coalesce(t.loss < s.loss, false)"
+        before = f"""SELECT s.horizon, s."Date", CASE WHEN {better} THEN nxt ELSE s.w END AS w, CASE WHEN {better} THEN t.loss ELSE s.loss END AS loss,
+            CASE WHEN {better} THEN t.slope ELSE s.slope END AS slope, CASE WHEN {better} OR done THEN h ELSE h / 2 END AS h,
+            done OR nxt IS NULL OR (NOT {better} AND h <= {step}) AS done
+          FROM state{k} s LEFT JOIN pass{k}_scored t ON s.horizon = t.horizon AND s."Date" = t."Date" AND s.nxt = t.w"""
+        needs = f"pass{k}_scored"
+    return before
+
+
+_SIX = views.SIX_MODELS
+_PASSES = 24
+cte("best_weights", f"""SELECT horizon, "Date", {', '.join(f'w[{i + 1}] AS {m}' for i, m in enumerate(_SIX))}
+  FROM ({_sql_weights(len(_SIX), 0.05, _PASSES)})""", f"pass{_PASSES - 1}_scored")
+
+
+def _stacked(spark, d):
+    return ensemble.stack_models(views.six_forecasts(spark, d))
+
+
+@query("ensemble_weights", f"""
+  SELECT horizon, "Date", {', '.join(f'round({m}, 6) AS {m}' for m in _SIX)} FROM best_weights""", "best_weights")
+def _(spark, d):
+    wide = ensemble.weights_wide(ensemble.train_weights(_stacked(spark, d), _SIX, step=0.05), _SIX)
+    return wide.select(HORIZON, DATE, *[F.round(m, 6).alias(m) for m in _SIX])
+
+
+@query("ensemble_forecast", f"""
+  SELECT GID_2, v."Date", v.horizon, q AS quantile, 'ensemble' AS model, w.base IS NOT NULL AS ensemble_ready,
+    round(CASE WHEN w.base IS NULL THEN p0 ELSE {' + '.join(f'w.{m} * p{i}' for i, m in enumerate(_SIX))} END, 5) AS prediction, y AS Cases
+  FROM six_wide v LEFT JOIN (SELECT * REPLACE (lead("Date") OVER (PARTITION BY horizon ORDER BY "Date") AS "Date") FROM best_weights) w
+    ON w.horizon = v.horizon AND w."Date" = v."Date" """, "best_weights", "six_wide")
+def _(spark, d):
+    out, _weights = ensemble.create_ensemble(views.six_forecasts(spark, d), step=0.05)
     return _tidy(out, CASES, "ensemble_ready")
 
 
@@ -442,13 +468,13 @@ def _(spark, d):
     return _tidy(out, CASES)
 
 
-@query("smoothed_weights", """
+@query("smoothed_weights", f"""
   SELECT horizon, "Date", model, round(avg(weight) OVER (PARTITION BY horizon, model ORDER BY "Date"
     ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 6) AS weight
-  FROM (UNPIVOT best_weights ON base, high, low INTO NAME model VALUE weight)""", "best_weights")
+  FROM (UNPIVOT best_weights ON {', '.join(_SIX)} INTO NAME model VALUE weight)""", "best_weights")
 def _(spark, d):
-    weights = ensemble.train_weights(views.model_forecasts(spark, d), _MODELS, step=0.1)
-    return ensemble.smooth_weights(weights, 6).withColumn("weight", F.round("weight", 6))
+    weights = ensemble.train_weights(_stacked(spark, d), _SIX, step=0.05)
+    return ensemble.smooth_weights(weights, 6).select(HORIZON, DATE, MODEL, F.round("weight", 6).alias("weight"))
 
 
 cte("partial_models", """

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from epipanel.operators import access, backtest, calibrate, features, residual_regression
+from epipanel.operators import access, backtest, boosting, features, residual_regression
 from epipanel.plans import views
 from epipanel.plans.catalog import cte, query
 from epipanel.schema import CASES, DATE, FUTURE, GID_2, HORIZON, PREDICTION, QUANTILE
@@ -95,10 +95,17 @@ def _(spark, d):
     return out.withColumn(PREDICTION, F.round(PREDICTION, 5))
 
 
+def nation_covariates(spark, d):
+    """Nation panel with two monthly means of its line items as covariates."""
+    items = views.table(spark, d, "lineitem").groupBy(F.last_day(F.to_date("l_shipdate")).alias(DATE)).agg(
+        F.avg("l_discount").alias("tmin"), F.avg("l_tax").alias("prec"))
+    return views.nation_panel(spark, d).join(items, DATE, "left")
+
+
 @query("boosted_lag_forecast")
 def _(spark, d):
-    point = backtest.boosted_lags(views.nation_panel(spark, d), horizon=1, lags=24, train_end="1999-12-31", rounds=5, depth=4)
-    return calibrate.residual_quantiles(point, min_history=2)
+    out = boosting.boosted_lags(nation_covariates(spark, d), ["tmin", "prec"], horizons=(1, 3, 6, 12), train_end="1999-12-31", start_date="2000-01-31")
+    return out.withColumn(PREDICTION, F.round(PREDICTION, 5))
 
 
 @query("residual_regression_pinball")

@@ -6,7 +6,7 @@ its SQL twin, registered as a common table expression of the same name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epipanel.operators import panel
@@ -242,13 +242,14 @@ cte("covariate_panel", """
 
 
 def baseline_forecast(spark: SparkSession, d: str) -> DataFrame:
-    """Baseline quantile forecasts of the supplier panel, one and two months ahead."""
+    """Baseline quantile forecasts of the supplier panel, at the horizons that are scored."""
     from epipanel.operators.baseline import baseline
 
-    return baseline(supplier_panel(spark, d), horizon=2)
+    return baseline(supplier_panel(spark, d), horizon=HORIZONS)
 
 
-_LEVELS = "CAST([0.01, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99] AS DOUBLE[])"
+HORIZONS = [1, 3, 6, 12]
+_LEVELS = f"CAST({list(QUANTILE_LEVELS)} AS DOUBLE[])"
 # Of 1000 evenly spaced draws the levels lie between these (position / 999) pairs.
 _PLACES = [(q, int(q * 999 + 1e-9), q * 999 - int(q * 999 + 1e-9)) for q in QUANTILE_LEVELS]
 _DRAWN = sorted({j for _, low, _ in _PLACES for j in (low, low + 1)})
@@ -283,7 +284,7 @@ cte("supplier_rows", """
   FROM (SELECT GID_2, "Date", CAST(Cases AS DOUBLE) AS c,
                CAST(row_number() OVER (PARTITION BY GID_2 ORDER BY "Date") - 1 AS INTEGER) AS k
         FROM supplier_panel)""", "supplier_panel")
-cte("baseline_forecast", sql_baseline("supplier_rows", "[1, 2]", "g.sgn * d.d", "(-{median})"), "supplier_rows")
+cte("baseline_forecast", sql_baseline("supplier_rows", str(HORIZONS), "g.sgn * d.d", "(-{median})"), "supplier_rows")
 
 
 def model_forecasts(spark: SparkSession, d: str) -> DataFrame:
@@ -310,6 +311,56 @@ cte("model_forecasts", """
     "baseline_forecast")
 
 
+# Simple forecasts beside the baseline: the point forecast from the last value known and those before it, and how wide it spreads.
+_SIMPLE = {
+    "naive": ("avg", 0, 2.0), "seasonal": (None, 0, 2.0), "mean3": ("avg", 2, 1.5), "mean12": ("avg", 11, 3.0), "peak6": ("max", 5, 1.0)}
+SIX_MODELS = ["base", *_SIMPLE]
+
+
+def six_forecasts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Six different models of the supplier panel with the same rows: the baseline and five simple ones."""
+    w = Window.partitionBy(GID_2).orderBy(DATE)
+    rows = supplier_panel(spark, d).select(GID_2, DATE, F.col(CASES).cast("double").alias("_c"))
+    rows = rows.withColumns({"_k": F.row_number().over(w) - 1, "_d": F.abs(F.col("_c") - F.lag("_c").over(w))})
+    cells = []
+    for h in HORIZONS:
+        past = w.rowsBetween(Window.unboundedPreceding, -h)
+        points = [F.lag("_c", 12).over(w) if how is None else getattr(F, how)("_c").over(w.rowsBetween(-h - back, -h))
+                  for how, back, _ in _SIMPLE.values()]
+        cells.append(F.struct(F.lit(h).alias("h"), F.avg("_d").over(past).alias("s"), F.array(*points).alias("p")))
+    # every model has a row from here on
+    whole = rows.withColumn("_x", F.array(*cells)).where(F.col("_k") >= 2 + max(HORIZONS))
+    long = stage(whole.select(GID_2, DATE, F.col("_c").alias(CASES), F.explode("_x").alias("_x")).withColumn(
+        "quantile", F.explode(F.array(*map(F.lit, QUANTILE_LEVELS)))))
+    dates = whole.select(GID_2, DATE)
+    out = {"base": stage(baseline_forecast(spark, d).join(dates, [GID_2, DATE], "left_semi").drop("future"))}
+    for i, (name, (_, _, width)) in enumerate(_SIMPLE.items()):
+        value = F.greatest(F.col("_x.p")[i] + F.col("_x.s") * (2 * F.col("quantile") - 1) * width, F.lit(0.0))
+        out[name] = long.select(GID_2, DATE, F.col("_x.h").alias("horizon"), "quantile", value.alias("prediction"), CASES)
+    return out
+
+
+def _sql_simple() -> str:
+    parts = []
+    for h in HORIZONS:
+        values = []
+        for name, (how, back, width) in _SIMPLE.items():
+            point = "lag(c, 12) OVER w" if how is None else f"{how}(c) OVER (PARTITION BY GID_2 ORDER BY k ROWS BETWEEN {h + back} PRECEDING AND {h} PRECEDING)"
+            values.append(f"{point} AS {name}")
+        parts.append(f"""SELECT GID_2, "Date", k, c, {h} AS horizon, {', '.join(values)},
+            avg(abs(d)) OVER (PARTITION BY GID_2 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND {h} PRECEDING) AS s
+            FROM supplier_rows WINDOW w AS (PARTITION BY GID_2 ORDER BY k)""")
+    preds = ", ".join(f"greatest({name} + s * (2 * q - 1) * {width!r}, 0) AS p{i + 1}" for i, (name, (_, _, width)) in enumerate(_SIMPLE.items()))
+    return f"""
+  SELECT b.horizon, b.GID_2, b."Date", b.quantile AS q, b.Cases AS y, b.prediction AS p0, {', '.join(f'p{i + 1}' for i in range(len(_SIMPLE)))}
+  FROM baseline_forecast b JOIN (
+    SELECT *, {preds} FROM (SELECT *, unnest({_LEVELS}) AS q FROM ({' UNION ALL '.join(parts)}) WHERE k >= {2 + max(HORIZONS)})) x
+  ON b.horizon = x.horizon AND b.GID_2 = x.GID_2 AND b."Date" = x."Date" AND b.quantile = x.q"""
+
+
+cte("six_wide", _sql_simple(), "baseline_forecast", "supplier_rows")
+
+
 def forecast_samples(spark: SparkSession, d: str) -> DataFrame:
     """Line items as draws: their prices per supplier and month."""
     return table(spark, d, "lineitem").select(

@@ -1,6 +1,7 @@
 """Operators against plain loops and hand-worked values."""
 
 import datetime as dt
+import itertools
 import math
 
 import numpy as np
@@ -289,22 +290,46 @@ def test_calibration_is_causal(spark, window):
     assert _rows(run(df).where(cut)) == _rows(run(df.where(cut)))
 
 
-def test_ensemble_weights_by_loops(spark):
+def _simplex(n, parts):
+    return [tuple(x / parts for x in (*head, parts - sum(head))) for head in itertools.product(range(parts + 1), repeat=n - 1) if sum(head) <= parts]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_ensemble_weights_by_loops(spark, n):
+    """The found loss against every point of a fine grid, for every history; the gap bounds what is left."""
     base = _forecast(spark, 3, 10)
-    parts = {"a": base, "b": base.withColumn("prediction", F.col("prediction") * 0.5), "c": base.withColumn("prediction", F.lit(14.0))}
-    weights = ensemble.train_weights(ensemble.stack_models(parts), list(parts), step=0.25)
+    p = F.col("prediction")
+    makers = {"a": p, "b": p * 0.5, "c": F.lit(14.0), "d": F.col("Cases") * 0.5 + F.col("quantile") * 12}
+    parts = {m: base.withColumn("prediction", makers[m].cast("double")) for m in list(makers)[:n]}
+    weights = ensemble.train_weights(ensemble.stack_models(parts), list(parts), step=0.01)
     got = {}
     for r in weights.collect():
-        got.setdefault(r["Date"], {})[r["model"]] = r["weight"]
-    pdf = base.toPandas()
-    for d, w in got.items():
-        past = pdf[pdf["Date"] <= d]
-        losses = {}
-        for g in ensemble.simplex_grid(3, 0.25):
-            p = g[0] * past["prediction"] + g[1] * past["prediction"] * 0.5 + g[2] * 14.0
-            miss = past["Cases"] - p
-            losses[g] = np.where(miss >= 0, past["quantile"] * miss, (past["quantile"] - 1) * miss).sum()
-        assert losses[tuple(w[m] for m in parts)] == pytest.approx(min(losses.values()))
+        own = got.setdefault(r["Date"], {"w": {}})
+        own["w"][r["model"]] = r["weight"]
+        own |= {"loss": r["loss"], "gap": r["gap"]}
+    pdfs = [x.toPandas().sort_values(["GID_2", "Date", "quantile"]) for x in parts.values()]
+    for d, own in got.items():
+        past = [x[x["Date"] <= d] for x in pdfs]
+        preds, y, q = np.stack([x["prediction"] for x in past]), past[0]["Cases"].to_numpy(), past[0]["quantile"].to_numpy()
+
+        def loss(w):
+            miss = y - np.array(w) @ preds
+            return np.where(miss >= 0, q * miss, (q - 1) * miss).mean()
+
+        w = [own["w"][m] for m in parts]
+        least = min(map(loss, _simplex(n, 20)))
+        assert sum(w) == pytest.approx(1) and min(w) >= 0
+        assert own["loss"] == pytest.approx(loss(w), abs=1e-8)
+        assert loss(w) - least <= own["gap"] + 1e-7  # the bound holds
+        assert loss(w) <= least * 1.05 + 1e-9  # and the search is good, also where few rows make a rough loss
+
+
+def test_ensemble_weights_where_models_lack_rows(spark):
+    base = _forecast(spark, 3, 10)
+    late = base.where("Date > '2020-04-30'")
+    weights = ensemble.train_weights(ensemble.stack_models({"a": base, "b": late}), ["a", "b"])
+    assert {r["weight"] for r in weights.collect()} == {0.5} and weights.where("loss is not null").count() == 0
+    assert ensemble.train_weights(ensemble.stack_models({"a": base, "b": late}).limit(0), ["a", "b"]).count() == 0
 
 
 def test_tiny_violations(spark):

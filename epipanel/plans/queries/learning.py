@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from epipanel.operators import access, backtest, boosting, features, residual_regression
+from epipanel.operators import access, backtest, boosting, features, harness, residual_regression
 from epipanel.plans import views
 from epipanel.plans.catalog import cte, query
 from epipanel.schema import CASES, DATE, FUTURE, GID_2, HORIZON, PREDICTION, QUANTILE
@@ -102,6 +102,47 @@ def nation_covariates(spark, d):
     return views.nation_panel(spark, d).join(items, DATE, "left")
 
 
+cte("nation_covariates", """
+  SELECT p.*, m.tmin, CAST(year(p."Date") * 12 + month(p."Date") AS INTEGER) AS t, ln(1 + Cases) AS y FROM nation_panel p LEFT JOIN (
+    SELECT last_day(CAST(l_shipdate AS DATE)) AS "Date", avg(l_discount) AS tmin FROM lineitem GROUP BY 1) m USING ("Date")""", "nation_panel")
+_FIRST, _EVERY = 24, 6  # dates of the first fit, months between fits
+
+
+def _sql_smoothing(group: str) -> str:
+    """Profile and slope per group and fit time, and the smoothed level of each region at each origin, as a weighted sum of its history."""
+    return f"""
+  WITH lo AS (SELECT min(t) + {_FIRST} - 1 AS first FROM nation_covariates),
+  fits AS (SELECT DISTINCT first + (t - first) // {_EVERY} * {_EVERY} AS f FROM nation_covariates, lo WHERE t >= first),
+  good AS (SELECT *, {group} AS g FROM nation_covariates WHERE y IS NOT NULL AND tmin IS NOT NULL),
+  profiles AS MATERIALIZED (SELECT g, f, t % 12 AS m, avg(y) AS s FROM good JOIN fits ON t <= f GROUP BY ALL),
+  slopes AS MATERIALIZED (SELECT g, f, avg(y) AS mean, avg(tmin) AS centre, covar_pop(y, tmin) / var_pop(tmin) AS b FROM good JOIN fits ON t <= f GROUP BY ALL),
+  due AS (SELECT GID_2, {group} AS g, "Date", t, Cases, h, t - h AS o, first + (t - h - first) // {_EVERY} * {_EVERY} AS f
+    FROM nation_covariates, lo, (SELECT unnest([1, 3, 6]) AS h) WHERE t - h >= first),
+  origins AS (SELECT DISTINCT GID_2, g, o, f FROM due),
+  starts AS (SELECT GID_2, min(t) AS t0 FROM nation_covariates GROUP BY 1),
+  levels AS (SELECT GID_2, o, sum((y - coalesce(s, mean)) * CASE WHEN t = t0 THEN 0.7 ** (o - t) ELSE 0.3 * 0.7 ** (o - t) END) AS level
+    FROM origins JOIN starts USING (GID_2) JOIN nation_covariates n USING (GID_2) JOIN slopes USING (g, f)
+      LEFT JOIN profiles p ON p.g = origins.g AND p.f = origins.f AND p.m = n.t % 12 WHERE n.t <= o GROUP BY ALL)
+  SELECT GID_2, d."Date", CAST(h AS INTEGER) AS horizon, CAST(d.Cases AS DOUBLE) AS Cases,
+    round(greatest(exp(level + coalesce(s, mean) + b * (x.tmin - centre)) - 1, 0), 4) AS prediction
+  FROM due d JOIN levels USING (GID_2, o) JOIN slopes USING (g, f) JOIN nation_covariates x ON x.GID_2 = d.GID_2 AND x.t = d.o
+    LEFT JOIN profiles p ON p.g = d.g AND p.f = d.f AND p.m = d.t % 12"""
+
+
+def _smoothing(level):
+    def run(spark, d):
+        out = harness.backtest_groups(nation_covariates(spark, d), harness.seasonal_smoothing(0.3), horizons=(1, 3, 6), level=level, covariates=["tmin"],
+                                      retrain=_EVERY, min_train=_FIRST)
+        return out.withColumn(PREDICTION, F.round(PREDICTION, 4))
+
+    return run
+
+
+for _level, (_name, _group) in enumerate((("country", "'all'"), ("state", "GID_1"), ("region", "GID_2"))):
+    cte(f"smoothing_{_name}", _sql_smoothing(_group), "nation_covariates")
+    query(f"smoothing_backtest_by_{_name}", f"SELECT * FROM smoothing_{_name}", f"smoothing_{_name}")(_smoothing(_level))
+
+
 @query("boosted_lag_forecast")
 def _(spark, d):
     out = boosting.boosted_lags(nation_covariates(spark, d), ["tmin", "prec"], horizons=(1, 3, 6, 12), train_end="1999-12-31", start_date="2000-01-31")

@@ -425,3 +425,37 @@ def test_pipeline(spark, small, tmp_path):
     forecasts = pipeline.run_forecasts(ready, path, {"baseline": {}, "sarima": {"level": 0}})
     scores = pipeline.combine_and_score(forecasts, path, step=0.25)
     assert {r["model"] for r in scores.select("model").distinct().collect()} == {"baseline", "sarima", "ensemble"}
+
+
+def test_pooled_backtest_by_loops(spark):
+    from epipanel.operators import harness
+
+    rng = np.random.default_rng(2)
+    ends = [dt.date(2020 + (m + 1) // 12, (m + 1) % 12 + 1, 1) - dt.timedelta(1) for m in range(31)][1:]
+    rows = [(f"g{i}", f"s{i % 2}", d, None if m >= 27 or (i, m) == (1, 9) else int(rng.integers(0, 30)), float(rng.normal()), m >= 27)
+            for i in range(4) for m, d in enumerate(ends)]
+    panel_ = with_period(spark.createDataFrame(rows, "GID_2 string, GID_1 string, Date date, Cases long, wet double, future boolean"), "M")
+    mean = harness.Forecaster(  # the mean of the group's log cases plus that of the last covariate
+        learn=lambda s, ends_: np.array([[np.nansum(s.upto(e).y), np.sum(~np.isnan(s.upto(e).y))] for e in ends_]),
+        fit=lambda v: np.array([v[0] / v[1]]), predict=lambda state, s, h: state[0] + s.x[-1, 0] * 0.01 * h)
+    for level, group in ((0, lambda i: "all"), (1, lambda i: i % 2), (2, lambda i: i)):
+        for retrain in (0, 1, 5):
+            out = harness.backtest_groups(panel_, mean, horizons=(1, 4), level=level, covariates=["wet"], retrain=retrain, min_train=6)
+            got = {(r["GID_2"], r["Date"], r["horizon"]): r["prediction"] for r in out.collect()}
+            value = {(int(r[0][1:]), ends.index(r[2])): (r[3], r[4]) for r in rows}
+            want = {}
+            for i in range(4):
+                for k in range(30):
+                    for h in (1, 4):
+                        origin = min(k - h, 26)
+                        f = 26 if not retrain else 5 + (origin - 5) // retrain * retrain
+                        if origin < 5:
+                            continue
+                        own = [np.log1p(c) for (j, m), (c, _) in value.items() if group(j) == group(i) and m <= f and c is not None]
+                        want[f"g{i}", ends[k], h] = max(np.expm1(np.mean(own) + value[i, origin][1] * 0.01 * (k - origin)), 0)
+            if not retrain:  # a single fit at the end serves origins from the first possible fit on
+                assert got.keys() <= want.keys()
+            else:
+                assert got.keys() == want.keys()
+            assert got and all(got[k] == pytest.approx(want[k]) for k in got)
+    assert harness.backtest_groups(panel_.limit(0), mean).count() == 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from epipanel.functions.periods import add_periods, align_scalar, period_end
 from epipanel.operators.access import between_dates, filter_admin1
 from epipanel.operators.panel import densify, merge_statuses
-from epipanel.operators.quantiles import quantiles_of_sorted
+from epipanel.operators.prefix_order import add_history_quantiles
 from epipanel.schema import (
     CASES, DATE, FUTURE, GID_2, HORIZON, PREDICTION, QUANTILE, QUANTILE_LEVELS, SAMPLE,
     literal_array, period_freq, require_columns, spread, with_period,
@@ -53,7 +53,7 @@ def baseline(panel: DataFrame, horizon: int | Sequence[int] = 1, symmetrize: boo
     level lies in the future, the median forecast for that date takes its
     place. A region's first three dates carry a null median.
 
-    One shuffle by region; a region's series is as long as the calendar.
+    One shuffle by region; a region's series is as long as the calendar, and all its histories' draws come from one layout of it.
     """
     require_columns(panel, [GID_2, DATE, CASES])
     df = panel if FUTURE in panel.columns else panel.withColumn(FUTURE, F.lit(False))
@@ -76,8 +76,7 @@ def baseline(panel: DataFrame, horizon: int | Sequence[int] = 1, symmetrize: boo
     # mirrored differences are known by their absolute values
     pool = F.abs("_diff") if symmetrize else F.col("_diff")
     # draws from the differences up to a row; a horizon takes those of h + 1 rows before
-    seen = F.sort_array(F.collect_list(pool).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("_seen", seen).withColumn("_all", quantiles_of_sorted(F.col("_seen"), draw_levels, symmetrize))
+    df = add_history_quantiles(df, [GID_2], DATE, pool, draw_levels, "_all", mirrored=symmetrize).drop("_all_n")
     df = df.withColumns({f"_draws{h}": F.lag("_all", h + 1).over(w) for h in steps})
     whole = F.array(*[F.struct(
         F.lit(h).alias("h"), F.col(f"_base{h}").alias("base"), F.col(f"_draws{h}").alias("draws")) for h in steps])

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from epipanel.functions.periods import period_index
 from epipanel.functions.scalars import expm1_clipped
 from epipanel.operators.access import pick
-from epipanel.operators.quantiles import prefix_quantiles, quantiles_of_sorted, recent_quantiles
+from epipanel.operators.prefix_order import add_history_quantiles
+from epipanel.operators.quantiles import prefix_quantiles, recent_quantiles
 from epipanel.operators.samples import series_keys
 from epipanel.operators.scoring import forecast_keys
 from epipanel.schema import CASES, DATE, GID_2, HORIZON, PREDICTION, QUANTILE, QUANTILE_LEVELS, literal_array, spread
@@ -40,20 +41,8 @@ def residual_quantiles(df: DataFrame, levels: Sequence[float] = QUANTILE_LEVELS,
         (F.log1p(F.col(CASES).cast("double")) - point).alias("_e"),
         period_index(F.col(DATE), "D").alias("_t"),
     )
-    rows = spread(rows, *keys)
-    series = Window.partitionBy(*keys).orderBy("_t")
-    past = series.rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_have", F.count("_e").over(past))
-    if window is None:
-        rows = rows.withColumn("_own", F.sort_array(F.collect_list("_e").over(past)))
-    else:
-        # the last `window` known errors: count them, then frame by that count
-        recent = Window.partitionBy(*keys).orderBy("_have").rangeBetween(-window, -1)
-        rows = rows.withColumn("_own", F.sort_array(F.collect_list("_e").over(recent)))
-        rows = rows.withColumn("_have", F.least(F.col("_have"), F.lit(window)))
-    own = F.when((F.col("_have") >= min_history) & (F.col("_have") > 0),
-                 quantiles_of_sorted(F.col("_own"), levels))
-    rows = rows.withColumn("_own", own)
+    rows = add_history_quantiles(rows, keys, "_t", "_e", levels, "_own", before=True, most=window)
+    rows = rows.withColumn("_own", F.when(F.col("_own_n") >= min_history, F.col("_own"))).drop("_own_n")
     if pool:
         # the pool reads these rows several times
         rows = stage(rows)

@@ -11,37 +11,29 @@ from epipanel.functions.scalars import incidence_rate, population_offset, season
 from epipanel.functions.splines import add_natural_basis, fit_knots
 from epipanel.operators.features import by_region, lag, rolling
 from epipanel.operators.regions import region_codes, time_index
+from epipanel.operators.scan import affine_scan
 from epipanel.schema import CASES, DATE, GID_2
 
 
-def rsi(x: Column, w: WindowSpec, n: int = 3) -> Column:
-    """Relative strength index over ``n`` changes, smoothed the Wilder way.
+def add_rsi(df: DataFrame, name: str, column: str, n: int = 3) -> DataFrame:
+    """Add the relative strength index over ``n`` changes, smoothed the Wilder way.
 
-    Starts with the plain mean of the first ``n`` changes. Without any loss it
-    is 100, without any change null.
+    Starts with the plain mean of the first ``n`` changes. Without any loss it is 100, without any change null. Changes are between values
+    that are there; the smoothed rises and falls are scans of affine maps.
     """
-    seen = F.collect_list(F.struct(x.cast("double").alias("v"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0).alias("k"),
-                     F.lit(0.0).alias("up"), F.lit(0.0).alias("down"))
-
-    def step(s: Column, item: Column) -> Column:
-        change = item["v"] - s["last"]
-        up, down = F.greatest(change, F.lit(0.0)), F.greatest(-change, F.lit(0.0))
-        early = s["k"] < n
-        # before n changes: running sum / n; afterwards: mean moves by 1/n of the new change
-        move = lambda mean, new: F.when(early, mean + new / n).otherwise((mean * (n - 1) + new) / n)
-        known = change.isNotNull()
-        return F.struct(
-            F.coalesce(item["v"], s["last"]).alias("last"),
-            (s["k"] + F.when(known, 1).otherwise(0)).alias("k"),
-            F.when(known, move(s["up"], up)).otherwise(s["up"]).alias("up"),
-            F.when(known, move(s["down"], down)).otherwise(s["down"]).alias("down"))
-
-    def finish(s: Column) -> Column:
-        total = s["up"] + s["down"]
-        return F.when((s["k"] >= n) & (total > 0), F.lit(100.0) * s["up"] / total)
-
-    return F.when(x.isNotNull(), F.aggregate(seen, start, step, finish))
+    w = by_region()
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_rsi_x", F.col(column).cast("double"))
+    df = df.withColumn("_rsi_d", F.col("_rsi_x") - F.last("_rsi_x", ignorenulls=True).over(past))
+    df = df.withColumn("_rsi_k", F.count("_rsi_d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # running sum / n before n changes; afterwards the mean moves by 1/n of the new change
+    keep = F.when(F.col("_rsi_k") <= n, 1.0).otherwise((n - 1) / n)
+    change = F.col("_rsi_d")
+    df = affine_scan(df, [GID_2], DATE, {
+        "_rsi_up": (keep, F.greatest(change, F.lit(0.0) * change) / n), "_rsi_down": (keep, F.greatest(-change, F.lit(0.0) * change) / n)})
+    total = F.col("_rsi_up") + F.col("_rsi_down")
+    value = F.when(F.col("_rsi_x").isNotNull() & (F.col("_rsi_k") >= n) & (total > 0), F.lit(100.0) * F.col("_rsi_up") / total)
+    return df.withColumn(name, value).drop("_rsi_x", "_rsi_d", "_rsi_k", "_rsi_up", "_rsi_down")
 
 
 def year_on_year(df: DataFrame, column: str = "DIR") -> DataFrame:
@@ -62,7 +54,7 @@ def year_on_year(df: DataFrame, column: str = "DIR") -> DataFrame:
 def rsi_features(df: DataFrame, column: str = "DIR", n: int = 3) -> DataFrame:
     """RSI of a column (0 where there is none), its lag and the lag squared."""
     w = by_region()
-    df = df.withColumn("RSI_DIR", F.coalesce(rsi(F.col(column), w, n), F.lit(0.0)))
+    df = add_rsi(df, "RSI_DIR", column, n).withColumn("RSI_DIR", F.coalesce("RSI_DIR", F.lit(0.0)))
     df = df.withColumn("RSI_DIR_LAG", F.coalesce(F.lag("RSI_DIR", 1).over(w), F.lit(0.0)))
     return df.withColumn("SQ_RSI_DIR_LAG", F.col("RSI_DIR_LAG") * F.col("RSI_DIR_LAG"))
 

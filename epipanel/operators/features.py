@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from epipanel.functions.periods import month_cycle
 from epipanel.functions.scalars import clip, fill_null
+from epipanel.operators.scan import affine_scan
 from epipanel.schema import CASES, DATE, GID_2, require_columns
 from epipanel.sources.stage import stage
 
@@ -52,24 +53,23 @@ def pct_change(x: Column, w: WindowSpec, k: int = 1) -> Column:
     return x / F.nullif(lag(x, w, k), F.lit(0)) - 1
 
 
-def ema(x: Column, w: WindowSpec, span: int) -> Column:
-    """Exponential moving average, weight 2 / (span + 1), started by the first value.
+def add_ema(df: DataFrame, name: str, x: Column, keys: Sequence[str], order: str, span: int) -> DataFrame:
+    """Add an exponential moving average, weight 2 / (span + 1), started by the first value.
 
-    A gap keeps the last average and fades it by the time that went by.
+    A gap keeps the last average and fades it by the time that went by: after a gap of g rows the average counts
+    ``(1 - weight)**g``. A scan of affine maps.
     """
-    alpha = 2.0 / (span + 1.0)
-    seen = F.collect_list(F.struct(x.alias("v"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(1.0).alias("fade"))
-
-    def step(state: Column, item: Column) -> Column:
-        v = item["v"].cast("double")
-        weight = state["fade"] * F.lit(1.0 - alpha)
-        moved = (weight * state["m"] + F.lit(alpha) * v) / (weight + F.lit(alpha))
-        mean = F.when(v.isNull(), state["m"]).when(state["m"].isNull(), v).otherwise(moved)
-        fade = F.when(v.isNull() & state["m"].isNotNull(), weight).otherwise(F.lit(1.0))
-        return F.struct(mean.alias("m"), fade.alias("fade"))
-
-    return F.aggregate(seen, start, step, lambda s: s["m"])
+    alpha, w = 2.0 / (span + 1.0), by_region(keys, order)
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumns({"_ema_x": x.cast("double"), "_ema_r": F.row_number().over(w)})
+    known = F.col("_ema_x").isNotNull()
+    df = df.withColumn("_ema_last", F.max(F.when(known, F.col("_ema_r"))).over(past))
+    fade = F.pow(F.lit(1.0 - alpha), F.col("_ema_r") - F.col("_ema_last"))
+    first = F.col("_ema_last").isNull()
+    a = F.when(known, F.when(first, 0.0).otherwise(fade / (fade + alpha)))
+    b = F.when(known, F.when(first, F.col("_ema_x")).otherwise(alpha * F.col("_ema_x") / (fade + alpha)))
+    out = affine_scan(df, keys, order, {"_ema_m": (a, b)})
+    return out.withColumn(name, F.when(~first | known, F.col("_ema_m"))).drop("_ema_x", "_ema_r", "_ema_last", "_ema_m")
 
 
 def cumulative_sum(x: Column, w: WindowSpec, offset: int = 0) -> Column:
@@ -97,8 +97,6 @@ def _step(x: Column, w: WindowSpec | None, step: dict[str, Any]) -> Column:
         return diff(x, w, step.get("periods", 1))
     if op == "pct_change":
         return pct_change(x, w, step.get("periods", 1))
-    if op == "ema":
-        return ema(x, w, step["span"])
     if op == "fillna":
         return fill_null(x, step.get("value", 0))
     if op == "clip":
@@ -122,7 +120,10 @@ def build_features(df: DataFrame, specs: Iterable[dict[str, Any]], order: str =
         name = spec["name"]
         value = df[spec["column"]]
         for step in spec["pipeline"]:
-            df = df.withColumn("_step", _step(value, w, step))
+            if step["op"] == "ema" and keys:
+                df = add_ema(df, "_step", value, keys, order, step["span"])
+            else:
+                df = df.withColumn("_step", _step(value, w, step))
             value = F.col("_step")
         if spec["pipeline"]:
             df = df.withColumn(name, value).drop("_step")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from epipanel.functions.scalars import expm1_clipped
 from epipanel.operators import backtest, baseline, boosting, samples
 from epipanel.schema import CASES, PREDICTION, QUANTILE, SAMPLE
-from epipanel.sources.tables import write_table
+from epipanel.sources.tables import read_table, write_table
 
 Model = Callable[..., DataFrame]
 
@@ -49,5 +49,5 @@ def run_model(name: str, panel: DataFrame, path: str | None = None, model: Model
         out = samples.samples_to_quantiles(out)
     if path and save_quantiles and QUANTILE in out.columns:
         written = write_table(out, f"{path}/{name}_cases_quantiles")
-        return out.sparkSession.read.parquet(written)
+        return read_table(out.sparkSession, written)
     return out

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epipanel.functions.scalars import homogenise, sort_tokens, token_sort_ratio
+from epipanel.functions.scalars import homogenise, indel_ratio, sort_tokens
 from epipanel.schema import DATE, GID_1, GID_2, require_columns
 from epipanel.sources.stage import stage
 
@@ -19,66 +19,61 @@ def lookup_gid1(regions: DataFrame, names: Sequence[str] | None = None) -> DataF
     return regions.select(GID_1).distinct()
 
 
-def _piece_count(length: Column, threshold: float) -> Column:
-    """Pieces a name splits into so that a good match keeps one of them whole.
+def _segments(size_a: str, size_b: str, threshold: float) -> dict[str, Column]:
+    """How a name of ``size_a`` letters is cut for candidates of ``size_b``: edits allowed, segments, and shifts of a whole one.
 
-    A ratio of at least t allows at most (1 - t)(|a| + |b|) insertions and
-    deletions, with |b| <= |a|(2/t - 1). Each of them breaks one piece at most.
+    A ratio of at least t allows at most (1 - t)(|a| + |b|) insertions and deletions, and each breaks one segment at most. Of that many
+    and one more segments one stays whole. Of the edits, those beyond the difference in length are half insertions and half
+    deletions, so it moves by no more than that, plus the difference.
     """
+    la, lb = F.col(size_a), F.col(size_b)
+    edits = F.floor((la + lb) * (1.0 - threshold / 100.0) + 1e-9)
+    return {"_edits": edits, "_n": F.least(edits + 1, la), "_down": F.floor((edits - (lb - la)) / 2), "_up": F.floor((edits + (lb - la)) / 2)}
+
+
+def _lengths(size: Column, threshold: float) -> Column:
+    """Lengths of the names that can match one of ``size`` letters; longer or shorter ones cannot."""
     t = threshold / 100.0
-    longest = F.floor(length * (2.0 / t - 1.0) + 1e-9)
-    return F.floor((length + longest) * (1.0 - t) + 1e-9) + 1
-
-
-def _pieces(text: Column, threshold: float) -> Column:
-    size = F.char_length(text)
-    n = F.least(_piece_count(size, threshold), F.greatest(size, F.lit(1))).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.substring(
-            text,
-            (F.floor(i * size / n) + 1).cast("int"),
-            (F.floor((i + 1) * size / n) - F.floor(i * size / n)).cast("int"),
-        ),
-    )
+    return F.sequence(F.greatest(F.ceil(size * (t / (2 - t)) - 1e-9), F.lit(1)), F.floor(size * ((2 - t) / t) + 1e-9)).cast("array<long>")
 
 
-def _substrings(text: Column, lengths: Column) -> Column:
-    size = F.char_length(text)
-    return F.array_distinct(F.flatten(F.transform(
-        F.filter(lengths, lambda n: n <= size),
-        lambda n: F.transform(
-            F.sequence(F.lit(1), size - n + 1), lambda at: F.substring(text, at, n)
-        ),
-    )))
+def _segment(size: Column, i: Column, n: Column) -> tuple[Column, Column]:
+    """Start and length of segment ``i`` of ``n``."""
+    start = F.floor(i * size / n)
+    return start, F.floor((i + 1) * size / n) - start
+
+
+def fuzzy_pairs(asked: DataFrame, known: DataFrame, threshold: float = 90.0) -> DataFrame:
+    """Pairs of names ``_a`` and ``_b`` (both with their words in order) that may reach the threshold: none that does is missed.
+
+    An index over (both lengths, segment, its text): a name gives its segments for each length a match can have, a candidate gives
+    the stretches where such a segment can lie. Every pair that could match shares an entry.
+    """
+    one = asked.select("_a").distinct().where(F.length("_a") > 0).withColumn("_la", F.char_length("_a").cast("long"))
+    one = one.withColumn("_lb", F.explode(_lengths(F.col("_la"), threshold))).withColumns(_segments("_la", "_lb", threshold))
+    one = one.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    start, length = _segment(F.col("_la"), F.col("_i"), F.col("_n"))
+    one = one.select("_a", "_la", "_lb", "_i", F.substring("_a", (start + 1).cast("int"), length.cast("int")).alias("_text"))
+    two = known.select("_b").distinct().where(F.length("_b") > 0).withColumn("_lb", F.char_length("_b").cast("long"))
+    two = two.withColumn("_la", F.explode(_lengths(F.col("_lb"), threshold))).withColumns(_segments("_la", "_lb", threshold))
+    two = two.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    start, length = _segment(F.col("_la"), F.col("_i"), F.col("_n"))
+    two = two.withColumns({"_from": F.greatest(start - F.col("_down"), F.lit(0)), "_to": F.least(start + F.col("_up"), F.col("_lb") - length), "_len": length})
+    two = two.where("_from <= _to").withColumn("_at", F.explode(F.sequence("_from", "_to")))
+    two = two.select("_b", "_la", "_lb", "_i", F.substring("_b", (F.col("_at") + 1).cast("int"), F.col("_len").cast("int")).alias("_text")).distinct()
+    return one.join(two, ["_la", "_lb", "_i", "_text"]).select("_a", "_b").distinct()
 
 
 def fuzzy_match(names: DataFrame, candidates: DataFrame, name: str, candidate: str,
                 order: str, threshold: float = 90.0) -> DataFrame:
     """Best candidate per distinct name by token-sort ratio, from ``threshold`` up.
 
-    Ties go to the first candidate by ``order``. A pair only gets scored when
-    they share a piece; by the pigeonhole rule no pair that reaches the
-    threshold is missed, so nobody compares every name with every candidate.
+    Ties go to the first candidate by ``order``. Only pairs that :func:`fuzzy_pairs` lets through are scored.
     """
-    asked = (
-        names.select(name).distinct().where(F.char_length(sort_tokens(F.col(name))) > 0)
-        .withColumn("_pieces", _pieces(sort_tokens(F.col(name)), threshold))
-    )
-    lengths = asked.select(F.explode("_pieces").alias("_piece")).agg(
-        F.array_sort(F.collect_set(F.char_length("_piece")))
-    ).scalar()
-    known = candidates.groupBy(candidate).agg(F.min(order).alias("_order"))
-    known = known.withColumn("_lengths", lengths).withColumn(
-        "_piece", F.explode(_substrings(sort_tokens(F.col(candidate)), F.col("_lengths")))
-    ).drop("_lengths")
-    pairs = (
-        asked.withColumn("_piece", F.explode(F.array_distinct("_pieces")))
-        .join(known, "_piece")
-        .select(name, candidate, "_order").distinct()
-        .withColumn("score", token_sort_ratio(F.col(name), F.col(candidate)))
-        .where(F.col("score") >= threshold)
-    )
+    asked = names.select(name).distinct().withColumn("_a", sort_tokens(F.col(name)))
+    known = candidates.groupBy(candidate).agg(F.min(order).alias("_order")).withColumn("_b", sort_tokens(F.col(candidate)))
+    scored = fuzzy_pairs(asked, known, threshold).withColumn("score", indel_ratio(F.col("_a"), F.col("_b"))).where(F.col("score") >= threshold)
+    pairs = asked.join(scored, "_a").join(known, "_b")
     best = pairs.groupBy(name).agg(
         F.min(F.struct((-F.col("score")).alias("s"), F.col("_order"), F.col(candidate))).alias("b")
     )

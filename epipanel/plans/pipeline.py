@@ -11,7 +11,7 @@ from epipanel.operators import calibrate, checks, covariates, ensemble, features
 from epipanel.operators.models import run_model
 from epipanel.schema import CASES, DATE, GID_2, QUANTILE_LEVELS
 from epipanel.sources.registry import SourceRegistry
-from epipanel.sources.tables import write_csv, write_table
+from epipanel.sources.tables import read_table, write_csv, write_table
 
 
 def build_cases(cases: DataFrame, regions: DataFrame, path: str, freq: str = "M", future: int = 12,
@@ -20,18 +20,18 @@ def build_cases(cases: DataFrame, regions: DataFrame, path: str, freq: str = "M"
     counted = panel.aggregate_cases(cases, freq=freq, cutoff_date=cutoff_date)
     full = panel.add_future(panel.pad_regions(counted, regions, iso3), future, freq)
     name = {"M": "cases_per_month", "D": "cases_per_day"}.get(freq, "cases_per_week")
-    return cases.sparkSession.read.parquet(write_table(full, f"{path}/{name}"))
+    return read_table(cases.sparkSession, write_table(full, f"{path}/{name}"))
 
 
 def build_model_input(cases: DataFrame, registry: SourceRegistry, path: str, train_end: str | None = None,
                       requests: Sequence[str] = ("worldclim.*", "edo.spi6", "noaa.oni", "worldpop.pop_count")) -> DataFrame:
     """Covariates and features, holes filled, checked for nulls and missing keys."""
     spark = cases.sparkSession
-    joined = spark.read.parquet(write_table(covariates.covariate_panel(cases, registry, requests), f"{path}/cases_with_climate"))
+    joined = read_table(spark, write_table(covariates.covariate_panel(cases, registry, requests), f"{path}/cases_with_climate"))
     names = features.MODEL_COVARIATES
     full = features.full_features(joined).select(DATE, "GID_1", GID_2, "future", CASES, "Log_Cases", *names)
     clean = features.sanitise_covariates(full, names, train_end, across_regions=True)
-    stored = spark.read.parquet(write_table(clean, f"{path}/model_input_data"))
+    stored = read_table(spark, write_table(clean, f"{path}/model_input_data"))
     checks.assert_no_nulls(stored, names)
     checks.assert_complete(stored)
     return stored
@@ -44,7 +44,7 @@ def run_forecasts(model_input: DataFrame, path: str, models: dict[str, dict]) ->
         df = run_model(name, model_input, path, **options)
         if "quantile" not in df.columns:
             df = calibrate.residual_quantiles(df, min_history=2)
-            df = model_input.sparkSession.read.parquet(write_table(df, f"{path}/{name}_cases_quantiles"))
+            df = read_table(model_input.sparkSession, write_table(df, f"{path}/{name}_cases_quantiles"))
         out[name] = df
     return out
 
@@ -53,7 +53,7 @@ def combine_and_score(forecasts: dict[str, DataFrame], path: str, step: float =
     """Ensemble, its weights, and the scores of all models, as stored tables."""
     mixed, weights = ensemble.create_ensemble(forecasts, step)
     spark = mixed.sparkSession
-    mixed = spark.read.parquet(write_table(mixed, f"{path}/ensemble_cases_quantiles"))
+    mixed = read_table(spark, write_table(mixed, f"{path}/ensemble_cases_quantiles"))
     write_csv(ensemble.weights_wide(weights, list(forecasts)), f"{path}/ensemble_weights")
     scored = ensemble.stack_models({**forecasts, "ensemble": mixed.drop("model", "ensemble_ready")})
     scores = scoring.model_wis(scored.where(F.col(CASES).isNotNull()), QUANTILE_LEVELS)

@@ -28,7 +28,7 @@ def _(spark, d):
 @query("table_replaced_by_itself", 'SELECT GID_2, "Date", GID_1, 2 * Cases AS Cases FROM supplier_panel', "supplier_panel")
 def _(spark, d):
     path = tables.write_table(views.supplier_panel(spark, d), f"{_folder(spark)}/panel")
-    tables.write_table(spark.read.parquet(path).withColumn(CASES, F.col(CASES) * 2), path)
+    tables.write_table(tables.read_table(spark, path).withColumn(CASES, F.col(CASES) * 2), path)
     return tables.read_table(spark, path)
 
 
@@ -148,6 +148,7 @@ def _(spark, d):
     kept = store.StatStore(spark, f"{_folder(spark)}/statistics")
     kept.add(records)
     kept.add(records.where(F.year(DATE) >= 2000).withColumn("mean", F.col("mean") * 2))
+    kept.compact()
     return store.newest(kept.records).withColumn("mean", F.round("mean", 6))
 
 

@@ -1,19 +1,20 @@
 """Keyed statistics store: look up many keys, insert or replace records.
 
 Records only ever get appended, with a batch number; a lookup takes the newest
-record of a key. So an update writes its own rows, never the whole store, and
-a lost executor leaves no half-written state.
+record of a key. So an update writes its own rows, and a lost executor or a failed
+job leaves no half-written state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epipanel.schema import DATE, GID_2
-from epipanel.sources.tables import _exists
+from epipanel.sources.snapshots import Entry, Snapshots
 
 KEYS = ("metric", DATE, GID_2)
 
@@ -47,26 +48,49 @@ def get_record(records: DataFrame, metric: str, date: str, gid_2: str) -> DataFr
 
 
 class StatStore:
-    """Statistics table in a folder, keyed by (metric, Date, GID_2)."""
+    """Statistics table in a folder, keyed by (metric, Date, GID_2).
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str] = KEYS):
-        self.spark, self.path, self.keys = spark, path, tuple(keys)
+    A record's batch is the number of the snapshot that added it, so adding reads nothing but the list of folders, and of two writers
+    at once one comes after the other. When ``most`` folders have gathered they are merged into one that holds each key once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str] = KEYS, most: int = 8):
+        self.spark, self.keys, self.most = spark, tuple(keys), most
+        self.table = Snapshots(spark, path)
+
+    @staticmethod
+    def _numbered(parts: list[tuple[Entry, DataFrame]]) -> DataFrame:
+        """Rows of all folders with their batch; a merged folder brings its own."""
+        whole = [df if "batch" in df.columns else df.withColumn("batch", F.lit(e["number"]).cast("long")) for e, df in parts]
+        return reduce(DataFrame.unionByName, whole)
 
     @property
     def records(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.path) if _exists(self.spark, self.path) else None
+        _, entries = self.table.newest()
+        return self._numbered([(e, self.table.folder(e)) for e in entries]) if entries else None
 
-    def add(self, records: DataFrame) -> None:
-        """Insert records; those of known keys replace the old ones."""
+    def add(self, records: DataFrame) -> int:
+        """Insert records; those of known keys replace the old ones. Returns the batch's number."""
         missing = [k for k in self.keys if k not in records.columns]
         if missing:
             raise ValueError(f"records lack key column(s) {missing}")
         held = self.records
-        batch = F.lit(0) if held is None else F.coalesce(held.agg(F.max("batch")).scalar(), F.lit(-1)) + 1
-        numbered = records.withColumn("batch", batch.cast("long"))
         if held is not None:
-            numbered = numbered.select(*held.columns)
-        numbered.write.mode("append").parquet(self.path)
+            records = records.select(*[c for c in held.columns if c != "batch"])
+        number = self.table.append(records)
+        if len(self.table.newest()[1]) > self.most:
+            self.compact()
+        return number
+
+    def compact(self) -> None:
+        """Keep the newest record of each key, in one folder."""
+        def merge(parts: list[tuple[Entry, DataFrame]]) -> DataFrame:
+            rows = self._numbered(parts)
+            best = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rows.columns), F.struct("batch", *[
+                c for c in rows.columns if c not in (*self.keys, "batch")])).alias("_r"))
+            return best.select("_r.*")
+
+        self.table.compact(merge)
 
     def get(self, wanted: DataFrame) -> DataFrame | None:
         held = self.records

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from epipanel.schema import DATE, GID_2, require_columns
+from epipanel.sources.snapshots import Snapshots
 
 # Suffixes tried, in this order, when a table name has none.
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".json": "json"}
@@ -27,6 +28,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Read a stored table; without a suffix, try Parquet, CSV and JSON in turn."""
     for suffix, fmt in FORMATS.items():
         if path.endswith(suffix):
+            if fmt == "parquet" and (table := Snapshots(spark, path)).numbers():
+                return table.read()
             reader = spark.read.option("header", True).option("inferSchema", True) if fmt == "csv" else spark.read
             return reader.format(fmt).load(path)
     for suffix in FORMATS:
@@ -36,26 +39,14 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
-    """Replace the table at ``path`` (Parquet; period marks travel with the schema).
+    """Replace the table at ``path`` (Parquet; period marks travel with the schema). Read it with :func:`read_table`.
 
-    The new table is written beside the old one and takes its place when it is
-    whole, so a table may be replaced by something read from it, and a job that
-    fails leaves it as it was.
+    The new rows are written beside the old ones and become the table by one atomic step, so a table may be replaced by something
+    read from it, and a job that fails at any point leaves it as it was.
     """
     if not path.endswith(".parquet"):
         path += ".parquet"
-    spark = df.sparkSession
-    beside, before = (f"{path.removesuffix('.parquet')}-{uuid.uuid4().hex}-{x}" for x in ("new", "old"))
-    df.write.partitionBy(*partition_by).parquet(beside)
-    paths = spark._jvm.org.apache.hadoop.fs.Path
-    store = paths(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    had = store.exists(paths(path))
-    if had and not store.rename(paths(path), paths(before)):
-        raise OSError(f"cannot replace {path}")
-    if not store.rename(paths(beside), paths(path)):
-        raise OSError(f"cannot put the new table at {path}; the old one is at {before}")
-    if had:
-        store.delete(paths(before), True)
+    Snapshots(df.sparkSession, path).replace(df, partition_by)
     return path
 
 
@@ -88,12 +79,22 @@ def append_table(df: DataFrame, path: str, regions: DataFrame | None = None) ->
         if strangers:
             raise ValueError(f"region ids outside the closed set: {[r[0] for r in strangers]}")
     spark = df.sparkSession
-    if _exists(spark, path):
-        df = align_to(df, spark.read.parquet(path))
-    df.write.mode("append").parquet(path)
+    table = Snapshots(spark, path)
+    if table.numbers():
+        df = align_to(df, table.read())
+    elif _exists(spark, path):  # files written by others become the first snapshot
+        held = spark.read.parquet(path)
+        table.replace(held)
+        df = align_to(df, held)
+    table.append(df)
     return path
 
 
+def compact_table(spark: SparkSession, path: str) -> None:
+    """Put the rows of all appends into one folder; appends that come meanwhile are kept."""
+    Snapshots(spark, path).compact(lambda parts: reduce(DataFrame.unionByName, [df for _, df in parts]))
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     """Scores, weights and metrics as CSV with a header line."""
     df.write.mode("overwrite").option("header", True).csv(path)

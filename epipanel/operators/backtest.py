@@ -15,6 +15,7 @@ from epipanel.functions.periods import align_scalar, period_index
 from epipanel.functions.scalars import expm1_clipped
 from epipanel.operators.checks import active_regions
 from epipanel.schema import CASES, DATE, FUTURE, GID_1, GID_2, HORIZON, PREDICTION, period_freq, require_columns, spread
+from epipanel.sources.stage import stage
 
 LOG_CASES = "Log_Cases"
 _GROUPS: dict[int, Callable[[], Column]] = {
@@ -63,70 +64,70 @@ def seasonal_lags(horizon: int, season: int = 12) -> list[int]:
 
 def seasonal_autoregression(panel: DataFrame, horizons: Sequence[int] = (1,), season: int = 12, level: int = 2,
                             retrain: int = 1, start_date: str | None = None, train_start: str | None = None,
-                            train_end: str | None = None) -> DataFrame:
+                            train_end: str | None = None, covariates: Sequence[str] = ()) -> DataFrame:
     """Point forecasts by least squares on seasonal lags of log cases, refit over time.
 
     Each fit uses all rows up to its origin. The normal equations are sums, so
-    a running total over time gives every fit in one pass. ``level`` pools the
+    a running total over time gives every fit in one pass. The horizon is one of the keys. ``level`` pools the
     fit over the country (0), the state (1) or keeps it per region (2).
     ``retrain`` is the number of periods between fits; 0 fits once, at
-    ``train_end``. Regions without cases in training, and fits that cannot be
-    solved, give no forecast.
+    ``train_end``. ``covariates`` enter with their value at the origin. Regions without cases in training, rows with a missing
+    lag or covariate, and fits that cannot be solved, give no forecast.
     """
     if level not in _GROUPS:
         raise ValueError(f"level must be 0, 1 or 2, not {level}")
     freq = period_freq(panel) or "M"
     df = _timed(training_regions(panel, train_start, train_end), freq).withColumn("_g", _GROUPS[level]())
     series = Window.partitionBy(GID_2).orderBy("_t")
-    out = None
-    for h in horizons:
-        lags = [F.lag(LOG_CASES, k).over(series) for k in seasonal_lags(h, season)]
-        rows = df.select(GID_2, DATE, CASES, FUTURE, "_t", "_g", F.col(LOG_CASES).alias("_y"),
-                         F.array(F.lit(1.0), *lags).alias("_x"))
-        rows = rows.where(~F.exists("_x", lambda v: v.isNull()))
-        part = _predict(rows, _running_fits(rows, len(lags) + 1), h, retrain, start_date, train_end, panel, freq)
-        out = part if out is None else out.unionByName(part)
-    return out
+    cells = [F.struct(F.lit(h).alias("h"), F.array(F.lit(1.0), *[F.lag(LOG_CASES, k).over(series) for k in seasonal_lags(h, season)],
+                                                   *[F.lag(F.col(c).cast("double"), h).over(series) for c in covariates]).alias("x"))
+             for h in horizons]
+    rows = df.select(GID_2, DATE, CASES, FUTURE, "_t", "_g", F.col(LOG_CASES).alias("_y"), F.array(*cells).alias("_cells"))
+    rows = rows.withColumn("_cell", F.explode("_cells")).select(
+        GID_2, DATE, CASES, FUTURE, "_t", "_g", "_y", F.col("_cell.h").alias("_h"), F.col("_cell.x").alias("_x"))
+    rows = stage(rows.where(~F.exists("_x", lambda v: v.isNull())))  # fits and forecasts read them
+    return _predict(rows, _running_fits(rows, 4 + len(covariates)), retrain, start_date, train_end, panel, freq)
 
 
 def _running_fits(rows: DataFrame, p: int) -> DataFrame:
-    """Coefficients per group and time, from all rows up to that time."""
+    """Coefficients per group, horizon and time, from all rows up to that time."""
     known = rows.where(F.col("_y").isNotNull() & ~F.col(FUTURE))
     x = F.col("_x")
-    daily = known.groupBy("_g", "_t").agg(
+    daily = known.groupBy("_g", "_h", "_t").agg(
         F.count("*").alias("_n"),
         *[F.sum(x[i] * x[j]).alias(f"_a{i}_{j}") for i in range(p) for j in range(i, p)],
         *[F.sum(x[i] * F.col("_y")).alias(f"_b{i}") for i in range(p)])
-    past = Window.partitionBy("_g").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    past = Window.partitionBy("_g", "_h").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
     total = lambda c: F.sum(c).over(past)
     sums = daily.select(
-        "_g", "_t", total("_n").alias("_n"),
+        "_g", "_h", "_t", total("_n").alias("_n"),
         F.array(*[total(f"_a{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)]).alias("_xtx"),
         F.array(*[total(f"_b{i}") for i in range(p)]).alias("_xty"))
-    return sums.where(F.col("_n") > p).select("_g", F.col("_t").alias("_f"), _solve("_xtx", "_xty").alias("_beta")).where(
+    return sums.where(F.col("_n") > p).select("_g", "_h", F.col("_t").alias("_f"), _solve("_xtx", "_xty").alias("_beta")).where(
         F.col("_beta").isNotNull())
 
 
-def _predict(rows: DataFrame, fits: DataFrame, h: int, retrain: int, start_date: str | None,
-             train_end: str | None, panel: DataFrame, freq: str) -> DataFrame:
-    bounds = rows.agg(F.struct(F.min("_t").alias("lo"), F.max(F.when(~F.col(FUTURE), F.col("_t"))).alias("hi"))).scalar()
-    timed = rows.withColumn("_w", bounds)
-    first = period_index(align_scalar(start_date, panel), freq) if start_date else F.col("_w.lo")
+def _predict(rows: DataFrame, fits: DataFrame, retrain: int, start_date: str | None, train_end: str | None, panel: DataFrame,
+             freq: str) -> DataFrame:
+    bounds = rows.groupBy("_h").agg(F.min("_t").alias("_lo"), F.max(F.when(~F.col(FUTURE), F.col("_t"))).alias("_hi"))
+    timed, h = rows.join(bounds, "_h"), F.col("_h")
+    first = period_index(align_scalar(start_date, panel), freq) if start_date else F.col("_lo")
     if start_date:
         timed = timed.where(F.col("_t") >= first)
     if retrain:
-        fit = F.least(_fit_time(F.col("_t") - h, first - h, retrain), F.col("_w.hi"))
+        fit = F.least(_fit_time(F.col("_t") - h, first - h, retrain), F.col("_hi"))
     else:
-        fit = period_index(align_scalar(train_end, panel), freq) if train_end else F.col("_w.hi") - h
+        fit = period_index(align_scalar(train_end, panel), freq) if train_end else F.col("_hi") - h
     due = timed.withColumn("_f", fit.cast("int"))
     # a fit time without rows of its own takes the latest fit before it
-    ends = fits.withColumn("_until", F.lead("_f").over(Window.partitionBy("_g").orderBy("_f")))
-    steps = due.select("_g", "_f").distinct().join(ends.withColumnRenamed("_f", "_from"), "_g").where(
+    keys = ["_g", "_h"]
+    ends = fits.withColumn("_until", F.lead("_f").over(Window.partitionBy(*keys).orderBy("_f")))
+    steps = due.select(*keys, "_f").distinct().join(ends.withColumnRenamed("_f", "_from"), keys).where(
         (F.col("_f") >= F.col("_from")) & (F.col("_until").isNull() | (F.col("_f") < F.col("_until")))).select(
-        "_g", "_f", "_beta")
+        *keys, "_f", "_beta")
     value = F.aggregate(F.zip_with("_beta", "_x", lambda b, x: b * x), F.lit(0.0), lambda s, v: s + v)
-    return due.join(steps, ["_g", "_f"]).select(
-        GID_2, DATE, F.lit(h).alias(HORIZON), expm1_clipped(value).alias(PREDICTION), CASES)
+    return due.join(steps, [*keys, "_f"]).select(
+        GID_2, DATE, h.alias(HORIZON), expm1_clipped(value).alias(PREDICTION), CASES)
 
 
 def backtest_series(panel: DataFrame, fit: Callable[[np.ndarray], Any], predict: Callable[[Any, np.ndarray, int], float],

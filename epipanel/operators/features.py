@@ -239,9 +239,9 @@ def sanitise_covariates(df: DataFrame, columns: Sequence[str], start_date: str |
     """Fill the holes of covariates and bring them to a mean absolute value of 1.
 
     A column whose mean absolute value is at most 0.001 keeps its scale.
-    ``check`` raises when a null is left.
+    ``check`` raises when a null is left. The filled table is staged: the scales and the rows read it.
     """
-    filled = fill_along(seasonal_fill(df, columns), columns, across_regions)
+    filled = stage(fill_along(seasonal_fill(df, columns), columns, across_regions))
     norms = scale_factors(filled, columns, start_date)
     out = filled.withColumn("_norms", norms).withColumns({
         c: F.when(F.col("_norms")[c] > 1e-3, F.col(c) / F.col("_norms")[c]).otherwise(F.col(c))

@@ -13,6 +13,7 @@ from epipanel.operators.checks import assert_unique
 from epipanel.schema import (
     CASES, DATE, FUTURE, GID_1, GID_2, one_row, period_freq, require_columns, with_period,
 )
+from epipanel.sources.stage import stage
 
 
 def _bounds(df: DataFrame, date: Column) -> Column:
@@ -76,11 +77,16 @@ def aggregate_cases(
     describe = [c for c in df.columns if c not in (GID_2, DATE, cases, "Status")]
     pick = F.min if fill else F.max
     counted = (
-        rows.where(F.col(GID_2).isNotNull() & F.col(DATE).isNotNull())
+        rows.where(F.col(DATE).isNotNull())
         .groupBy(GID_2, period_end(F.col(DATE), freq).alias("_p"))
         .agg(F.sum(amount).cast("long").alias(cases),
              pick(F.struct(F.col(DATE), *describe)).alias("_about"))
     )
+    if fill:
+        # counts are read twice, the line list once
+        counted = stage(counted)
+        bounds = _bounds(counted, F.col("_p"))
+    counted = counted.where(F.col(GID_2).isNotNull())
     about = F.first if fill else F.last
     whole = Window.partitionBy(GID_2).orderBy("_p").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
@@ -91,7 +97,6 @@ def aggregate_cases(
     )
     if not fill:
         return with_period(counted, freq)
-    bounds = _bounds(rows, period_end(F.col(DATE), freq))
     return densify(counted, freq, bounds, fill={cases: 0}, carry=describe)
 
 

@@ -60,7 +60,7 @@ def fuzzy_pairs(asked: DataFrame, known: DataFrame, threshold: float = 90.0) ->
     start, length = _segment(F.col("_la"), F.col("_i"), F.col("_n"))
     two = two.withColumns({"_from": F.greatest(start - F.col("_down"), F.lit(0)), "_to": F.least(start + F.col("_up"), F.col("_lb") - length), "_len": length})
     two = two.where("_from <= _to").withColumn("_at", F.explode(F.sequence("_from", "_to")))
-    two = two.select("_b", "_la", "_lb", "_i", F.substring("_b", (F.col("_at") + 1).cast("int"), F.col("_len").cast("int")).alias("_text")).distinct()
+    two = two.select("_b", "_la", "_lb", "_i", F.substring("_b", (F.col("_at") + 1).cast("int"), F.col("_len").cast("int")).alias("_text"))
     return one.join(two, ["_la", "_lb", "_i", "_text"]).select("_a", "_b").distinct()
 
 

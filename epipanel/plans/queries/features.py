@@ -248,10 +248,12 @@ cte("seasonal_filled", """
   SELECT GID_2, "Date", COALESCE(tmin, avg(tmin) OVER (PARTITION BY GID_2, month("Date"))) AS tmin,
          COALESCE(SPI6, avg(SPI6) OVER (PARTITION BY GID_2, month("Date"))) AS SPI6 FROM covariate_panel""",
     "covariate_panel")
+# a value and the holes behind it (before it) have the same count of values up to them (from them on)
 cte("filled_along", f"""
-  SELECT GID_2, "Date", {", ".join(f'''COALESCE(last_value({c} IGNORE NULLS) OVER (PARTITION BY GID_2 ORDER BY "Date"),
-     first_value({c} IGNORE NULLS) OVER (PARTITION BY GID_2 ORDER BY "Date" ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS {c}'''
-     for c in ("tmin", "SPI6"))} FROM seasonal_filled""", "seasonal_filled")
+  SELECT GID_2, "Date", {", ".join(f'COALESCE(CASE WHEN {c}_up > 0 THEN max({c}) OVER (PARTITION BY GID_2, {c}_up) END, max({c}) OVER (PARTITION BY GID_2, {c}_down)) AS {c}'
+                                  for c in ("tmin", "SPI6"))}
+  FROM (SELECT *, {", ".join(f'count({c}) OVER (PARTITION BY GID_2 ORDER BY "Date") AS {c}_up, count({c}) OVER (PARTITION BY GID_2 ORDER BY "Date" DESC) AS {c}_down'
+                            for c in ("tmin", "SPI6"))} FROM seasonal_filled)""", "seasonal_filled")
 
 
 @query("seasonal_fill", f'SELECT GID_2, "Date", {sql_rounded("tmin", "SPI6")} FROM seasonal_filled', "seasonal_filled")
@@ -260,13 +262,13 @@ def _(spark, d):
 
 
 cte("filled_norms", """
-  SELECT avg(abs(tmin)) AS tmin_norm, avg(abs(SPI6)) AS spi6_norm FROM filled_along WHERE "Date" < DATE '1999-01-01'""",
+  SELECT 1 AS one, avg(abs(tmin)) AS tmin_norm, avg(abs(SPI6)) AS spi6_norm FROM filled_along WHERE "Date" < DATE '1999-01-01'""",
     "filled_along")
 
 
 @query("sanitised_covariates", """
   SELECT GID_2, "Date", round(tmin / tmin_norm, 6) AS tmin, round(SPI6 / spi6_norm, 6) AS SPI6
-  FROM filled_along CROSS JOIN filled_norms""", "filled_along", "filled_norms")
+  FROM (SELECT *, 1 AS one FROM filled_along) JOIN filled_norms USING (one)""", "filled_along", "filled_norms")
 def _(spark, d):
     out = features.sanitise_covariates(views.covariate_panel(spark, d), ["tmin", "SPI6"], "1999-01-01", check=False)
     return rounded(out, "tmin", "SPI6")

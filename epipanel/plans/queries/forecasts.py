@@ -341,7 +341,7 @@ def _sql_residual(own_frame, pooled, least, window=None):
     return f"""
   SELECT GID_2, "Date", horizon, unnest({views._LEVELS}) AS quantile, Cases,
     round(unnest(list_transform(CASE WHEN have >= {least} THEN own WHEN n >= {least} THEN pooled
-      ELSE list_transform({views._LEVELS}, lambda z: 0.0::DOUBLE) END, lambda v: CASE WHEN base IS NOT NULL THEN greatest(exp(base + v) - 1, 0) END)), 5) AS prediction
+      ELSE list_transform({views._LEVELS}, lambda z: 0.0::DOUBLE) END, lambda v: CASE WHEN base IS NOT NULL THEN greatest(exp(base + v) - 1, 0) END)) + 1e-7, 5) AS prediction
   FROM (SELECT *, {have} AS have,
           quantile_cont(e, {views._LEVELS}) OVER (PARTITION BY horizon, GID_2 ORDER BY "Date" ROWS BETWEEN {own_frame} PRECEDING AND 1 PRECEDING) AS own
         FROM errors) a
@@ -359,14 +359,19 @@ _POOLED_LAST = f"""
       WHERE p.e IS NOT NULL) WHERE r <= 24 GROUP BY 1, 2"""
 
 
+def _off_ties(df):
+    """Many values are dyadic and would sit just between two roundings."""
+    return df.withColumn(PREDICTION, F.col(PREDICTION) + 1e-7)
+
+
 @query("residual_quantiles", _sql_residual("UNBOUNDED", _POOLED_ALL, 20), "errors")
 def _(spark, d):
-    return _tidy(calibrate.calibrate_forecast(views.baseline_forecast(spark, d)), CASES)
+    return _tidy(_off_ties(calibrate.calibrate_forecast(views.baseline_forecast(spark, d))), CASES)
 
 
 @query("residual_quantiles_moving", _sql_residual("24", _POOLED_LAST, 18, 24), "errors")
 def _(spark, d):
-    return _tidy(calibrate.calibrate_forecast(views.baseline_forecast(spark, d), window=24, min_history=18), CASES)
+    return _tidy(_off_ties(calibrate.calibrate_forecast(views.baseline_forecast(spark, d), window=24, min_history=18)), CASES)
 
 
 cte("unsorted", """

@@ -354,16 +354,53 @@ def _(spark, d):
     return out.select(GID_2, DATE, F.round("oni_1", 6).alias("oni_1"), F.round("oni_2", 5).alias("oni_2"))
 
 
-@query("climate_feature_table", """
+_BASES = {**climate_features.basis_prefixes()}
+_DIFF = "MODIFIED_DIFF_WITH_HISTORICAL_DIR_LAG"
+_SPLINES = {**{c: (2, p) for c, p in _BASES.items()}, _DIFF: (4, _BASES.get(_DIFF, _DIFF))}
+_LAGGED = [*_CLIMATE_LAGS, "SPI6_lag1", "SPI6_lag2", *[f"TotalONI_lag{k}" for k in range(1, 5)]]
+
+
+def _sql_basis(column, df, prefix):
+    """Natural basis of a column whose knots are ``k_<column>[1..]``."""
+    at = [f"k_{column}[{i + 1}]" for i in range(df + 1)]
+    part = lambda i: f"({_cube(column, at[i])} - {_cube(column, at[df])}) / nullif({at[df]} - {at[i]}, 0)"
+    out = [f"round({column}, 5) AS {prefix}_1"]
+    return out + [f"round(CASE WHEN {column} IS NOT NULL THEN COALESCE({part(i)} - {part(df - 1)}, 0) END, 4) AS {prefix}_{i + 2}" for i in range(df - 1)]
+
+
+_TABLE = ["TIME", "GID_2_codes", "MONTH", "YEAR", "POP_OFFSET", "SEASON", "DIR", "HISTORICAL_DIR", "DIFF_WITH_HISTORICAL_DIR", _DIFF,
+          "RSI_DIR", "RSI_DIR_LAG", "SQ_RSI_DIR_LAG", *_LAGGED]
+
+
+@query("climate_feature_table", f"""
+  , moves AS MATERIALIZED (
+    SELECT GID_2, "Date", row_number() OVER {_REGION} AS rn, greatest(DIR - lag(DIR) OVER {_REGION}, 0) AS up, greatest(lag(DIR) OVER {_REGION} - DIR, 0) AS down
+    FROM covariate_panel),
+  smooth AS (
+    SELECT GID_2, 4 AS rn, avg(up) AS up, avg(down) AS down FROM moves WHERE rn BETWEEN 2 AND 4 GROUP BY 1
+    UNION ALL
+    SELECT m.GID_2, m.rn, (s.up * 2 + m.up) / 3, (s.down * 2 + m.down) / 3 FROM smooth s JOIN moves m ON m.GID_2 = s.GID_2 AND m.rn = s.rn + 1),
+  rsi AS (SELECT m.GID_2, m."Date", COALESCE(100 * s.up / nullif(s.up + s.down, 0), 0) AS v FROM moves m LEFT JOIN smooth s ON s.GID_2 = m.GID_2 AND s.rn = m.rn),
+  yoy AS (SELECT GID_2, "Date", COALESCE(lag(DIR, 12) OVER {_REGION}, 0) AS h, COALESCE(d0, DIR - ahead) AS x FROM yoy_base),
+  rolled AS (SELECT *, {_roll("tmin", 2)} AS tmin_roll_2, {_roll("prec", 2)} AS prec_roll_2 FROM covariate_panel),
+  whole AS MATERIALIZED (
+    SELECT c.*, yoy.h AS HISTORICAL_DIR, yoy.x AS DIFF_WITH_HISTORICAL_DIR, COALESCE(lag(yoy.x) OVER w, 0) AS {_DIFF},
+      v AS RSI_DIR, COALESCE(lag(v) OVER w, 0) AS RSI_DIR_LAG, COALESCE(lag(v) OVER w, 0) ** 2 AS SQ_RSI_DIR_LAG,
+      {", ".join(f"lag({c}_roll_2, {k}) OVER w AS {c}_roll_2_lag{k}" for c in ("tmin", "prec") for k in range(1, 5))},
+      lag(SPI6, 1) OVER w AS SPI6_lag1, lag(SPI6, 2) OVER w AS SPI6_lag2, {", ".join(f"lag(TotalONI, {k}) OVER w AS TotalONI_lag{k}" for k in range(1, 5))}
+    FROM rolled c JOIN yoy USING (GID_2, "Date") JOIN rsi USING (GID_2, "Date") WINDOW w AS (PARTITION BY GID_2 ORDER BY "Date")),
+  knots AS (SELECT {", ".join(f"quantile_cont({c}, {[i / df for i in range(df + 1)]}) AS k_{c}" for c, (df, _) in _SPLINES.items())} FROM whole)
   SELECT GID_2, "Date", CAST(dense_rank() OVER (ORDER BY "Date") AS INTEGER) AS "TIME",
-    CAST(dense_rank() OVER (ORDER BY GID_2) - 1 AS INTEGER) AS GID_2_codes,
-    round(pop_count / 100000.0, 6) AS POP_OFFSET, CAST(month("Date") IN (12, 1, 2, 3, 4) AS INTEGER) AS SEASON,
-    round(DIR, 6) AS DIR
-  FROM covariate_panel""", "covariate_panel")
+    CAST(dense_rank() OVER (ORDER BY GID_2) - 1 AS INTEGER) AS GID_2_codes, CAST(month("Date") AS INTEGER) AS "MONTH", CAST(year("Date") AS INTEGER) AS "YEAR",
+    round(pop_count / 100000.0, 5) AS POP_OFFSET, CAST(month("Date") IN (12, 1, 2, 3, 4) AS INTEGER) AS SEASON,
+    {", ".join(f"round({c}, 5) AS {c}" for c in _TABLE[6:] if c != "SQ_RSI_DIR_LAG")}, round(SQ_RSI_DIR_LAG, 3) AS SQ_RSI_DIR_LAG,
+    {", ".join(x for c, (df, p) in _SPLINES.items() for x in _sql_basis(c, df, p))}
+  FROM whole, knots""", "covariate_panel", "yoy_base", recursive=True)
 def _(spark, d):
     out = climate_features.climate_feature_table(views.covariate_panel(spark, d))
-    return out.select(GID_2, DATE, "TIME", "GID_2_codes", F.round("POP_OFFSET", 6).alias("POP_OFFSET"), "SEASON",
-                      F.round("DIR", 6).alias("DIR"))
+    digits = {**{c: 5 for c in _TABLE[6:]}, "POP_OFFSET": 5, "SQ_RSI_DIR_LAG": 3,
+              **{f"{p}_{i + 1}": 4 if i else 5 for df, p in _SPLINES.values() for i in range(df)}}
+    return out.select(GID_2, DATE, "TIME", "GID_2_codes", "MONTH", "YEAR", "SEASON", *[F.round(F.col(c), n).alias(c) for c, n in digits.items()])
 
 
 cte("timed_future", """

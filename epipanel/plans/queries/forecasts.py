@@ -1,5 +1,7 @@
 """Forecasts, calibration, scores and ensembles over the sample tables."""
 
+import calendar
+
 from pyspark.sql import functions as F
 
 from epipanel.operators import access, baseline, calibrate, checks, covariates, ensemble, samples, scoring, summaries
@@ -311,13 +313,15 @@ def _(spark, d):
     return out.withColumns({c: F.round(c, 4) for c in ("low", "median", "high")})
 
 
-@query("median_matrix", """
-  SELECT GID_2, round(max(CASE WHEN "Date" = DATE '1998-01-31' THEN prediction END), 5) AS "1998-01-31",
-         round(max(CASE WHEN "Date" = DATE '1999-01-31' THEN prediction END), 5) AS "1999-01-31"
-  FROM baseline_forecast WHERE quantile = 0.5 AND horizon = 1 GROUP BY 1""", "baseline_forecast")
+MONTHS = [f"{y}-{m:02d}-{calendar.monthrange(y, m)[1]}" for y in range(1995, 2002) for m in range(1, 13)]
+
+
+@query("median_matrix", "SELECT GID_2, " + ", ".join(
+    f"""round(max(CASE WHEN "Date" = DATE '{m}' THEN prediction END), 5) AS "{m}\"""" for m in MONTHS)
+    + " FROM baseline_forecast WHERE quantile = 0.5 AND horizon = 1 GROUP BY 1", "baseline_forecast")
 def _(spark, d):
-    out = summaries.median_matrix(views.baseline_forecast(spark, d), 1, ["1998-01-31", "1999-01-31"])
-    return out.select(GID_2, *[F.round(F.col(f"`{c}`"), 5).alias(c) for c in ("1998-01-31", "1999-01-31")])
+    out = summaries.median_matrix(views.baseline_forecast(spark, d), 1, MONTHS)
+    return out.select(GID_2, *[F.round(F.col(f"`{m}`"), 5).alias(m) for m in MONTHS])
 
 
 @query("melted_quantiles", """

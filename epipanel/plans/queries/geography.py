@@ -273,9 +273,9 @@ def _(spark, d):
 
 @query("map_summary", """
   SELECT GID_2, min(GID_1) AS GID_1, nullif(CAST(sum(Cases) AS BIGINT), 0) AS Cases FROM supplier_panel
-  WHERE "Date" BETWEEN DATE '1995-01-31' AND DATE '1995-01-31' GROUP BY 1""", "supplier_panel")
+  WHERE "Date" BETWEEN DATE '1995-01-31' AND DATE '2001-12-31' GROUP BY 1""", "supplier_panel")
 def _(spark, d):
-    return summaries.map_summary(views.supplier_panel(spark, d), CASES, "1995-01-31", "1995-01-31")
+    return summaries.map_summary(views.supplier_panel(spark, d), CASES, "1995-01-31", "2001-12-31")
 
 
 @query("map_summary_states", """
@@ -314,7 +314,7 @@ def _(spark, d):
 
 
 # every month that the tables cover
-MONTHS = [f"{y}-{m:02d}-{calendar.monthrange(y, m)[1]}" for y in range(1992, 1999) for m in range(1, 13)]
+MONTHS = [f"{y}-{m:02d}-{calendar.monthrange(y, m)[1]}" for y in range(1995, 2002) for m in range(1, 13)]
 
 
 @query("case_matrix", "SELECT GID_2, " + ", ".join(

@@ -15,7 +15,7 @@ walks them, many texts and stretches of long texts side by side.
 
 Scale. The automaton grows with the corpus, so no task holds it all. Documents are dealt into blocks of about
 ``BLOCK_BYTES``. Each block names the n-grams it needs with its own training counts (sorted hashes, one slice per hash
-range); each hash range is summed over all blocks and the totals go back, in the order they came, to the blocks that asked;
+range, of which there is one for each ``RANGE_BYTES`` of text); each hash range is summed over all blocks and the totals go back, in the order they came, to the blocks that asked;
 a block then builds exactly the part of the automaton that its texts can reach, and reads all its texts
 through it. A frequent n-gram is one entry per block, however often it occurs, so no key is hot. N-grams are told apart
 by 64-bit hashes.
@@ -37,7 +37,7 @@ from epipanel.llm.common import block_count, stage, texts, words
 from epipanel.llm.hashing import hash_word, mix
 
 ORDER, MU = 2, 300.0
-BLOCK_BYTES, LANE = 10 << 20, 512
+BLOCK_BYTES, RANGE_BYTES, LANE = 6 << 20, 16 << 20, 512
 
 _END, _START = np.uint64(0x656E64), np.uint64(0x7374617274)  # no word's hash but by chance
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -229,6 +229,7 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, block_bytes: int
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every text."""
     plain = texts(docs)
     blocks = block_count(plain, block_bytes)
+    ranges = max(1, -(-blocks * block_bytes // RANGE_BYTES))
     dealt = plain.select("doc_id", "text", held_out().alias("held_out"),
                          F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
 
@@ -236,8 +237,8 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, block_bytes: int
         tokens = Tokens.of(group["text"].to_pylist(), order)
         block, rows = group["block"][0].as_py(), []
         for kind, (keys, counts) in enumerate(needed(tokens, ~np.array(group["held_out"]))):
-            edges = _sliced(keys, blocks)
-            for part in range(blocks):
+            edges = _sliced(keys, ranges)
+            for part in range(ranges):
                 own = slice(edges[part], edges[part + 1])
                 if own.start < own.stop:
                     steps = np.diff(keys[own], prepend=np.uint64(0))

@@ -160,7 +160,7 @@ def _(spark, d):
 def _(spark, d):
     forecast = access.pick(views.baseline_forecast(spark, d), quantile=0.5)
     return residual_regression.residual_regression(
-        _known(spark, d, forecast), region_embeddings(spark, d), method="ridge", window=24, horizons=(1, 2))
+        _known(spark, d, forecast), region_embeddings(spark, d), method="ridge", window=24, horizons=views.HORIZONS)
 
 
 # the regression's errors, with the first two features of each region
@@ -201,7 +201,7 @@ cte("ridge_fits", sql_ridge("median_errors", "horizon"), "median_errors")
 def _(spark, d):
     forecast = access.pick(views.baseline_forecast(spark, d), quantile=0.5)
     out = residual_regression.residual_regression(
-        _known(spark, d, forecast), _two_features(spark, d), method="ridge", window=24, horizons=(1, 2))
+        _known(spark, d, forecast), _two_features(spark, d), method="ridge", window=24, horizons=views.HORIZONS)
     return out.withColumns({PREDICTION: F.round(PREDICTION, 3), CASES: F.col(CASES).cast("double")})
 
 
@@ -283,3 +283,37 @@ def _(spark, d):
     return out.select(GID_2, DATE, HORIZON, QUANTILE, F.size("embedding").cast("long").alias("size"),
                       F.col("embedding")[0].alias("first"),
                       F.round(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double")), 4).alias("total"))
+
+
+cte("noise_features", f"""
+  SELECT GID_2, CAST(rep AS INTEGER) AS rep, max(v) FILTER (WHERE feature = 0) AS x1, max(v) FILTER (WHERE feature = 1) AS x2 FROM (
+    SELECT *, sqrt(-2 * ln({_uniform(1)})) * cos(2 * pi() * {_uniform(2)}) AS v FROM (
+      SELECT DISTINCT GID_2, unnest(range(100)) AS rep, feature FROM median_errors, (SELECT unnest([0, 1]) AS feature)))
+  GROUP BY 1, 2 UNION ALL SELECT DISTINCT GID_2, -1, x1, x2 FROM median_errors""", "median_errors")
+cte("noise_errors", """
+  SELECT GID_2, "Date", horizon, t, Cases, base, e, rep, n.x1, n.x2 FROM (SELECT * EXCLUDE (x1, x2) FROM median_errors WHERE horizon = 6) JOIN noise_features n USING (GID_2)""",
+    "median_errors", "noise_features")
+cte("noise_fits", sql_ridge("noise_errors", "rep, horizon"), "noise_errors")
+cte("noise_scores", """
+  SELECT rep, CAST(horizon AS INTEGER) AS horizon, avg(CASE WHEN base IS NOT NULL THEN abs(Cases - greatest(exp(base + coalesce(b0 + b1 * x1 + b2 * x2, 0)) - 1, 0)) END) AS WIS
+  FROM noise_errors LEFT JOIN noise_fits USING (rep, horizon, t) GROUP BY ALL""", "noise_errors", "noise_fits")
+
+
+def _noise(spark, d):
+    forecast = access.pick(views.baseline_forecast(spark, d), quantile=0.5, horizon=6)
+    return residual_regression.noise_scores(_known(spark, d, forecast), _two_features(spark, d), method="ridge", window=24, horizons=(6,))
+
+
+@query("noise_control_scores", "SELECT rep, horizon, round(WIS, 5) AS WIS FROM noise_scores", "noise_scores")
+def _(spark, d):
+    return _noise(spark, d).withColumn("WIS", F.round("WIS", 5))
+
+
+@query("noise_control", """
+  SELECT horizon, round(max(WIS) FILTER (WHERE rep < 0), 5) AS real_wis, round(avg(WIS) FILTER (WHERE rep >= 0), 5) AS noise_wis,
+    round(min(WIS) FILTER (WHERE rep >= 0), 5) AS best_noise_wis,
+    CAST(1 + count(*) FILTER (WHERE rep >= 0 AND round(WIS, 9) < (SELECT round(WIS, 9) FROM noise_scores WHERE rep < 0)) AS INTEGER) AS place,
+    CAST(count(*) FILTER (WHERE rep >= 0) AS INTEGER) AS repetitions FROM noise_scores GROUP BY 1""", "noise_scores")
+def _(spark, d):
+    out = residual_regression.noise_control(_noise(spark, d))
+    return out.withColumns({c: F.round(c, 5) for c in ("real_wis", "noise_wis", "best_noise_wis")})

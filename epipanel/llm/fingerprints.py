@@ -3,8 +3,9 @@
 A text's shingles (five words; fewer words make one shingle of them all) are hashed once. The upper bits of a hash name
 its bin, and each bin keeps its smallest hash. A bin that stays empty takes the value of another: its own fixed series of
 bins is walked until one is found that is not empty (optimal densification), the same series for every text, so equal
-choices stay equal. A series is 4096 draws, then a permutation of all bins, so it always ends at a filled one. The low
-``BITS`` bits of each bin's value are packed into the fingerprint.
+choices stay equal. A series is 4096 draws, then a permutation of all bins, so it always ends at a filled one. Each bin's value is mixed with
+the bin's number, and the low ``BITS`` bits of that are packed into the fingerprint: in texts of a few shingles many bins
+hold one value, and different values still agree by chance in a bin here and there, not in all at once.
 
 Two fingerprints agree in a share of bins that is the shingle sets' Jaccard similarity plus chance agreements of low
 bits, one in 2**BITS; ``likeness`` takes those out and clips to 0..1.
@@ -31,9 +32,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epipanel.llm.common import stage, table_parts, texts, words
-from epipanel.llm.hashing import shingle_hashes
+from epipanel.llm.hashing import mix, shingle_hashes
 
 BINS, BITS, WIDTH, STEPS = 512, 4, 5, 64
+_BIN = np.arange(1, BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 # For each bin its series of bins, in steps of 64; steps beyond the first are made when they are needed.
 _series: list[np.ndarray] = []
@@ -77,10 +79,11 @@ def fingerprint(tokens: list[bytes]) -> np.ndarray:
         return np.zeros(0, np.uint8)
     bins = (hashes >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
     first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
-    values, filled = np.zeros(BINS, np.uint8), np.zeros(BINS, bool)
-    values[bins[first]] = (hashes[first] & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    values, filled = np.zeros(BINS, np.uint64), np.zeros(BINS, bool)
+    values[bins[first]] = hashes[first]
     filled[bins[first]] = True
-    return values[densified(filled)]
+    # the bin goes into the low bits, so that bins that borrow one value agree by chance one by one
+    return (mix(values[densified(filled)] + _BIN) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
 
 
 def packed(values: np.ndarray) -> bytes:

@@ -41,3 +41,13 @@ def test_pairs():
 
 def test_orders_are_permutations():
     assert (np.sort(fingerprints._orders(), axis=0) == np.arange(BINS)[:, None]).all()
+
+
+def test_short_texts_without_common_words_are_unlike():
+    rng = np.random.default_rng(4)
+    for n in range(1, 13):
+        for _ in range(150):
+            one, two = ([b"w%d" % i for i in rng.integers(0, 10 ** 9, n)] for _ in range(2))
+            a, b = fingerprints.fingerprint(one), fingerprints.fingerprint(two)
+            assert fingerprints.likeness(a, b) < 0.2 and fingerprints.likeness(a, a) == 1.0
+            assert fingerprints.likeness(a, fingerprints.fingerprint(list(one))) == 1.0

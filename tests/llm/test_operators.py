@@ -117,6 +117,41 @@ def test_scores_are_the_models(spark, docs, rows, order):
     assert np.allclose([x[5:] for x in left], [x[5:] for x in right], atol=2e-6)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_the_automaton_walks_by_hand(order):
+    """States, arcs and failure arcs of a small corpus, walked one token at a time in plain Python."""
+    rng = random.Random(order)
+    some = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(0, 30))) for _ in range(40)] + ["", "a b a b zz"]
+    training = np.array([i % 5 != 0 for i in range(len(some))])
+    tokens = lm_scoring.Tokens.of(some, order)
+    asked = lm_scoring.needed(tokens, training)
+    keys, counts = [k for k, _ in asked], [c.astype(np.uint64) for _, c in asked]
+    n, v = int(counts[0].sum()), int((counts[0] > 0).sum())
+    machine = lm_scoring.Automaton(tokens, keys, counts, n, v, 5.0)
+    arcs = dict(zip(machine.arcs.tolist(), zip(machine.weight.tolist(), machine.target.tolist())))
+    assert len(arcs) == len(machine.arcs) and all(w in arcs for w in range(machine.words))  # the root reads any word
+    assert (machine.fail < len(machine.fail)).all() and machine.fail[0] == 0
+    longest = 0
+    by_hand = []
+    for first, length in zip(tokens.first, tokens.length):
+        state, total = machine.start, 0.0
+        for word in machine.word[first:first + length].tolist():
+            failed = 0
+            while state * machine.words + word not in arcs:
+                total += machine.fail_weight[state]
+                state = int(machine.fail[state])
+                failed += 1
+            longest = max(longest, failed)
+            weight, state = arcs[state * machine.words + word]
+            total += weight
+        by_hand.append(total)
+    assert longest == order - 1  # one failure arc after the other
+    want, *_ = brute_scores(some, training.tolist(), order, 5.0)
+    assert np.allclose(by_hand, [m for m, _ in want])
+    for lane in (1, 3, 512):
+        assert np.allclose(machine.read(tokens, order, lane)[0], by_hand)
+
+
 # 2 archives
 
 def test_archives(spark):

@@ -37,7 +37,7 @@ from epipanel.llm.common import block_count, stage, texts, words
 from epipanel.llm.hashing import hash_word, mix
 
 ORDER, MU = 2, 300.0
-BLOCK_BYTES, RANGE_BYTES, LANE = 6 << 20, 16 << 20, 512
+BLOCK_BYTES, RANGE_BYTES, LANE = 3 << 20, 16 << 20, 512
 
 _END, _START = np.uint64(0x656E64), np.uint64(0x7374617274)  # no word's hash but by chance
 _STEP = np.uint64(0x9E3779B97F4A7C15)

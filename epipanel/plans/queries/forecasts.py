@@ -414,7 +414,7 @@ def _sql_weights(n: int, step: float, passes: int) -> str:
         cte(f"{name}_points", f"""SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY w) AS i
           FROM (SELECT horizon, w, max("Date") AS last FROM ({wanted}) GROUP BY horizon, w)""", *needs)
         cte(f"{name}_daily", f"""SELECT horizon, i, "Date", sum(CASE WHEN y >= mix THEN q * (y - mix) ELSE (q - 1) * (y - mix) END) AS l, count(*) AS n,
-            {', '.join(f'sum(CASE WHEN y >= mix THEN -q ELSE 1 - q END * p{i}) AS g{i}' for i in range(n))}
+            {', '.join(f'sum(CASE WHEN y >= mix - 1e-9 THEN -q ELSE 1 - q END * p{i}) AS g{i}' for i in range(n))}
           FROM (SELECT v.*, i, {mix} AS mix FROM six_wide v JOIN {name}_points USING (horizon) WHERE "Date" <= last) GROUP BY ALL""",
             f"{name}_points", "six_wide")
         cte(f"{name}_scored", f"""SELECT horizon, "Date", w, loss, slope FROM (
@@ -461,12 +461,12 @@ def _(spark, d):
 
 @query("ensemble_forecast", f"""
   SELECT GID_2, v."Date", v.horizon, q AS quantile, 'ensemble' AS model, w.base IS NOT NULL AS ensemble_ready,
-    round(CASE WHEN w.base IS NULL THEN p0 ELSE {' + '.join(f'w.{m} * p{i}' for i, m in enumerate(_SIX))} END, 5) AS prediction, y AS Cases
+    round(CASE WHEN w.base IS NULL THEN p0 ELSE {' + '.join(f'w.{m} * p{i}' for i, m in enumerate(_SIX))} END + 1e-7, 5) AS prediction, y AS Cases
   FROM six_wide v LEFT JOIN (SELECT * REPLACE (lead("Date") OVER (PARTITION BY horizon ORDER BY "Date") AS "Date") FROM best_weights) w
     ON w.horizon = v.horizon AND w."Date" = v."Date" """, "best_weights", "six_wide")
 def _(spark, d):
     out, _weights = ensemble.create_ensemble(views.six_forecasts(spark, d), step=0.05)
-    return _tidy(out, CASES, "ensemble_ready")
+    return _tidy(_off_ties(out), CASES, "ensemble_ready")
 
 
 @query("fixed_weight_ensemble", """

@@ -157,14 +157,14 @@ def _(spark, d):
        "baseline_forecast")
 def _(spark, d):
     medians = access.pick(views.baseline_forecast(spark, d), quantile=0.5)
-    by_horizon = {h + 10: access.pick(medians, horizon=h).drop(HORIZON) for h in (1, 2)}
+    by_horizon = {h + 10: access.pick(medians, horizon=h).drop(HORIZON) for h in views.HORIZONS}
     return ensemble.stack_horizons(by_horizon).select(HORIZON, GID_2, DATE, F.round(PREDICTION, 6).alias(PREDICTION))
 
 
 @query("model_run_and_stored", """
   SELECT GID_2, "Date", horizon, quantile, round(prediction, 6) AS prediction, Cases FROM baseline_forecast""", "baseline_forecast")
 def _(spark, d):
-    out = models.run_model("baseline", views.supplier_panel(spark, d), path=_folder(spark), horizon=2)
+    out = models.run_model("baseline", views.supplier_panel(spark, d), path=_folder(spark), horizon=views.HORIZONS)
     return out.select(GID_2, DATE, HORIZON, QUANTILE, F.round(PREDICTION, 6).alias(PREDICTION), F.col(CASES).cast("double").alias(CASES))
 
 

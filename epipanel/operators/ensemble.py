@@ -12,6 +12,9 @@ from epipanel.operators.calibrate import lift_tiny_violations
 from epipanel.schema import CASES, DATE, GID_2, HORIZON, MODEL, PREDICTION, QUANTILE, spread
 from epipanel.sources.stage import stage
 
+# differences of mean losses and slopes up to this are rounding
+NOISE = 1e-8
+
 
 def stack_models(forecasts: dict[str, DataFrame] | Sequence[DataFrame]) -> DataFrame:
     """One table of several forecasts with a ``model`` column (``model_0``, ... without names)."""
@@ -90,13 +93,16 @@ def _transfer(n: int) -> Column:
     Null when no transfer can lower the loss.
     """
     held = F.zip_with("_w", "_slope", lambda w, g: F.when(w > 0, g))
-    source, target = F.array_position(held, F.array_max(held)) - 1, F.array_position("_slope", F.array_min("_slope")) - 1
+    highest, lowest = F.array_max(held), F.array_min("_slope")
+    # of slopes that are equal but for rounding the first model's
+    source = F.array_position(F.transform(held, lambda g: g >= highest - NOISE), F.lit(True)) - 1
+    target = F.array_position(F.transform("_slope", lambda g: g <= lowest + NOISE), F.lit(True)) - 1
     amount = F.least(F.col("_h"), F.get("_w", source.cast("int")))
     moved = F.transform("_w", lambda w, i: F.round(F.when(i == target, w + amount).when(i == source, w - amount).otherwise(w), 12))
-    return F.when(F.array_max(held) > F.array_min("_slope"), moved)
+    return F.when(highest > lowest + NOISE, moved)
 
 
-def train_weights(df: DataFrame, models: Sequence[str], step: float = 0.05, max_passes: int = 64) -> DataFrame:
+def train_weights(df: DataFrame, models: Sequence[str], step: float = 0.05, max_passes: int = 24) -> DataFrame:
     """Weights per date that are best over all dates up to it.
 
     The loss is the mean pinball loss of the weighted forecast. It is convex in the weights and a sum over dates, so one
@@ -104,8 +110,8 @@ def train_weights(df: DataFrame, models: Sequence[str], step: float = 0.05, max_
     weights and single models. Then weight is moved from the model with the highest slope to the one with the lowest, by
     up to 1/2 at first; where that does not lower the loss, the move is halved, until one of at most ``step`` fails. All dates
     search at once: a pass evaluates the distinct points that they want next, so its cost does not depend on the number of
-    weight vectors there are, and the plan does not grow with it. ``max_passes`` only guards against endless runs: when it is
-    reached an error is raised.
+    weight vectors there are, and the plan does not grow with it. After ``max_passes`` passes dates keep the best point they
+    have come to; ``gap`` tells how good it is.
 
     A region counts from the date on which every model has it, with all its history. Where a model lacks rows the others
     have, weights are equal. Returns long rows ``Date, model, weight, loss, gap`` (and horizon). ``gap`` bounds by how much the mean loss is
@@ -160,7 +166,7 @@ def _search(known: DataFrame, cutoffs: DataFrame, by: list[str], n: int, step: f
     scored = _losses(known, by, points, n).join(points.select(*by, "_i", "_w"), [*by, "_i"])
     # of equal losses equal weights come first, then the earlier model
     rank = F.when(F.col("_w")[0] == 1.0 / n, 0).otherwise(F.array_position("_w", F.lit(1.0))) if n > 1 else F.lit(0)
-    state = scored.groupBy(*by, DATE).agg(F.min_by(F.struct("_w", "_loss", "_slope"), F.struct(F.col("_loss"), rank.alias("r"))).alias("_s"))
+    state = scored.groupBy(*by, DATE).agg(F.min_by(F.struct("_w", "_loss", "_slope"), F.struct(F.round("_loss", 7), rank.alias("r"))).alias("_s"))
     state = state.select(*by, DATE, "_s.*", F.lit(0.5).alias("_h"), F.lit(False).alias("_done"))
     for _ in range(max_passes):
         state = stage(state.withColumn("_next", F.when(~F.col("_done"), _transfer(n))))
@@ -170,7 +176,7 @@ def _search(known: DataFrame, cutoffs: DataFrame, by: list[str], n: int, step: f
         points = numbered(wanted)
         there = _losses(known, by, points, n).join(points.select(*by, "_i", "_w"), [*by, "_i"]).select(
             *by, DATE, F.col("_w").alias("_next"), F.col("_loss").alias("_l2"), F.col("_slope").alias("_s2"))
-        better = F.coalesce(F.col("_l2") < F.col("_loss"), F.lit(False))
+        better = F.coalesce(F.col("_l2") < F.col("_loss") - NOISE, F.lit(False))
         halved = ~better & ~F.col("_done")
         state = state.join(there, [*by, DATE, "_next"], "left").select(
             *by, DATE, F.when(better, F.col("_next")).otherwise(F.col("_w")).alias("_w"),
@@ -178,7 +184,7 @@ def _search(known: DataFrame, cutoffs: DataFrame, by: list[str], n: int, step: f
             F.when(better, F.col("_s2")).otherwise(F.col("_slope")).alias("_slope"),
             F.when(halved, F.col("_h") / 2).otherwise(F.col("_h")).alias("_h"),
             (F.col("_done") | F.col("_next").isNull() | (halved & (F.col("_h") <= step))).alias("_done"))
-    raise RuntimeError(f"weights still move after {max_passes} passes")
+    return state.select(*by, DATE, "_w", "_loss", "_slope")
 
 
 def apply_weights(df: DataFrame, weights: DataFrame, models: Sequence[str], lag: int = 1,

@@ -426,14 +426,15 @@ def _sql_weights(n: int, step: float, passes: int) -> str:
     rank = f"CASE WHEN w[1] = {1.0 / n!r} THEN 0 ELSE list_position(w, 1.0) END"
     moved = "list_transform(w, lambda x, i: round(CASE WHEN i = target THEN x + least(h, w[source]) WHEN i = source THEN x - least(h, w[source]) ELSE x END, 12))"
     before = f"""SELECT horizon, "Date", w, loss, slope, 0.5::DOUBLE AS h, false AS done FROM (
-        SELECT *, row_number() OVER (PARTITION BY horizon, "Date" ORDER BY loss, {rank}) AS r FROM start_scored) WHERE r = 1"""
+        SELECT *, row_number() OVER (PARTITION BY horizon, "Date" ORDER BY round(loss, 7), {rank}) AS r FROM start_scored) WHERE r = 1"""
     needs = "start_scored"
     for k in range(passes):
-        cte(f"state{k}", f"""SELECT * EXCLUDE (held, source, target), CASE WHEN NOT done AND list_max(held) > list_min(slope) THEN {moved} END AS nxt FROM (
-            SELECT *, list_position(held, list_max(held)) AS source, list_position(slope, list_min(slope)) AS target FROM (
+        cte(f"state{k}", f"""SELECT * EXCLUDE (held, source, target), CASE WHEN NOT done AND list_max(held) > list_min(slope) + 1e-8 THEN {moved} END AS nxt FROM (
+            SELECT *, list_position(list_transform(held, lambda g: g >= list_max(held) - 1e-8), true) AS source,
+              list_position(list_transform(slope, lambda g: g <= list_min(slope) + 1e-8), true) AS target FROM (
               SELECT *, list_transform(w, lambda x, i: CASE WHEN x > 0 THEN slope[i] END) AS held FROM ({before})))""", needs)
         score(f"pass{k}", f"""SELECT horizon, "Date", nxt AS w FROM state{k} WHERE nxt IS NOT NULL""", f"state{k}")
-        better = "coalesce(t.loss < s.loss, false)"
+        better = "coalesce(t.loss < s.loss - 1e-8, false)"
         before = f"""SELECT s.horizon, s."Date", CASE WHEN {better} THEN nxt ELSE s.w END AS w, CASE WHEN {better} THEN t.loss ELSE s.loss END AS loss,
             CASE WHEN {better} THEN t.slope ELSE s.slope END AS slope, CASE WHEN {better} OR done THEN h ELSE h / 2 END AS h,
             done OR nxt IS NULL OR (NOT {better} AND h <= {step}) AS done
@@ -443,7 +444,7 @@ def _sql_weights(n: int, step: float, passes: int) -> str:
 
 
 _SIX = views.SIX_MODELS
-_PASSES = 24
+_PASSES = 24  # as many as the operator makes at most
 cte("best_weights", f"""SELECT horizon, "Date", {', '.join(f'w[{i + 1}] AS {m}' for i, m in enumerate(_SIX))}
   FROM ({_sql_weights(len(_SIX), 0.05, _PASSES)})""", f"pass{_PASSES - 1}_scored")
 

@@ -33,7 +33,7 @@ HEADLINE = [
     "seasonal_average",
     "wis_at_standard_levels",
     "residual_quantiles",
-    "ensemble_weights",
+    "smoothing_backtest_by_country",
     "exponential_average",
     "rsi_features",
     "seasonal_autoregression_pooled",

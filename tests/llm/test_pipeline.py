@@ -28,7 +28,7 @@ def test_empty_and_odd_documents(spark, small, tmp_path):
     assert docs.count() == 0
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_each_number_has_a_query(number):
     assert sum(n.startswith(f"op{number}_") for n in entry.queries()) == 1
 

@@ -6,7 +6,7 @@ drawn from one bucket needs no padding and no sequence crosses documents.
 
 Sequences are numbered from 0 by bucket, longest first: each task numbers its own pieces per bucket, and after they are
 written, the pieces of earlier tasks and longer buckets are added. Nothing is shuffled but those counts, of which there
-is one per task and bucket.
+is one per task and bucket, unless they outgrow Spark's own limit for a broadcast.
 
 Cases. Null and empty texts are documents of the end id alone: one piece of length 1. Repeated rows are documents of
 their own. A null ``doc_id`` stays null. Empty tables give empty results.
@@ -69,10 +69,13 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, longest: int = 1024,
     """``pieces`` with ``bucket`` (the length's exponent), ``sequence_id`` and ``offset`` (always 0: one piece each)."""
     found = stage(pieces(docs, vocabulary, end_id, longest, with_ids))
     counts = found.groupBy("length", "part").agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.col("length").desc(), "part")
-    before = counts.select("length", "part", (F.sum("n").over(order) - F.col("n")).alias("before"))
-    # one row per task and length, so the broadcast is bounded by the number of tasks
-    return (found.join(F.broadcast(before), ["length", "part"])
+    own = counts.withColumn("inside", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n"))
+    # one row per length
+    buckets = counts.groupBy("length").agg(F.sum("n").alias("all"))
+    longer = buckets.select("length", (F.sum("all").over(Window.orderBy(F.col("length").desc())) - F.col("all")).alias("longer"))
+    # one row per task and length; stored, so that Spark knows its size and broadcasts it only while it is small
+    before = stage(own.join(longer, "length").select("length", "part", (F.col("inside") + F.col("longer")).alias("before")))
+    return (found.join(before, ["length", "part"])
             .withColumn("sequence_id", F.col("before") + F.col("place"))
             .withColumn("offset", F.lit(0).cast("long"))
             .withColumn("bucket", F.log2(F.col("length").cast("double")).cast("int"))

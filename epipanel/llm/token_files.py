@@ -10,9 +10,9 @@ Format, little-endian. A file is a run of blocks, then a table of block starts,
 A block's width is the least that holds the given share of its values; those that need more are exceptions. Block i
 starts at id i * block size, so a reader finds any id by the table alone.
 
-Ids of documents lie in ascending ``doc_id`` order (nulls first; among equal ids in the order of the texts), each
-document closed by the end id. Documents are range-partitioned by ``doc_id``, each task writes one file under a name
-of its own attempt, and the index that the tasks return (file, first id, documents) names only files of tasks that
+Ids of documents lie in ascending ``doc_id`` order (nulls first; among equal ids in the order of the texts' first 64
+characters, then of their hashes), each document closed by the end id. Documents are range-partitioned in that order, so
+rows of one id need not share a task; each task writes one file under a name of its own attempt, and the index that the tasks return (file, first id, documents) names only files of tasks that
 succeeded. A document's end need not be guessed from its ids: the index holds the lengths.
 
 Cases. Null and empty texts have the end id alone. Repeated rows are written again. Empty tables give no rows.
@@ -164,15 +164,21 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1, run_id
                 yield told()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    ranged = texts(docs).repartitionByRange(parts, *order[:1]).sortWithinPartitions(*order)
+    # the start of the text and its hash split the rows of one id, without texts among the sampled bounds
+    order = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64), F.xxhash64("text"), F.col("text")]
+    ranged = texts(docs).repartitionByRange(parts, *order[:3]).sortWithinPartitions(*order)
     return stage(ranged.mapInArrow(run, schema))
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:
     """``doc_id``, ``start`` (ids of all documents before it), ``n_tokens`` and ``ids_crc32``, from the files."""
-    totals = index.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    totals = index.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("group", F.floor(F.col("part") / 1024))
+    groups = totals.groupBy("group").agg(F.sum("n").alias("all"))
+    earlier = groups.select("group", (F.sum("all").over(Window.orderBy("group")) - F.col("all")).alias("earlier"))
+    inside = F.sum("n").over(Window.partitionBy("group").orderBy("part")) - F.col("n")
+    # one row per file; stored, so that Spark knows its size and broadcasts it only while it is small
+    before = stage(totals.withColumn("inside", inside).join(earlier, "group")
+                   .select("part", (F.col("inside") + F.col("earlier")).alias("before")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
@@ -197,8 +203,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                                        pa.array(row["lengths"], pa.int64()), pa.array(crcs, pa.int64())],
                                       ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # one row per file, so the broadcast is bounded by the number of tasks that wrote
-    placed = index.join(F.broadcast(before), "part")
+    placed = index.join(before, "part")
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

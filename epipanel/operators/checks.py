@@ -59,10 +59,10 @@ def active_regions(df: DataFrame, start: str | None = None, end: str | None = No
     return df.groupBy(GID_2).agg(hit.alias("active"))
 
 
-def outlier_regions(forecast: DataFrame, limit: float = 100e6) -> DataFrame:
-    """Regions with a missing or absurdly large prediction, per horizon."""
+def outlier_regions(forecast: DataFrame, limit: float = 100e6, keys: Sequence[str] = (HORIZON,)) -> DataFrame:
+    """Regions with a missing or absurdly large prediction, per horizon or other keys."""
     return (
-        forecast.groupBy(HORIZON, GID_2)
+        forecast.groupBy(*keys, GID_2)
         .agg(F.bool_or(F.col(PREDICTION).isNull()).alias("has_null"),
              F.coalesce(F.bool_or(F.col(PREDICTION) > limit), F.lit(False)).alias("too_large"))
         .where("has_null or too_large")

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epipanel.operators import calibrate, checks, covariates, ensemble, features, panel, scoring
+from epipanel.operators import calibrate, checks, covariates, ensemble, features, panel, residual_regression, scoring
+from epipanel.operators.access import pick
 from epipanel.operators.models import run_model
-from epipanel.schema import CASES, DATE, GID_2, QUANTILE_LEVELS
+from epipanel.operators.summaries import delta_by_horizon
+from epipanel.schema import CASES, DATE, GID_1, GID_2, HORIZON, MODEL, QUANTILE_LEVELS
 from epipanel.sources.registry import SourceRegistry
 from epipanel.sources.tables import read_table, write_csv, write_table
 
@@ -59,3 +61,83 @@ def combine_and_score(forecasts: dict[str, DataFrame], path: str, step: float =
     scores = scoring.model_wis(scored.where(F.col(CASES).isNotNull()), QUANTILE_LEVELS)
     write_csv(scores, f"{path}/wis")
     return scores
+
+
+ADJUSTED = "_adjusted"
+METRICS = ("R2", "RMSE", "WIS")
+PARTS = ("mean", "std", "q25", "q50", "q75")
+
+
+def adjust_forecasts(forecasts: dict[str, DataFrame], embeddings: DataFrame, path: str, window: int | None = 24,
+                     horizons: Sequence[int] | None = None, method: str = "pinball") -> dict[str, DataFrame]:
+    """Each model's errors regressed on the region features, as stored forecasts named ``<model>_adjusted``.
+
+    Regions without features are left out; of several vectors of one region, one stays.
+    """
+    out = {}
+    one_each = embeddings.dropDuplicates([GID_2])
+    for name, df in forecasts.items():
+        known = covariates.keep_regions_with(df, one_each)
+        fixed = residual_regression.residual_regression(known, one_each, method=method, window=window, horizons=horizons)
+        stored = write_table(fixed, f"{path}/{name}{ADJUSTED}_cases_quantiles")
+        out[name + ADJUSTED] = read_table(df.sparkSession, stored)
+    return out
+
+
+def score_forecasts(forecasts: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
+    """Scores on the log1p scale as stored tables.
+
+    ``wis``: every forecast. ``region_scores``: R2, RMSE and mean WIS per region. ``model_performance``: how each metric
+    spreads over the regions (mean, deviation, quartiles), and over all forecasts at once (``_flat``).
+    ``model_performance_regression``: R2 and RMSE of regional means. RMSE is in counts throughout.
+    """
+    stacked = ensemble.stack_models(forecasts)
+    spark = stacked.sparkSession
+    rows = read_table(spark, write_table(stacked.where(F.col(CASES).isNotNull()), f"{path}/scored_cases_quantiles"))
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        return read_table(spark, write_table(df, f"{path}/{name}"))
+
+    by_model = [MODEL, HORIZON]
+    wis = stored(scoring.model_wis(rows, QUANTILE_LEVELS), "wis")
+    points = scoring.point_scores(rows, keys=[*by_model, GID_2], transform=F.log1p).withColumn("RMSE", F.expm1("RMSE"))
+    mean_wis = wis.groupBy(*by_model, GID_2).agg(F.avg("WIS").alias("WIS"))
+    regions = stored(points.join(mean_wis, [*by_model, GID_2], "full"), "region_scores")
+    spread = scoring.score_distribution(regions, METRICS).groupBy(*by_model).agg(
+        *[F.max(F.when(F.col("metric") == m, F.col(p))).alias(f"{m}_{p}") for m in METRICS for p in PARTS])
+    flat = scoring.point_scores(pick(rows, quantile=0.5), keys=by_model, transform=F.log1p).select(
+        *by_model, F.col("R2").alias("R2_flat"), F.expm1("RMSE").alias("RMSE_flat"))
+    return {
+        "wis": wis, "region_scores": regions, "model_performance": stored(spread.join(flat, by_model, "full"), "model_performance"),
+        "model_performance_regression": stored(scoring.regression_table(rows), "model_performance_regression")}
+
+
+def compare_adjusted(scores: dict[str, DataFrame], base: str, path: str) -> dict[str, DataFrame]:
+    """A model against its adjusted forecasts, as stored tables.
+
+    ``change_by_horizon``: of each metric's median over the regions. ``wis_change``: of every forecast that both have,
+    with the counts and the state.
+    """
+    def of(table: str, name: str) -> DataFrame:
+        return scores[table].where(F.col(MODEL) == name)
+
+    adjusted = base + ADJUSTED
+    spark = scores["wis"].sparkSession
+    change = delta_by_horizon(of("model_performance", base), of("model_performance", adjusted), [f"{m}_q50" for m in METRICS])
+    keys = [GID_2, DATE, HORIZON]
+    truth = of("wis", adjusted).select(*keys, F.expm1(CASES).alias(CASES))
+    each = scoring.compare_scores(of("wis", base), of("wis", adjusted), ["WIS"], keys).join(truth, keys)
+    each = each.withColumn(GID_1, F.regexp_replace(GID_2, r"\.[^.]*_", "_"))
+    return {name: read_table(spark, write_table(df, f"{path}/{base}_{name}"))
+            for name, df in (("change_by_horizon", change), ("wis_change", each))}
+
+
+def report_suspects(forecasts: dict[str, DataFrame], model_input: DataFrame, path: str, before: str,
+                    limit: float = 100e6) -> dict[str, DataFrame]:
+    """What to look at by hand, as stored tables: regions with missing or absurdly large predictions per model and horizon,
+    and covariates that never change in a region before a date."""
+    spark = model_input.sparkSession
+    odd = checks.outlier_regions(ensemble.stack_models(forecasts), limit, [MODEL, HORIZON])
+    names = [c for c in model_input.columns if c not in (DATE, GID_1, GID_2, "future", CASES)]
+    still = checks.static_covariates(model_input, names, before)
+    return {name: read_table(spark, write_table(df, f"{path}/{name}")) for name, df in (("outliers", odd), ("static_covariates", still))}

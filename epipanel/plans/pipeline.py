@@ -84,8 +84,11 @@ def adjust_forecasts(forecasts: dict[str, DataFrame], embeddings: DataFrame, pat
     return out
 
 
-def score_forecasts(forecasts: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
-    """Scores on the log1p scale as stored tables.
+SCORE_TABLES = ("wis", "region_scores", "model_performance", "model_performance_regression")
+
+
+def score_forecasts(forecasts: dict[str, DataFrame], path: str, tables: Sequence[str] = SCORE_TABLES) -> dict[str, DataFrame]:
+    """Scores on the log1p scale as stored tables, those named and the ones they need.
 
     ``wis``: every forecast. ``region_scores``: R2, RMSE and mean WIS per region. ``model_performance``: how each metric
     spreads over the regions (mean, deviation, quartiles), and over all forecasts at once (``_flat``).
@@ -99,37 +102,38 @@ def score_forecasts(forecasts: dict[str, DataFrame], path: str) -> dict[str, Dat
         return read_table(spark, write_table(df, f"{path}/{name}"))
 
     by_model = [MODEL, HORIZON]
-    wis = stored(scoring.model_wis(rows, QUANTILE_LEVELS), "wis")
-    points = scoring.point_scores(rows, keys=[*by_model, GID_2], transform=F.log1p).withColumn("RMSE", F.expm1("RMSE"))
-    mean_wis = wis.groupBy(*by_model, GID_2).agg(F.avg("WIS").alias("WIS"))
-    regions = stored(points.join(mean_wis, [*by_model, GID_2], "full"), "region_scores")
-    spread = scoring.score_distribution(regions, METRICS).groupBy(*by_model).agg(
-        *[F.max(F.when(F.col("metric") == m, F.col(p))).alias(f"{m}_{p}") for m in METRICS for p in PARTS])
-    flat = scoring.point_scores(pick(rows, quantile=0.5), keys=by_model, transform=F.log1p).select(
-        *by_model, F.col("R2").alias("R2_flat"), F.expm1("RMSE").alias("RMSE_flat"))
-    return {
-        "wis": wis, "region_scores": regions, "model_performance": stored(spread.join(flat, by_model, "full"), "model_performance"),
-        "model_performance_regression": stored(scoring.regression_table(rows), "model_performance_regression")}
-
-
-def compare_adjusted(scores: dict[str, DataFrame], base: str, path: str) -> dict[str, DataFrame]:
-    """A model against its adjusted forecasts, as stored tables.
-
-    ``change_by_horizon``: of each metric's median over the regions. ``wis_change``: of every forecast that both have,
-    with the counts and the state.
-    """
-    def of(table: str, name: str) -> DataFrame:
-        return scores[table].where(F.col(MODEL) == name)
+    out = {}
+    if set(tables) - {"model_performance_regression"}:
+        out["wis"] = stored(scoring.model_wis(rows, QUANTILE_LEVELS), "wis")
+    if {"region_scores", "model_performance"} & set(tables):
+        points = scoring.point_scores(rows, keys=[*by_model, GID_2], transform=F.log1p).withColumn("RMSE", F.expm1("RMSE"))
+        mean_wis = out["wis"].groupBy(*by_model, GID_2).agg(F.avg("WIS").alias("WIS"))
+        out["region_scores"] = stored(points.join(mean_wis, [*by_model, GID_2], "full"), "region_scores")
+    if "model_performance" in tables:
+        spread = scoring.score_distribution(out["region_scores"], METRICS).groupBy(*by_model).agg(
+            *[F.max(F.when(F.col("metric") == m, F.col(p))).alias(f"{m}_{p}") for m in METRICS for p in PARTS])
+        flat = scoring.point_scores(pick(rows, quantile=0.5), keys=by_model, transform=F.log1p).select(
+            *by_model, F.col("R2").alias("R2_flat"), F.expm1("RMSE").alias("RMSE_flat"))
+        out["model_performance"] = stored(spread.join(flat, by_model, "full"), "model_performance")
+    if "model_performance_regression" in tables:
+        out["model_performance_regression"] = stored(scoring.regression_table(rows), "model_performance_regression")
+    return out
+
+
+def change_by_horizon(performance: DataFrame, base: str, path: str) -> DataFrame:
+    """Change of each metric's median over the regions, per horizon: adjusted minus base, as a stored table."""
+    of = lambda name: performance.where(F.col(MODEL) == name)
+    change = delta_by_horizon(of(base), of(base + ADJUSTED), [f"{m}_q50" for m in METRICS])
+    return read_table(performance.sparkSession, write_table(change, f"{path}/{base}_change_by_horizon"))
+
 
-    adjusted = base + ADJUSTED
-    spark = scores["wis"].sparkSession
-    change = delta_by_horizon(of("model_performance", base), of("model_performance", adjusted), [f"{m}_q50" for m in METRICS])
+def wis_change(wis: DataFrame, base: str, path: str) -> DataFrame:
+    """Scores of every forecast that a model and its adjusted one both have, with counts and state, as a stored table."""
     keys = [GID_2, DATE, HORIZON]
-    truth = of("wis", adjusted).select(*keys, F.expm1(CASES).alias(CASES))
-    each = scoring.compare_scores(of("wis", base), of("wis", adjusted), ["WIS"], keys).join(truth, keys)
+    old, new = wis.where(F.col(MODEL) == base), wis.where(F.col(MODEL) == base + ADJUSTED)
+    each = scoring.compare_scores(old, new, ["WIS"], keys).join(new.select(*keys, F.expm1(CASES).alias(CASES)), keys)
     each = each.withColumn(GID_1, F.regexp_replace(GID_2, r"\.[^.]*_", "_"))
-    return {name: read_table(spark, write_table(df, f"{path}/{base}_{name}"))
-            for name, df in (("change_by_horizon", change), ("wis_change", each))}
+    return read_table(wis.sparkSession, write_table(each, f"{path}/{base}_wis_change"))
 
 
 def report_suspects(forecasts: dict[str, DataFrame], model_input: DataFrame, path: str, before: str,

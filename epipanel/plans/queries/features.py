@@ -197,6 +197,29 @@ def _(spark, d):
                    "log_cases_slope_12m", "log_cases_12m_trend")
 
 
+def _early(column, window, agg="avg", back=0):
+    """A rolling column from its first value on, 0 before."""
+    last = "CURRENT ROW" if back == 0 else f"{back} PRECEDING"
+    return f"round(coalesce({agg}({column}) OVER {_frame(window - 1 + back, last)}, 0), 6)"
+
+
+@query("full_features_filled", f"""
+  SELECT GID_2, "Date", {", ".join(f"round(coalesce(lag({c}, {k}) OVER {_REGION}, 0), 6) AS {c}_lag_{k}" for c, k in _LAGS)},
+    round(coalesce(SPI6, 0), 6) AS spi6_lag_0, round(coalesce(TotalONI, 0), 6) AS oni_lag_0,
+    {_early("TotalONI", 6)} AS oni_6m_lag_0, {_early("TotalONI", 12)} AS oni_12m_lag_0, coalesce(pop_count, 0) AS pop_lag_0,
+    round(coalesce(log_cases_lag_1, 0), 6) AS log_cases_lag_1, {_early("Log_Cases", 12, back=1)} AS log_cases_12m_ma,
+    {_early("Log_Cases", 24, back=1)} AS log_cases_24m_ma, {_early("Log_Cases", 48, back=1)} AS log_cases_48m_ma,
+    {_early("Log_Cases", 12, "sum", 1)} AS log_cases_12m_cum, round(coalesce(slope, 0), 6) AS log_cases_slope,
+    {_early("slope", 6)} AS log_cases_slope_6m, {_early("slope", 12)} AS log_cases_slope_12m
+  FROM (SELECT *, log_cases_lag_1 - lag(log_cases_lag_1) OVER {_REGION} AS slope
+        FROM (SELECT *, lag(Log_Cases) OVER {_REGION} AS log_cases_lag_1 FROM log_panel))""", "log_panel")
+def _(spark, d):
+    out = features.full_features(views.covariate_panel(spark, d), min_periods=1, fill=0.0)
+    return rounded(out, *[f"{c}_lag_{k}" for c, k in _LAGS], "spi6_lag_0", "oni_lag_0", "oni_6m_lag_0", "oni_12m_lag_0", "log_cases_lag_1",
+                   "log_cases_12m_ma", "log_cases_24m_ma", "log_cases_48m_ma", "log_cases_12m_cum", "log_cases_slope",
+                   "log_cases_slope_6m", "log_cases_slope_12m", "pop_lag_0")
+
+
 @query("default_covariates", f"""
   SELECT GID_2, "Date", CAST(month("Date") AS INTEGER) AS "MONTH", round(Log_Cases, 6) AS Log_Cases,
     round(lag(Log_Cases) OVER {_REGION}, 6) AS lag_1_log_cases, round(tmin_roll_2, 6) AS tmin_roll_2,

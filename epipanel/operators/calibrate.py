@@ -41,7 +41,8 @@ def residual_quantiles(df: DataFrame, levels: Sequence[float] = QUANTILE_LEVELS,
         (F.log1p(F.col(CASES).cast("double")) - point).alias("_e"),
         period_index(F.col(DATE), "D").alias("_t"),
     )
-    rows = add_history_quantiles(rows, keys, "_t", "_e", levels, "_own", before=True, most=window)
+    rows = add_history_quantiles(rows, keys, "_t", "_e", levels, "_own", before=True, most=window,
+                                 rows=df.count() * len(levels))
     rows = rows.withColumn("_own", F.when(F.col("_own_n") >= min_history, F.col("_own"))).drop("_own_n")
     if pool:
         # the pool reads these rows several times

@@ -1,9 +1,12 @@
 """Steps whose memory, spill or disk once grew faster than their tables."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
-from epipanel.operators import covariates
-from epipanel.schema import GID_2
+from epipanel import schema
+from epipanel.operators import baseline, covariates
+from epipanel.schema import DATE, GID_2
 
 
 def plan_of(df, capsys):
@@ -20,3 +23,18 @@ def test_embeddings_are_the_hashed_side(spark, capsys):
     plan = plan_of(out, capsys)
     assert "ShuffledHashJoin" in plan and "BuildRight" in plan and "Broadcast" not in plan
     assert out.count() == 10
+
+
+def panel_of(spark, regions, periods=20):
+    rows = [(f"r{g}", dt.date(2020 + i // 12, i % 12 + 1, 28), float((g * 7 + i * i) % 11)) for g in range(regions) for i in range(periods)]
+    return spark.createDataFrame(rows, f"{GID_2} string, {DATE} date, Cases double")
+
+
+def test_forecast_has_parts_by_its_rows(spark, monkeypatch):
+    panel = panel_of(spark, 40)
+    whole = baseline.baseline(panel, [1, 3])
+    monkeypatch.setattr(schema, "PART_ROWS", 400)
+    small = baseline.baseline(panel, [1, 3])
+    # 40 regions, 20 dates, 2 horizons, 13 levels
+    assert small.rdd.getNumPartitions() == 52 > whole.rdd.getNumPartitions()
+    assert sorted(map(str, small.collect())) == sorted(map(str, whole.collect()))

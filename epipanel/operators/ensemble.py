@@ -49,9 +49,12 @@ def in_all_models(df: DataFrame, column: str, n_models: int) -> DataFrame:
 
 
 def common_part(df: DataFrame, n_models: int) -> DataFrame:
-    """Rows whose quantile level and date every model has."""
+    """Rows whose quantile level and date every model has.
+
+    Levels and dates are few and stored first: of a known size they are broadcast, and the forecasts are not shuffled for them.
+    """
     for column in (QUANTILE, DATE):
-        df = df.join(in_all_models(df, column, n_models), [*_by(df), column], "left_semi")
+        df = df.join(stage(in_all_models(df, column, n_models)), [*_by(df), column], "left_semi")
     return df
 
 
@@ -120,7 +123,7 @@ def train_weights(df: DataFrame, models: Sequence[str], step: float = 0.05, max_
     by, n = _by(df), len(models)
     rows = df.where(F.col(MODEL).isin(*models)).dropna(subset=[PREDICTION, CASES])
     # one shuffle by region serves the pivot and the entry dates
-    wide = spread(rows, *by, GID_2).groupBy(*by, GID_2, DATE, QUANTILE).agg(
+    wide = spread(rows, *by, GID_2, rows=df.count()).groupBy(*by, GID_2, DATE, QUANTILE).agg(
         *[F.max(F.when(F.col(MODEL) == m, F.col(PREDICTION))).alias(f"_p{i}") for i, m in enumerate(models)],
         F.max_by(F.col(CASES).cast("double"), -F.array_position(F.array(*map(F.lit, models)), F.col(MODEL))).alias("_y"))
     region = Window.partitionBy(*by, GID_2)
@@ -200,11 +203,12 @@ def apply_weights(df: DataFrame, weights: DataFrame, models: Sequence[str], lag:
     dates = df.select(*by, DATE).distinct().withColumn("_r", F.dense_rank().over(window))
     then = dates.select(*by, F.col(DATE).alias("_then"), (F.col("_r") + lag).alias("_r"))
     shift = dates.join(then, [*by, "_r"]).drop("_r")
-    due = shift.join(weights.withColumnRenamed(DATE, "_then"), [*by, "_then"]).drop("_then")
-    ready = shift.join(weights.withColumnRenamed(DATE, "_then").select(*by, "_then").distinct(), [*by, "_then"])
+    # one row per date and model: stored, so that their size is known and the forecasts are not shuffled for them
+    due = stage(shift.join(weights.withColumnRenamed(DATE, "_then"), [*by, "_then"]).drop("_then"))
+    ready = stage(shift.join(weights.withColumnRenamed(DATE, "_then").select(*by, "_then").distinct(), [*by, "_then"]))
     lead = F.col(MODEL) == models[0]
     mixed = (
-        df.where(F.col(MODEL).isin(*models))
+        spread(df.where(F.col(MODEL).isin(*models)), *by, GID_2, rows=df.count())
         .join(due, [*by, DATE, MODEL], "left")
         .groupBy(*by, GID_2, DATE, QUANTILE)
         .agg(F.sum(F.col("weight") * F.col(PREDICTION)).alias("_mix"),

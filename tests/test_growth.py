@@ -2,10 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from epipanel import schema
-from epipanel.operators import baseline, covariates
+from epipanel.operators import baseline, covariates, residual_regression
 from epipanel.schema import DATE, GID_2
 
 
@@ -38,3 +39,25 @@ def test_forecast_has_parts_by_its_rows(spark, monkeypatch):
     # 40 regions, 20 dates, 2 horizons, 13 levels
     assert small.rdd.getNumPartitions() == 52 > whole.rdd.getNumPartitions()
     assert sorted(map(str, small.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_noise_has_parts_by_its_numbers(spark, monkeypatch):
+    vectors = spark.createDataFrame([(f"r{g}", [0.0] * 8) for g in range(10)], f"{GID_2} string, embedding array<float>")
+    whole = residual_regression.noise_embeddings(vectors, reps=5)
+    monkeypatch.setattr(schema, "PART_ROWS", 20)
+    many = residual_regression.noise_embeddings(vectors, reps=5)
+    assert many.rdd.getNumPartitions() == 20
+    assert sorted(map(str, many.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_regression_has_parts_by_what_comes_out(spark, monkeypatch):
+    forecast = panel_of(spark, 10).withColumn("prediction", F.col("Cases") + F.col("Cases") % 3)
+    vectors = spark.createDataFrame([(f"r{g}", k, [float(g % 4), float(k + g) / 5]) for g in range(10) for k in range(6)],
+                                    f"{GID_2} string, rep int, embedding array<float>")
+    monkeypatch.setattr(schema, "PART_ROWS", 100)
+    out = residual_regression.residual_regression(forecast, vectors, method="ridge", window=6)
+    # 200 rows by 6 repetitions; a repetition alone gives the same
+    assert out.rdd.getNumPartitions() == 12
+    one = residual_regression.residual_regression(forecast, vectors.where("rep = 2").drop("rep"), method="ridge", window=6)
+    ordered = lambda df: [r["prediction"] for r in df.orderBy(GID_2, DATE).collect()]
+    assert ordered(out.where("rep = 2")) == pytest.approx(ordered(one))

@@ -12,6 +12,7 @@ from epipanel.functions.scalars import is_finite, pinball, to_number
 from epipanel.operators.access import filter_equal, pick
 from epipanel.operators.quantiles import exact_quantiles
 from epipanel.schema import CASES, DATE, GID_2, HORIZON, MODEL, PREDICTION, QUANTILE
+from epipanel.sources.stage import stage
 
 Transform = Callable[[Column], Column]
 
@@ -22,7 +23,7 @@ def forecast_keys(df: DataFrame) -> list[str]:
 
 
 def _prepared(df: DataFrame, pred: str, truth: str, transform: Transform | None,
-              log1p_scale: bool, clamp: bool, keys: Sequence[str]) -> DataFrame:
+              log1p_scale: bool, clamp: bool, keys: Sequence[str], levels: Sequence[float] = ()) -> DataFrame:
     p, y = to_number(F.col(pred)), to_number(F.col(truth))
     if transform is not None:
         p, y = transform(p), transform(y)
@@ -30,7 +31,11 @@ def _prepared(df: DataFrame, pred: str, truth: str, transform: Transform | None,
         p = F.when(p.isNotNull(), F.greatest(p, F.lit(0.0)))
     if log1p_scale:
         p, y = F.when(p.isNotNull(), F.log1p(F.greatest(p, F.lit(0.0)))), F.log1p(y)
-    return df.select(*keys, F.round(to_number(F.col(QUANTILE)), 6).alias("_q"), p.alias("_p"), y.alias("_y"))
+    level = to_number(F.col(QUANTILE))
+    q = F.round(level, 6)
+    if levels:  # rounded already; rounding goes through decimals and costs more than the rest of the row
+        q = F.when(level.isin(*levels), level).otherwise(q)
+    return df.select(*keys, q.alias("_q"), p.alias("_p"), y.alias("_y"))
 
 
 def wis(df: DataFrame, pred: str = PREDICTION, truth: str = CASES, keys: Sequence[str] | None = None,
@@ -91,20 +96,23 @@ def wis_at_levels(df: DataFrame, levels: Sequence[float], pred: str = PREDICTION
     levels = sorted(round(q, 6) for q in levels)
     if 0.5 not in levels:
         raise ValueError("levels must include 0.5")
-    rows = _prepared(df, pred, truth, transform, log1p_scale, clamp, keys)
+    rows = _prepared(df, pred, truth, transform, log1p_scale, clamp, keys, levels)
     wide = rows.where(F.col("_q").isin(*levels)).groupBy(*keys).agg(
         F.max("_y").alias("_y"),
         *[F.max(F.when(F.col("_q") == q, F.col("_p"))).alias(f"_p{i}") for i, q in enumerate(levels)])
     used = [(i, q) for i, q in enumerate(levels) if q == 0.5 or round(1 - q, 6) in levels]
-    fixed: list[Column] = []
-    for i in range(len(levels)):
-        fixed.append(F.greatest(*[F.col(f"_p{j}") for j in range(i + 1)]) if i else F.col("_p0"))
-    loss = sum((pinball(F.col("_y"), fixed[i], q) for i, q in used), F.lit(0.0))
     weight = 0.5 + sum(q for _, q in used if q < 0.5)
     complete = F.col("_y").isNotNull()
     for i, _ in used:
         complete = complete & F.col(f"_p{i}").isNotNull()
-    return wide.select(*keys, F.when(complete, loss / weight).alias("WIS"), F.col("_y").alias(truth))
+    # each level's largest so far and the loss so far are columns, so that no expression repeats those before it
+    wide = wide.select(*keys, "_y", complete.alias("_complete"), *[f"_p{i}" for i in range(len(levels))], F.lit(0.0).alias("_loss"))
+    for i, q in enumerate(levels):
+        if i:
+            wide = wide.withColumn(f"_p{i}", F.greatest(f"_p{i - 1}", f"_p{i}"))
+        if (i, q) in used:
+            wide = wide.withColumn("_loss", F.col("_loss") + pinball(F.col("_y"), F.col(f"_p{i}"), q))
+    return wide.select(*keys, F.when(F.col("_complete"), F.col("_loss") / weight).alias("WIS"), F.col("_y").alias(truth))
 
 
 def _pairs(df: DataFrame, pred: str, truth: str, transform: Transform | None,
@@ -176,9 +184,12 @@ def model_wis(forecasts: DataFrame, levels: Sequence[float] | None = None) -> Da
 
 
 def score_distribution(scores: DataFrame, metrics: Sequence[str], keys: Sequence[str] = (MODEL, HORIZON)) -> DataFrame:
-    """Mean, spread and quartiles of each metric over the regions, one row per metric."""
+    """Mean, spread and quartiles of each metric over the regions, one row per metric.
+
+    The scores are read twice and written once, so that what stands before them runs once.
+    """
     keys = list(keys)
-    long = scores.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
+    long = stage(scores.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics])).unpivot(
         keys, list(metrics), "metric", "value").where(is_finite(F.col("value")))
     group = [*keys, "metric"]
     at = lambda q: F.max(F.when(F.col(QUANTILE) == q, F.col("value")))

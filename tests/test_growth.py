@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from epipanel import schema
-from epipanel.operators import baseline, covariates, residual_regression, scoring
+from epipanel.operators import baseline, covariates, ensemble, panel as panels, residual_regression, scoring
+from epipanel.plans import views
 from epipanel.schema import DATE, GID_2, QUANTILE_LEVELS
 
 
@@ -42,6 +43,28 @@ def test_forecast_has_parts_by_its_rows(spark, monkeypatch):
     assert sorted(map(str, small.collect())) == sorted(map(str, whole.collect()))
 
 
+def test_stored_forecast_is_the_forecast(spark):
+    # levels to come, a gap, regions with fewer dates than a horizon needs
+    panel = panels.add_future(panel_of(spark, 5).where("not (GID_2 = 'r1' and Date > '2020-03-01')").withColumn(
+        "Cases", F.when(F.dayofyear(DATE) % 5 != 0, F.col("Cases"))), 4, "M")
+    plain, stored = (baseline.baseline(panel, [1, 3], stored=x) for x in (False, True))
+    assert stored.dtypes == plain.dtypes
+    assert sorted(map(str, stored.collect())) == sorted(map(str, plain.collect()))
+    assert plain.where("prediction is null and quantile = 0.5").count() > 0 < plain.where("prediction > 0 and future").count()
+
+
+def test_scores_of_stacked_forecasts_do_not_shuffle_levels(spark, capsys, monkeypatch):
+    rows = [(i * 5 + g, 1, g, 1, float((i + g) % 7), dt.datetime(2020 + i // 12, i % 12 + 1, 5), "F") for g in range(5) for i in range(18)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_quantity double, l_shipdate timestamp, "
+                                        "l_linestatus string")
+    monkeypatch.setattr(views, "table", lambda spark, d, name: {"lineitem": lines}[name])
+    scored = scoring.model_wis(views.model_forecasts(spark, "none"), QUANTILE_LEVELS).groupBy("model", "horizon", GID_2).agg(F.avg("WIS"))
+    plan = plan_of(scored, capsys)
+    # the parts of the stored forecast are those of the groupings, also with three models
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    assert scored.count() == 3 * 4 * 5
+
+
 def test_noise_has_parts_by_its_numbers(spark, monkeypatch):
     vectors = spark.createDataFrame([(f"r{g}", [0.0] * 8) for g in range(10)], f"{GID_2} string, embedding array<float>")
     whole = residual_regression.noise_embeddings(vectors, reps=5)

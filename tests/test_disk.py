@@ -1,13 +1,16 @@
 """What is written on the way of a job, and left behind."""
 
 import datetime as dt
+import hashlib
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from epipanel.operators import ensemble
+from epipanel.operators import ensemble, residual_regression
 from epipanel.schema import CASES, DATE, GID_2
-from epipanel.sources.stage import DROP_SHUFFLES, stage
+from epipanel.sources.stage import DROP_SHUFFLES, stage, staged
 
 
 def test_a_stored_table_leaves_no_shuffle(spark):
@@ -68,3 +71,73 @@ def test_an_ensemble_of_odd_rows(spark):
     df = spark.createDataFrame(rows, f"horizon int, {GID_2} string, {DATE} date, quantile double, model string, prediction double, {CASES} double")
     found = {(r[GID_2], r[DATE].month): (r["prediction"], r[CASES], r["ensemble_ready"]) for r in ensemble.apply_weights(df, weights, ["a", "b"]).collect()}
     assert found == {("x", 1): (1.0, 5.0, False), ("x", 2): (7.5, 6.0, True), ("y", 2): (0.0, None, True)}
+
+
+def test_a_table_for_a_while_is_deleted(spark):
+    with staged(spark.range(5)) as table:
+        files = table.inputFiles()
+        assert table.count() == 5 and files
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.parquet(*files)
+
+
+def test_noise_is_the_hash_of_its_place(spark):
+    names = ["a", "TST.7.1234_1", "\u00e9t\u00e9", None, "x" * 60, "y" * 45]
+    vectors = spark.createDataFrame([(g, [0.0] * (3 + i % 2)) for i, g in enumerate(names)] + [("none", None), ("empty", [])], f"{GID_2} string, embedding array<float>")
+    out = residual_regression.noise_embeddings(vectors, reps=12, seed=42)
+    plan = out._jdf.queryExecution().toString()
+    assert "md5" not in plan  # 16 bytes of text per number once went through five string functions
+    got = {(r[GID_2], r["rep"]): r["embedding"] for r in out.collect()}
+    assert got["none", 3] is None and got["empty", 3] == []
+    for i, g in enumerate(names):
+        for rep in range(12):
+            def uniform(k, salt):
+                text = ":".join(str(x) for x in (g, rep, k, 42, salt) if x is not None)
+                return (int(hashlib.md5(text.encode()).hexdigest()[:13], 16) + 0.5) / 2 ** 52
+
+            want = [math.sqrt(-2 * math.log(uniform(k, 1))) * math.cos(2 * math.pi * uniform(k, 2)) for k in range(3 + i % 2)]
+            assert got[g, rep] == pytest.approx(want, rel=1e-12, abs=1e-14)
+
+
+def regression_rows(spark, regions=9, months=14):
+    rows = [(h, f"r{g}", dt.date(2020 + m // 12, m % 12 + 1, 28), q, float((g * 3 + m * 5 + 7 * q) % 11) if (g + m) % 9 else None, float((g * g + m * 3) % 13))
+            for h in (1, 3) for g in range(regions) for m in range(months) for q in (0.2, 0.5)]
+    df = spark.createDataFrame(rows, f"horizon int, {GID_2} string, {DATE} date, quantile double, prediction double, {CASES} double")
+    vectors = [(f"r{g}", k, [float(g % 4), float((k + 1) * g % 5)]) for g in range(regions) for k in range(2)]
+    return rows, df, vectors, spark.createDataFrame(vectors, f"{GID_2} string, rep int, embedding array<float>")
+
+
+@pytest.mark.parametrize("method,window", [("ridge", 4), ("ridge", None), ("pinball", 4), ("pinball", None)])
+def test_regression_by_loops_stores_no_more_than_its_forecast(spark, monkeypatch, method, window):
+    rows, df, vectors, features = regression_rows(spark)
+    columns = []
+
+    def watched(table):
+        columns.append(table.columns)
+        return stage(table)
+
+    monkeypatch.setattr(residual_regression, "stage", watched)
+    out = residual_regression.residual_regression(df, features, method=method, window=window, horizons=(1, 3), rounds=3, regions_per_task=4)
+    assert {"_base", "_e"}.isdisjoint(columns[0]) and not any("e" in c for c in columns[1:])
+    got = {(r["horizon"], r["quantile"], r["rep"], r[GID_2], r[DATE]): r["prediction"] for r in out.collect()}
+    assert len(got) == 2 * len(rows)
+    days = sorted({r[2] for r in rows})
+    errors = {(h, q, g, days.index(d)): math.log1p(y) - math.log1p(p) for h, g, d, q, p, y in rows if p is not None}
+    for rep in (0, 1):
+        x = {g: np.array([1.0, *v]) for g, k, v in vectors if k == rep}
+        for h in (1, 3):
+            for q in (0.2, 0.5):
+                for t, day in enumerate(days):
+                    past = [(x[g], e) for (a, b, g, u), e in errors.items() if (a, b) == (h, q) and u <= t - h and (window is None or u > t - h - window)]
+                    beta = np.zeros(3)
+                    for turn in range(3 if method == "pinball" else 1):
+                        square, side = np.diag([1e-9, 1.0, 1.0]), np.zeros(3)
+                        for v, e in past:
+                            left = e - v @ beta
+                            w = 1.0 if turn == 0 else (q if left >= 0 else 1 - q) / max(abs(left), 1e-4)
+                            square, side = square + w * np.outer(v, v), side + w * e * v
+                        beta = np.linalg.solve(square, side)
+                    for r in (r for r in rows if r[0] == h and r[3] == q and r[2] == day):
+                        p = got[h, q, rep, r[1], day]
+                        want = None if r[4] is None else max(math.expm1(math.log1p(r[4]) + (x[r[1]] @ beta if past else 0.0)), 0.0)
+                        assert p == (want if want is None else pytest.approx(want, rel=1e-5, abs=1e-6))

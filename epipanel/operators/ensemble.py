@@ -19,6 +19,7 @@ from epipanel.sources.stage import stage
 NOISE = 1e-8
 # points that a block of forecasts is scored at in one go, and sums that a task holds before it hands them on
 POINTS, HELD = 64, 500_000
+LEVELS = 62  # levels that are made columns of a forecast; with more, each is a row
 CUT = 1024  # rows scored at a time, so that what is computed stays in a core's cache
 
 
@@ -369,8 +370,22 @@ def combine_fixed(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     total = sum(weights.values())
     share = {m: (w / total if total > 0 else 1.0 / len(weights)) for m, w in weights.items()}
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col(MODEL))
-    return df.where(F.col(MODEL).isin(*share)).groupBy(*_by(df), GID_2, DATE, QUANTILE).agg(
-        F.sum(weight * F.col(PREDICTION)).alias(PREDICTION), F.max(CASES).alias(CASES))
+    keys = [*_by(df), GID_2, DATE]
+    rows = df.where(F.col(MODEL).isin(*share)).select(*keys, QUANTILE, (weight * F.col(PREDICTION)).alias(PREDICTION), CASES)
+    # levels are few: as columns, a forecast's key is shuffled once and not with each of its levels
+    levels = [r[0] for r in rows.select(QUANTILE).distinct().limit(LEVELS + 1).collect()]
+    if not 0 < len(levels) <= LEVELS:
+        return rows.groupBy(*keys, QUANTILE).agg(F.sum(PREDICTION).alias(PREDICTION), F.max(CASES).alias(CASES))
+    kind = df.schema[QUANTILE].dataType
+    at = [F.lit(q).cast(kind) for q in levels]
+    is_ = [F.col(QUANTILE).eqNullSafe(q) for q in at]
+    wide = rows.groupBy(*keys).agg(
+        F.bit_or(sum((F.when(x, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, x in enumerate(is_)), F.lit(0).cast("long"))).alias("_in"),
+        *[F.sum(F.when(x, F.col(PREDICTION))).alias(f"_p{i}") for i, x in enumerate(is_)], *[F.max(F.when(x, F.col(CASES))).alias(f"_c{i}") for i, x in enumerate(is_)])
+    cells = F.array(*[F.when(F.col("_in").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.struct(
+        q.alias("q"), F.col(f"_p{i}").alias("p"), F.col(f"_c{i}").alias("c"))) for i, q in enumerate(at)])
+    each = wide.select(*keys, F.explode(cells).alias("_c")).where(F.col("_c").isNotNull())
+    return each.select(*keys, F.col("_c.q").alias(QUANTILE), F.col("_c.p").alias(PREDICTION), F.col("_c.c").alias(CASES))
 
 
 def create_ensemble(forecasts: dict[str, DataFrame], step: float = 0.05, lag: int = 1,

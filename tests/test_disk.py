@@ -141,3 +141,20 @@ def test_regression_by_loops_stores_no_more_than_its_forecast(spark, monkeypatch
                         p = got[h, q, rep, r[1], day]
                         want = None if r[4] is None else max(math.expm1(math.log1p(r[4]) + (x[r[1]] @ beta if past else 0.0)), 0.0)
                         assert p == (want if want is None else pytest.approx(want, rel=1e-5, abs=1e-6))
+
+
+@pytest.mark.parametrize("most", [62, 2])
+def test_fixed_weights_shuffle_a_forecast_not_its_levels(spark, monkeypatch, capsys, most):
+    monkeypatch.setattr(ensemble, "LEVELS", most)
+    day = dt.date(2020, 1, 31)
+    rows = [("a", "x", day, 0.1, 2.0, 5.0), ("b", "x", day, 0.1, 6.0, 7.0), ("a", "x", day, 0.5, 3.0, 5.0), ("a", "x", day, 0.5, 5.0, 5.0),
+            ("b", "x", day, 0.9, None, None), ("a", None, day, None, 1.0, 2.0), ("c", "x", day, 0.7, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, f"model string, {GID_2} string, {DATE} date, quantile double, prediction double, {CASES} double")
+    out = ensemble.combine_fixed(df, {"a": 1.0, "b": 3.0})
+    capsys.readouterr()
+    out.explain()
+    by_level = "quantile" in capsys.readouterr().out.split("hashpartitioning(")[1].split(")")[0]
+    assert by_level == (most == 2)
+    got = {(r[GID_2], r["quantile"]): (r["prediction"], r[CASES]) for r in out.collect()}
+    assert got == {("x", 0.1): (5.0, 7.0), ("x", 0.5): (2.0, 5.0), ("x", 0.9): (None, None), (None, None): (0.25, 2.0)}
+    assert ensemble.combine_fixed(df.limit(0), {"a": 1.0}).count() == 0

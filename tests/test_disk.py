@@ -158,3 +158,11 @@ def test_fixed_weights_shuffle_a_forecast_not_its_levels(spark, monkeypatch, cap
     got = {(r[GID_2], r["quantile"]): (r["prediction"], r[CASES]) for r in out.collect()}
     assert got == {("x", 0.1): (5.0, 7.0), ("x", 0.5): (2.0, 5.0), ("x", 0.9): (None, None), (None, None): (0.25, 2.0)}
     assert ensemble.combine_fixed(df.limit(0), {"a": 1.0}).count() == 0
+
+
+def test_regression_refuses_missing_and_uneven_vectors(spark):
+    _, df, vectors, _ = regression_rows(spark, 3, 6)
+    of = lambda rows: spark.createDataFrame(rows, f"{GID_2} string, embedding array<float>")
+    for odd in (None, [1.0]):
+        with pytest.raises(Exception, match="of one length"):
+            residual_regression.residual_regression(df, of([("r0", odd), ("r1", [1.0, 2.0]), ("r2", [2.0, 2.0])]), method="ridge").collect()
